@@ -1,0 +1,186 @@
+"""The three tables of an export: creation, version, reset, and their merges.
+
+Tables are plain Parquet in the session's catalog. Messages and progress are
+only ever appended to. The roster is replaced by writing a new folder and
+pointing the table at it, so readers see the old or the new version whole.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from . import schemas as S
+from .operators.merge import merge_insert_only, merge_upsert
+from .operators.worklist import progress_commit
+from .plans.messages import MESSAGE_ORDER
+from .settings import ExportSettings
+from .sources.roster import ROSTER_ORDER
+
+TABLES = {
+    S.ROSTER_TABLE: S.ROSTER,
+    S.PROGRESS_TABLE: S.PROGRESS,
+    S.MESSAGE_TABLE: S.MESSAGE,
+}
+
+_VERSION, _PREVIOUS = "schema_version", "previous_location"
+
+
+class SchemaVersionError(RuntimeError):
+    """The stored tables do not have the version this code works with."""
+
+
+class ChatStore:
+    """The tables of one database."""
+
+    def __init__(self, spark: SparkSession, settings: ExportSettings):
+        self.spark = spark
+        self.settings = settings
+
+    # --- administration
+
+    def name(self, table: str) -> str:
+        return f"`{self.settings.database}`.`{table}`"
+
+    def exists(self, table: str) -> bool:
+        return self.spark.catalog.tableExists(f"{self.settings.database}.{table}")
+
+    def _database_location(self) -> str:
+        return self.spark.catalog.getDatabase(self.settings.database).locationUri.rstrip("/")
+
+    def _new_location(self, table: str) -> str:
+        return f"{self._database_location()}/{table}-{uuid.uuid4().hex}"
+
+    def _create(self, name: str, schema: T.StructType, location: str, clustering: str = "") -> None:
+        columns = ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}"
+            for f in schema.fields
+        )
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name(name)} ({columns}) USING parquet"
+            f" {clustering} LOCATION '{location}'"
+        )
+
+    def ensure_tables(self) -> None:
+        """Create the database and the tables that are missing.
+
+        Messages are bucketed by their key: the merge then reads the keys it
+        has to compare with in place, without shuffling the table. All three
+        columns take part, so that a large mailbox spreads over the buckets.
+        """
+        place = self.settings.database_location
+        at = f" LOCATION '{place}'" if place else ""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.settings.database}`{at}")
+        for table, schema in TABLES.items():
+            if self.exists(table):
+                continue
+            clustering = ""
+            if table == S.MESSAGE_TABLE:
+                buckets = self.settings.buckets or int(
+                    self.spark.conf.get("spark.sql.shuffle.partitions")
+                )
+                clustering = f"CLUSTERED BY ({', '.join(S.MESSAGE_KEY)}) INTO {buckets} BUCKETS"
+            self._create(table, schema, self._new_location(table), clustering)
+
+    def reset_tables(self) -> None:
+        """Drop this export's tables with their data and version, and nothing else."""
+        for table in TABLES:
+            if not self.exists(table):
+                continue
+            folders = [self.location(table), self._property(table, _PREVIOUS)]
+            self.spark.sql(f"DROP TABLE {self.name(table)}")
+            for folder in folders:
+                if folder:
+                    self._drop_folder(folder)
+
+    def analyze(self, table: str) -> None:
+        """Refresh the statistics the optimizer uses."""
+        self.spark.sql(f"ANALYZE TABLE {self.name(table)} COMPUTE STATISTICS")
+
+    def location(self, table: str) -> str:
+        detail = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(table)}")
+        return detail.where("col_name = 'Location'").first()["data_type"]
+
+    def _property(self, table: str, key: str) -> str | None:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table)}").collect()
+        return next((row["value"] for row in rows if row["key"] == key), None)
+
+    def _drop_folder(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(folder, True)
+
+    # --- schema version
+
+    def version(self) -> str | None:
+        """The version all tables carry; None when one is missing or differs."""
+        if not all(self.exists(table) for table in TABLES):
+            return None
+        found = {self._property(table, _VERSION) for table in TABLES}
+        return found.pop() if len(found) == 1 else None
+
+    def set_version(self, version: str = S.SCHEMA_VERSION) -> None:
+        for table in TABLES:
+            self.spark.sql(
+                f"ALTER TABLE {self.name(table)} SET TBLPROPERTIES ('{_VERSION}' = '{version}')"
+            )
+
+    def delete_version(self) -> None:
+        for table in TABLES:
+            if self.exists(table):
+                self.spark.sql(
+                    f"ALTER TABLE {self.name(table)} UNSET TBLPROPERTIES IF EXISTS ('{_VERSION}')"
+                )
+
+    def check_version(self) -> str:
+        found = self.version()
+        if found != S.SCHEMA_VERSION:
+            raise SchemaVersionError(
+                f"schema version {S.SCHEMA_VERSION} needed, found {found}; reset the tables"
+            )
+        return found
+
+    # --- contents
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.table(self.name(table))
+
+    def upsert_roster(self, rows: DataFrame) -> None:
+        """Upsert roster rows (with `ROSTER_ORDER` beside them) and switch to the new version."""
+        table = S.ROSTER_TABLE
+        merged = merge_upsert(
+            self.read(table), rows, S.ROSTER_KEY, ROSTER_ORDER, self.settings.key_collation
+        )
+        old, stale = self.location(table), self._property(table, _PREVIOUS)
+        new = self._new_location(table)
+        staging = f"{table}__{uuid.uuid4().hex}"
+        self._create(staging, S.ROSTER, new)
+        merged.select(*S.ROSTER.fieldNames()).write.insertInto(self.name(staging))
+        self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{new}'")
+        self.spark.sql(
+            f"ALTER TABLE {self.name(table)} SET TBLPROPERTIES ('{_PREVIOUS}' = '{old}')"
+        )
+        # External, so the data stay; a reader may still be on the previous version.
+        self.spark.sql(f"DROP TABLE {self.name(staging)}")
+        self.spark.catalog.refreshTable(self.name(table))
+        if stale:
+            self._drop_folder(stale)
+
+    def messages_to_insert(self, messages: DataFrame) -> DataFrame:
+        """Messages (with `MESSAGE_ORDER` beside them) that the table does not have yet."""
+        return merge_insert_only(
+            self.read(S.MESSAGE_TABLE),
+            messages,
+            S.MESSAGE_KEY,
+            MESSAGE_ORDER,
+            self.settings.key_collation,
+        )
+
+    def append_messages(self, rows: DataFrame) -> None:
+        rows.select(*S.MESSAGE_COLUMNS).write.insertInto(self.name(S.MESSAGE_TABLE))
+
+    def commit_progress(self, users: DataFrame, key: str = "mailbox") -> None:
+        new = progress_commit(self.read(S.PROGRESS_TABLE), users, key)
+        new.write.insertInto(self.name(S.PROGRESS_TABLE))
