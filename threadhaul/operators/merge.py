@@ -6,7 +6,7 @@ them is left to `tables`, which never overwrites what is being read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +14,46 @@ from pyspark.sql import functions as F
 from .dedupe import dedupe_first_wins, dedupe_last_wins
 
 
-def _key(df: DataFrame, name: str, collation: str | None) -> Column:
-    return df[name] if collation is None else F.collate(df[name], collation)
+# Sides of a join are named, because a source may be derived from its target.
+_TARGET, _SOURCE = "target", "source"
 
 
-def _same_key(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], collation: str | None
-) -> Column:
+def _col(side: str, name: str) -> Column:
+    return F.col(f"{side}.`{name}`")
+
+
+def _same_key(df: DataFrame, keys: Sequence[str], collation: str | None) -> Column:
     """Equality on all keys; text keys may use a collation (e.g. to ignore case)."""
-    types = dict(left.dtypes)
+    types = dict(df.dtypes)
     condition = F.lit(True)
     for name in keys:
-        rule = collation if types[name] == "string" else None
-        condition &= _key(left, name, rule) == _key(right, name, rule)
+        target, source = _col(_TARGET, name), _col(_SOURCE, name)
+        if collation is not None and types[name] == "string":
+            target, source = F.collate(target, collation), F.collate(source, collation)
+        condition &= target == source
     return condition
 
 
+def _one_per_key(
+    keep: Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame],
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    collation: str | None,
+) -> DataFrame:
+    """Deduplicate by key, text keys being compared under the collation."""
+    if collation is None:
+        return keep(df, keys, order)
+    types = dict(df.dtypes)
+    folded = {
+        f"__key_{name}": F.collate(F.col(name), collation)
+        for name in keys
+        if types[name] == "string"
+    }
+    by = [f"__key_{name}" if f"__key_{name}" in folded else name for name in keys]
+    return keep(df.withColumns(folded), by, order).drop(*folded)
+
+
 def merge_upsert(
     target: DataFrame,
     source: DataFrame,
@@ -43,44 +67,26 @@ def merge_upsert(
     both sides are unique by key, so one full outer join reads each side once
     and no key can be hot.
     """
-    columns = target.columns
-    values = [name for name in columns if name not in keys]
-    latest = _latest(source, keys, order, collation).select(*columns)
-    latest = latest.withColumn("__in_source", F.lit(True))
-    matched = latest["__in_source"].isNotNull()
-    joined = target.join(latest, _same_key(target, latest, keys, collation), "full_outer")
-    return joined.select(
-        *[
-            F.coalesce(target[name], latest[name]).alias(name)
-            if name in keys
-            else F.when(matched, latest[name]).otherwise(target[name]).alias(name)
-            for name in columns
-            if name in keys or name in values
-        ]
+    latest = _one_per_key(dedupe_last_wins, source, keys, order, collation)
+    latest = latest.select(*target.columns, F.lit(True).alias("__found"))
+    joined = target.alias(_TARGET).join(
+        latest.alias(_SOURCE), _same_key(target, keys, collation), "full_outer"
     )
+    found = _col(_SOURCE, "__found").isNotNull()
 
+    def merged(name: str) -> Column:
+        old, new = _col(_TARGET, name), _col(_SOURCE, name)
+        return F.coalesce(old, new) if name in keys else F.when(found, new).otherwise(old)
 
-def _latest(
-    source: DataFrame, keys: Sequence[str], order: Sequence[str], collation: str | None
-) -> DataFrame:
-    if collation is None:
-        return dedupe_last_wins(source, keys, order)
-    types = dict(source.dtypes)
-    folded = {
-        f"__key_{name}": F.collate(F.col(name), collation)
-        for name in keys
-        if types[name] == "string"
-    }
-    by = [f"__key_{name}" if f"__key_{name}" in folded else name for name in keys]
-    return dedupe_last_wins(source.withColumns(folded), by, order).drop(*folded)
+    return joined.select(*[merged(name).alias(name) for name in target.columns])
 
 
 def new_rows(
     target: DataFrame, source: DataFrame, keys: Sequence[str], collation: str | None = None
 ) -> DataFrame:
     """Source rows whose key the target does not have; only the target's keys are read."""
-    known = target.select(*keys)
-    return source.join(known, _same_key(source, known, keys, collation), "left_anti")
+    known = target.select(*keys).alias(_TARGET)
+    return source.alias(_SOURCE).join(known, _same_key(source, keys, collation), "left_anti")
 
 
 def merge_insert_only(
@@ -95,17 +101,7 @@ def merge_insert_only(
     Rows of the target never change. The join runs on the partitioning the
     deduplication made, so the source is shuffled once.
     """
-    if collation is not None:
-        types = dict(source.dtypes)
-        folded = {
-            f"__key_{name}": F.collate(F.col(name), collation)
-            for name in keys
-            if types[name] == "string"
-        }
-        by = [f"__key_{name}" if f"__key_{name}" in folded else name for name in keys]
-        first = dedupe_first_wins(source.withColumns(folded), by, order).drop(*folded)
-    else:
-        first = dedupe_first_wins(source, keys, order)
+    first = _one_per_key(dedupe_first_wins, source, keys, order, collation)
     return new_rows(target, first, keys, collation).select(*target.columns)
 
 
@@ -117,20 +113,18 @@ def dml_update_by_key(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """The target with all columns of the changed rows replaced; unknown keys add nothing."""
-    columns = target.columns
-    latest = dedupe_last_wins(changes, keys, order).select(*columns)
-    latest = latest.withColumn("__changed", F.lit(True))
-    joined = target.join(latest, _same_key(target, latest, keys, None), "left")
-    return joined.select(
-        *[
-            target[name]
-            if name in keys
-            else F.when(latest["__changed"].isNotNull(), latest[name])
-            .otherwise(target[name])
-            .alias(name)
-            for name in columns
-        ]
+    latest = dedupe_last_wins(changes, keys, order)
+    latest = latest.select(*target.columns, F.lit(True).alias("__found"))
+    joined = target.alias(_TARGET).join(
+        latest.alias(_SOURCE), _same_key(target, keys, None), "left"
     )
+    found = _col(_SOURCE, "__found").isNotNull()
+
+    def updated(name: str) -> Column:
+        old, new = _col(_TARGET, name), _col(_SOURCE, name)
+        return old if name in keys else F.when(found, new).otherwise(old).alias(name)
+
+    return joined.select(*[updated(name) for name in target.columns])
 
 
 def dml_delete_by_key(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:

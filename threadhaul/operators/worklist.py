@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 
+_DONE = "__done"
+
+
 def finished(progress: DataFrame, kind: str = S.PROGRESS_TYPE_USER) -> DataFrame:
     """Distinct finished ids. The distinct is pre-aggregated before its shuffle and
     leaves the partitioning the join needs."""
-    return progress.where(F.col("type") == kind).select("value").distinct()
+    of_kind = progress.where(F.col("type") == kind)
+    return of_kind.select(F.col("value").alias(_DONE)).distinct()
 
 
 def resume_worklist(roster: DataFrame, progress: DataFrame, key: str = S.ROSTER_KEY[0]) -> DataFrame:
     """Roster rows without a progress row of type `user`, as an anti join."""
     done = finished(progress)
-    return roster.join(done, roster[key] == done["value"], "left_anti")
+    return roster.join(done, F.col(key) == F.col(_DONE), "left_anti")
 
 
 def pending_count(roster: DataFrame, progress: DataFrame, key: str = S.ROSTER_KEY[0]) -> DataFrame:
@@ -29,10 +33,10 @@ def progress_ratio(
 ) -> DataFrame:
     """Share of the worklist that has been finished since it was taken."""
     done = finished(progress)
-    joined = worklist.join(done, worklist[key] == done["value"], "left")
+    joined = worklist.join(done, F.col(key) == F.col(_DONE), "left")
     return joined.agg(
-        F.avg(F.col("value").isNotNull().cast("double")).alias("ratio"),
-        F.count("value").alias("finished"),
+        F.avg(F.col(_DONE).isNotNull().cast("double")).alias("ratio"),
+        F.count(_DONE).alias("finished"),
         F.count("*").alias("total"),
     )
 

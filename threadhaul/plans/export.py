@@ -24,6 +24,7 @@ from ..operators.worklist import resume_worklist
 from ..runtime import configure, scratch
 from ..settings import ExportSettings
 from ..sources.files import scan_wildcard_files
+from ..sources.paged import write_worklist
 from ..sources.pages import explode_pages
 from ..sources.roster import roster_rows, split_roster
 from ..tables import ChatStore
@@ -238,7 +239,7 @@ def paged_source_reader(
         start, end = settings.window(spark)
         folder = scratch(spark, "fetch")
         wanted = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        worklist.repartition(wanted, "mailbox").write.parquet(f"{folder}/worklist")
+        write_worklist(worklist, f"{folder}/worklist", wanted)
         pages = (
             spark.read.format(source)
             .option("worklist", f"{folder}/worklist")

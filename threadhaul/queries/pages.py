@@ -12,7 +12,7 @@ from ..runtime import scratch
 from ..settings import ExportSettings
 from ..sources import pages as P
 from ..sources.folder_service import FolderFetcher, write_page_folder
-from ..sources.paged import register_paged_source
+from ..sources.paged import register_paged_source, write_worklist
 from ..operators.metrics import messages_per_user as per_user
 from ..operators.ordinal import paginate as number_pages
 from .derived import (
@@ -22,7 +22,6 @@ from .derived import (
     SHOWN_SQL,
     judged_page_sql,
     landed_pages,
-    page_numbers,
     progress,
     responses,
     roster,
@@ -106,9 +105,8 @@ def paged_source(t: Tables):
     service = scratch(t.spark, "service")
     write_page_folder(landed_pages(t), service, groups)
     worklist = scratch(t.spark, "worklist")
-    t.events.select(F.concat(F.lit("u"), "user_id").alias("mailbox")).distinct().repartition(
-        groups, "mailbox"
-    ).write.parquet(worklist)
+    users = t.events.select(F.concat(F.lit("u"), "user_id").alias("mailbox")).distinct()
+    write_worklist(users, worklist, groups)
     source = register_paged_source(t.spark, FolderFetcher(service, groups))
     pages = t.spark.read.format(source).option("worklist", worklist).load()
     start, end = (F.lit(datetime.fromisoformat(bound)) for bound in WINDOW)
@@ -191,5 +189,3 @@ def export_resume(t: Tables):
         .select("messages", F.lit(again.inserted).cast("bigint").alias("pending"), "finished")
     )
 
-
-_ = page_numbers

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED = "_threadhaul_shipped"
+
 _RUNTIME = {
     # Every timestamp is UTC.
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +30,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this library, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, _SHIPPED, False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='threadhaul-')}/{package.name}",
+        "zip",
+        root_dir=package.parent,
+        base_dir=package.name,
+    )
+    sc.addPyFile(archive)
+    setattr(sc, _SHIPPED, True)
+
+
 def local_session(app: str = "threadhaul", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (

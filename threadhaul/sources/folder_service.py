@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +15,66 @@ from .paged import PageRequest, PageResponse, _as_uri, _instant
 
 
 def write_page_folder(pages: DataFrame, path: str, buckets: int) -> None:
-    """Store landed pages so that one of them is found without reading the others."""
+    """Store landed pages so that one of them is found without reading the others.
+
+    Range partitioning spreads the pages of a large mailbox over several files.
+    """
+    order = ["bucket", "mailbox", "page_no"]
     (
         pages.withColumn("bucket", F.crc32("mailbox") % buckets)
-        .repartition("bucket", "mailbox")
-        .sortWithinPartitions("bucket", "mailbox", "page_no")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.partitionBy("bucket")
         .option("parquet.block.size", 1 << 20)
         .parquet(path)
     )
 
 
+class _SortedPages:
+    """The page files of one bucket, sorted by mailbox and page.
+
+    Pages are asked for in order, so the row group read last mostly holds the next one too.
+    """
+
+    def __init__(self, path: str, bucket: int):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        filesystem, root = fs.FileSystem.from_uri(_as_uri(path))
+        folder = fs.FileSelector(f"{root}/bucket={bucket}", allow_not_found=True)
+        self.groups = []
+        for info in filesystem.get_file_info(folder):
+            if not info.path.endswith(".parquet"):
+                continue
+            file = pq.ParquetFile(filesystem.open_input_file(info.path))
+            place = file.schema_arrow.names.index("mailbox")
+            for number in range(file.num_row_groups):
+                bounds = file.metadata.row_group(number).column(place).statistics
+                self.groups.append((bounds.min, bounds.max, file, number))
+        self.loaded, self.pages = None, {}
+
+    def find(self, mailbox: str, page_no: int, model: str) -> dict | None:
+        key = (mailbox, page_no, model)
+        if key in self.pages:
+            return self.pages[key]
+        for low, high, file, number in self.groups:
+            if low <= mailbox <= high and self.loaded != (file, number):
+                self._load(file, number)
+                if key in self.pages:
+                    return self.pages[key]
+        return None
+
+    def _load(self, file, number: int) -> None:
+        self.loaded = (file, number)
+        rows = file.read_row_group(number).to_pylist()
+        self.pages = {(row["mailbox"], row["page_no"], row["model"]): row for row in rows}
+
+
+@lru_cache(maxsize=8)
+def _sorted_pages(path: str, bucket: int) -> _SortedPages:
+    return _SortedPages(path, bucket)
+
+
 @dataclass(frozen=True)
 class FolderFetcher:
     """Answers a request with the page at its place in the chain of its mailbox.
@@ -37,27 +87,16 @@ class FolderFetcher:
     buckets: int
 
     def fetch(self, request: PageRequest) -> PageResponse:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
         place = int(request.next_link.rsplit("#", 1)[1]) if request.next_link else 0
         bucket = zlib.crc32(request.mailbox.encode()) % self.buckets
-        filesystem, root = fs.FileSystem.from_uri(_as_uri(self.path))
-        folder = f"{root}/bucket={bucket}"
-        if filesystem.get_file_info(folder).type == fs.FileType.NotFound:
-            return PageResponse(S.STATUS_OK, json.dumps({"value": []}))
-        wanted = (ds.field("mailbox") == request.mailbox) & (ds.field("page_no") == place)
-        rows = ds.dataset(folder, filesystem=filesystem, format="parquet").to_table(
-            columns=["status", "model", "next_link", "body"], filter=wanted
-        )
-        answers = [row for row in rows.to_pylist() if row["model"] in (None, request.model)]
-        if not answers:
+        answer = _sorted_pages(self.path, bucket).find(request.mailbox, place, request.model)
+        if answer is None:
             return PageResponse(S.STATUS_OK, json.dumps({"value": []}))
-        answer = answers[0]
         if answer["status"] != S.STATUS_OK or answer["body"] is None:
             return PageResponse(answer["status"], answer["body"], answer["next_link"])
         page = json.loads(answer["body"])
-        page["value"] = [one for one in page["value"] if self._inside(one, request)]
+        if isinstance(page, dict) and isinstance(page.get("value"), list):
+            page["value"] = [one for one in page["value"] if self._inside(one, request)]
         return PageResponse(answer["status"], json.dumps(page), answer["next_link"])
 
     @staticmethod

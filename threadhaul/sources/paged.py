@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Protocol
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -24,6 +25,7 @@ from pyspark.sql.datasource import (
 )
 
 from .. import schemas as S
+from ..runtime import ship_package
 
 PAGE_ROWS = (
     "mailbox string, page_no int, status int, model string, next_link string, body string,"
@@ -77,6 +79,16 @@ def walk_chain(
         page_no, next_link = page_no + 1, response.next_link
 
 
+def write_worklist(worklist: DataFrame, path: str, groups: int) -> None:
+    """Store the mailboxes in `groups` files, each fetched by one task.
+
+    The grouping is on a hash of its own, so that a partitioning the worklist
+    may have already is not taken over with fewer, larger groups.
+    """
+    grouped = worklist.select("mailbox").repartition(groups, F.xxhash64("mailbox"))
+    grouped.sortWithinPartitions("mailbox").write.parquet(path)
+
+
 class _Group(InputPartition):
     """The users of one worklist file."""
 
@@ -189,6 +201,7 @@ def register_paged_source(
                 plan.end = _instant(options["end"])
             return _PageReader(fetcher, plan)
 
+    ship_package(spark)
     spark.dataSource.register(PagedMessages)
     return name
 
