@@ -63,7 +63,7 @@ WANT = [
 
 def test_run_and_resume(spark, store, settings, pages, tmp_path, roster_folder):
     roster = roster_folder("u1", "u2", "u3", "u4", "u5", "u6", "u7", "")
-    reader = landed_pages_reader(spark, land(spark, pages, tmp_path, scenario(pages)))
+    reader = landed_pages_reader(spark.read.parquet(land(spark, pages, tmp_path, scenario(pages))))
     report = ChatExport(spark, settings).run(roster, reader)
     assert keys(store) == WANT
     assert done(store) == ["u1", "u2", "u3"]
@@ -89,7 +89,7 @@ def test_run_and_resume(spark, store, settings, pages, tmp_path, roster_folder):
         [pages.page(u, 0, [m("1"), m("5")]) for u in ("u4", "u5", "u6")] + [pages.page("u7", 0, [])],
         "better",
     )
-    third = ChatExport(spark, settings).run(None, landed_pages_reader(spark, better))
+    third = ChatExport(spark, settings).run(None, landed_pages_reader(spark.read.parquet(better)))
     assert (third.inserted, third.finished) == (4, 4)
     assert done(store) == [f"u{i}" for i in range(1, 8)]
 
@@ -102,7 +102,7 @@ def test_run_and_resume(spark, store, settings, pages, tmp_path, roster_folder):
 def test_wider_window_does_not_bring_finished_users_back(spark, store, settings, pages, tmp_path, roster_folder):
     roster = roster_folder("u1")
     reader = landed_pages_reader(
-        spark, land(spark, pages, tmp_path, [pages.page("u1", 0, [pages.message("1", ts="2020-01-01T00:00:00Z")])])
+        pages.frame(spark, [pages.page("u1", 0, [pages.message("1", ts="2020-01-01T00:00:00Z")])])
     )
     assert ChatExport(spark, settings).run(roster, reader).finished == 1
     wider = dataclasses.replace(settings, start="2000-01-01Z")
@@ -112,7 +112,7 @@ def test_wider_window_does_not_bring_finished_users_back(spark, store, settings,
 
 def test_crash_between_messages_and_progress(spark, store, settings, pages, tmp_path, roster_folder, monkeypatch):
     roster = roster_folder("u1", "u2")
-    reader = landed_pages_reader(spark, land(spark, pages, tmp_path, scenario(pages)))
+    reader = landed_pages_reader(spark.read.parquet(land(spark, pages, tmp_path, scenario(pages))))
     export = ChatExport(spark, settings)
 
     def crash(*_):
@@ -135,7 +135,7 @@ def test_refused_messages(spark, store, settings, pages, tmp_path, roster_folder
         pages.page("u2", 0, [m("1")]),
     ]
     roster = roster_folder("u1", "u2")
-    reader = landed_pages_reader(spark, land(spark, pages, tmp_path, rows))
+    reader = landed_pages_reader(spark.read.parquet(land(spark, pages, tmp_path, rows)))
     report = ChatExport(spark, settings).run(roster, reader)
     assert report.refused == 2
     assert keys(store) == [("u1", "", "0"), ("u1", "c", "1"), ("u2", "c", "1")]
@@ -148,7 +148,7 @@ def test_refused_messages(spark, store, settings, pages, tmp_path, roster_folder
 
 def test_too_long_values_fail_the_run(spark, store, settings, pages, tmp_path, roster_folder):
     rows = [pages.page("u1", 0, [pages.message("1", chat="c" * 201)])]
-    reader = landed_pages_reader(spark, land(spark, pages, tmp_path, rows))
+    reader = landed_pages_reader(spark.read.parquet(land(spark, pages, tmp_path, rows)))
     with pytest.raises(PySparkException, match="EXCEED_LIMIT_LENGTH"):
         ChatExport(spark, settings).run(roster_folder("u1"), reader)
     assert keys(store) == [] and done(store) == []
@@ -285,5 +285,5 @@ def test_store_collation(spark, settings, pages, tmp_path, roster_folder):
     folded = dataclasses.replace(settings, key_collation="UTF8_LCASE", reset=True)
     m = pages.message
     rows = [pages.page("u1", 0, [m("1", chat="C"), m("1", chat="c")])]
-    reader = landed_pages_reader(spark, land(spark, pages, tmp_path, rows))
+    reader = landed_pages_reader(spark.read.parquet(land(spark, pages, tmp_path, rows)))
     assert ChatExport(spark, folded).run(roster_folder("u1"), reader).inserted == 1

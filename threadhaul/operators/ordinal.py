@@ -42,14 +42,15 @@ def with_ordinal(
     )
     before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
     shifts = runs.select(_PART, *group, (before - F.col("__first") + 1).alias("__shift"))
-    matched = placed.join(
-        shifts.select(
-            F.col(_PART).alias("__run_part"),
-            *[F.col(column).alias(f"__run_{column}") for column in group],
-            "__shift",
-        ),
-        _run_condition(group),
+    shifts = shifts.select(
+        F.col(_PART).alias("__run_part"),
+        *[F.col(column).alias(f"__run_{column}") for column in group],
+        "__shift",
     )
+    if not group:
+        # One row per partition.
+        shifts = F.broadcast(shifts)
+    matched = placed.join(shifts, _run_condition(group))
     return matched.select(*df.columns, (F.col(_PLACE) + F.col("__shift")).alias(name))
 
 

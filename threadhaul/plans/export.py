@@ -23,7 +23,7 @@ from ..operators.metrics import RUN_LOG, append_run_log, observed, observed_valu
 from ..operators.worklist import resume_worklist
 from ..runtime import configure, scratch
 from ..settings import ExportSettings
-from ..sources.files import scan_wildcard_files
+from ..sources.files import matching_bytes, scan_wildcard_files
 from ..sources.paged import write_worklist
 from ..sources.pages import explode_pages
 from ..sources.roster import roster_rows, split_roster
@@ -127,7 +127,7 @@ class ChatExport:
         )
         self.store.upsert_roster(counted)
         roster.quarantine.write.mode("overwrite").json(quarantine)
-        size = files.agg(F.sum("size").alias("size")).first()["size"] or 0
+        size = matching_bytes(self.spark, root, self.settings.roster_pattern)
         self._log(run_id, log, ("roster", observed_values(seen, "items")["items"], size, 0, ""))
 
     # --- messages
@@ -215,12 +215,15 @@ class ChatExport:
         append_run_log(self.spark.createDataFrame(rows, RUN_LOG), path)
 
 
-def landed_pages_reader(spark: SparkSession, path: str) -> PageReader:
-    """Pages that lie in Parquet files already; those of other mailboxes are left out."""
+def landed_pages_reader(pages: DataFrame) -> PageReader:
+    """Pages that have been landed already; those of other mailboxes are left out.
+
+    Spark broadcasts the worklist when it is small. For larger ones keep the
+    pages in a table bucketed by mailbox: the join then reads them in place.
+    """
 
     def read(worklist: DataFrame) -> DataFrame:
-        pages = spark.read.schema(S.LANDED_PAGE).parquet(path)
-        return pages.join(worklist, "mailbox", "left_semi")
+        return pages.select(*S.LANDED_PAGE.fieldNames()).join(worklist, "mailbox", "left_semi")
 
     return read
 

@@ -61,8 +61,8 @@ def progress(tables: Tables) -> DataFrame:
     )
 
 
-def messages(tables: Tables) -> DataFrame:
-    """`mailbox`, the event columns, and `json`: the message of each event."""
+def messages(events: DataFrame, *keep: str) -> DataFrame:
+    """`mailbox`, `event_id`, and `json`: the message of each event."""
     user, kind, number = F.col("user_id"), F.col("event_type"), F.col("event_id")
     chat = (
         F.when(kind == "signup", F.concat(F.lit("19:meeting_"), user, F.lit("@thread.v2")))
@@ -106,29 +106,31 @@ def messages(tables: Tables) -> DataFrame:
         F.struct(F.lit("text").alias("contentType"), F.col("props").alias("content")).alias("body"),
         F.when(kind == "click", F.array(snippet)).alias("attachments"),
     )
-    return tables.events.select(
+    return events.select(
         F.concat(F.lit("u"), user).alias("mailbox"),
         "event_id",
-        "ts",
         F.to_json(message).alias("json"),
+        *keep,
     )
 
 
 def payloads(tables: Tables) -> DataFrame:
     """`mailbox`, `event_id` and `message`: the parsed message of each event."""
-    return messages(tables).select(
+    return messages(tables.events).select(
         "mailbox", "event_id", F.from_json("json", S.PAYLOAD).alias("message")
     )
 
 
-def page_numbers(tables: Tables) -> DataFrame:
-    """Messages with the page and the position they have in the chain of their mailbox."""
-    return paginate(messages(tables), "mailbox", ["ts", "event_id"], PAGE_ROWS)
+def paged_events(tables: Tables, *columns: str) -> DataFrame:
+    """Events with the page and the position they have in the chain of their mailbox."""
+    events = tables.events.select("user_id", "ts", "event_id", *columns)
+    return paginate(events, "user_id", ["ts", "event_id"], PAGE_ROWS)
 
 
 def landed_pages(tables: Tables) -> DataFrame:
     """One page of up to `PAGE_ROWS` messages per row, as the service would send it."""
-    grouped = page_numbers(tables).groupBy("mailbox", "page_no").agg(
+    paged = messages(paged_events(tables, "event_type", "props"), "page_no", "position")
+    grouped = paged.groupBy("mailbox", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("position", "json"))).alias("items")
     )
     last = grouped.groupBy("mailbox").agg(F.max("page_no").alias("last_page"))
@@ -184,8 +186,8 @@ FROM (
 
 def responses(tables: Tables) -> DataFrame:
     """The pages of each mailbox with statuses of every kind, without bodies."""
-    pages = page_numbers(tables).select(
-        "mailbox", F.substring("mailbox", 2, 20).cast("bigint").alias("user_id"), "page_no"
+    pages = paged_events(tables).select(
+        F.concat(F.lit("u"), "user_id").alias("mailbox"), "user_id", "page_no"
     ).distinct()
     last = pages.groupBy("mailbox").agg(F.max("page_no").alias("last_page"))
     mark = (F.col("user_id") + F.col("page_no") * 3) % 17

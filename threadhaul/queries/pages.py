@@ -163,7 +163,7 @@ def _export(t: Tables) -> ChatExport:
 def export_run(t: Tables):
     """The whole export: roster files and landed pages to stored messages."""
     export = _export(t)
-    export.run(_roster_folder(t), landed_pages_reader(t.spark, stored_pages(t)))
+    export.run(_roster_folder(t), landed_pages_reader(t.spark.read.parquet(stored_pages(t))))
     return shown(export.store.read("UserMessage"))
 
 
@@ -176,7 +176,7 @@ FROM ({_PENDING_SQL})""")
 def export_resume(t: Tables):
     """A second run over the same pages finds nothing to fetch and adds nothing."""
     export = _export(t)
-    reader = landed_pages_reader(t.spark, stored_pages(t))
+    reader = landed_pages_reader(t.spark.read.parquet(stored_pages(t)))
     export.run(_roster_folder(t), reader)
     again = export.run(None, reader)
     store = export.store

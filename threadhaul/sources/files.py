@@ -65,6 +65,13 @@ def scan_wildcard_files(spark: SparkSession, root: str, pattern: str) -> DataFra
     )
 
 
+def matching_bytes(spark: SparkSession, root: str, pattern: str) -> int:
+    """Total size of the matching files, from their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    matching = files.where(wildcard_match(_relative_name(F.col("path"), root), pattern))
+    return matching.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def scan_wildcard_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Like `scan_wildcard_files`, one row per line, so that large files are split."""
     if not pattern:
