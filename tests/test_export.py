@@ -14,7 +14,7 @@ from threadhaul.plans.export import (
 )
 from threadhaul.settings import SettingsError
 from threadhaul.sources.folder_service import FolderFetcher, write_page_folder
-from threadhaul.sources.paged import register_paged_source
+from threadhaul.sources.paged import register_paged_source, slice_window
 from threadhaul.streaming.pages import PageStreamExport, page_stream
 from threadhaul.tables import SchemaVersionError
 
@@ -261,6 +261,66 @@ def test_export_through_the_paged_source(spark, store, settings, service, roster
     assert report.failed == 2
 
 
+def test_sliced_window(spark, store, settings, pages, tmp_path, roster_folder):
+    """A mailbox fetched in slices gives the same messages, those on the bounds included."""
+    m = pages.message
+    bounds = ["2023-07-02T12:00:00Z", "2023-12-31T00:00:00Z", "2024-07-01T00:00:00Z"]
+    times = bounds + ["2023-01-01T00:00:00Z", "2025-01-01T00:00:00Z", "2023-01-01T00:00:01Z"]
+    messages = [m(str(n), ts=ts) for n, ts in enumerate(times, 1)]
+    rows = [pages.page("big", n, [one], more=n < 5) for n, one in enumerate(messages)]
+    rows.append(pages.page("gone", 0, status=404))
+    path = str(tmp_path / "sliced")
+    write_page_folder(pages.frame(spark, rows), path, 2)
+    source = register_paged_source(spark, FolderFetcher(path, 2), "paged_in_slices")
+    cut = dataclasses.replace(settings, window_slices=7)
+    report = ChatExport(spark, cut).run(
+        roster_folder("big", "gone"), paged_source_reader(spark, source, cut, groups=3)
+    )
+    assert [row[2] for row in stored(store)] == ["1", "2", "3", "6"]
+    assert report.pages == 7 * 6 + 7 and done(store) == ["big", "gone"]
+
+
+def test_slices_cover_the_open_window():
+    from datetime import datetime, timedelta
+
+    start, end = datetime(2024, 1, 1), datetime(2024, 1, 8)
+    tick = timedelta(microseconds=1)
+    for slices in (1, 2, 3, 7, 11):
+        parts = [slice_window(start, end, n, slices) for n in range(slices)]
+        assert parts[0][0] == start and parts[-1][1] == end
+        times = [edge + delta for part in parts for edge in part for delta in (-tick, 0 * tick, tick)]
+        for ts in times:
+            hits = sum(low < ts < high for low, high in parts)
+            assert hits == (1 if start < ts < end else 0), (slices, ts)
+
+
+def test_roster_from_line_files(spark, store, settings, pages, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    lines = [json.dumps({"externaldirectoryobjectid": f"u{n}", "DisplayName": "x"}) for n in (1, 2, 1)]
+    (folder / "AllMailBoxes1.json").write_text("\n".join(lines + ["{}"]))
+    by_line = dataclasses.replace(settings, roster_lines=True)
+    reader = landed_pages_reader(pages.frame(spark, [pages.page("u1", 0, [])]))
+    report = ChatExport(spark, by_line).run(str(folder), reader)
+    assert (report.pending, report.finished) == (2, 1)
+    assert spark.read.json(report.folder + "/quarantine").count() == 1
+
+
+def test_run_log(spark, store, settings, pages, tmp_path, roster_folder):
+    reader = landed_pages_reader(pages.frame(spark, scenario(pages)))
+    report = ChatExport(spark, settings).run(roster_folder("u1", "u2", "u4"), reader)
+    log = spark.read.parquet(report.folder + "/log")
+    notes = {r["mailbox"]: r["note"] for r in log.where("event = 'user'").collect()}
+    assert notes == {
+        "u1": "6 messages, complete",
+        "u2": "2 messages, skipped",
+        "u4": "1 messages, failed",
+    }
+    assert report.bytes_read > 0 and report.bytes_written > 0
+    summary = report.summary(spark).first()
+    assert summary["bytes_written"] == report.bytes_written and summary["elapsed_ms"] > 0
+
+
 def test_paged_source_predicates(spark, service, tmp_path):
     from threadhaul.sources.paged import write_worklist
 

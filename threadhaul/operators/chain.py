@@ -1,7 +1,9 @@
-"""Judging the page chain of each mailbox.
+"""Judging the page chains of the mailboxes.
+
+A mailbox has one chain, or one for each slice its window was cut into.
 
 Pages count in order up to and including the first one that ends the chain.
-That page is found by one minimum per mailbox, which is combined before the
+That page is found by one minimum per chain, which is combined before the
 shuffle, so no mailbox is ever sorted or collected as a whole.
 """
 
@@ -42,7 +44,7 @@ def chain_position(page_no: Column, model: Column, first_model: str = S.MODELS[0
 
 
 def with_disposition(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFrame:
-    """Add `disposition`, `terminal` and `chain_pos` to landed pages.
+    """Add `disposition`, `terminal`, `chain_pos` and a missing `slice` to landed pages.
 
     A page marked `malformed` fails. It is optional: without the column bodies
     are not looked at.
@@ -50,6 +52,8 @@ def with_disposition(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFr
     disposition = classify_status(F.col("status"), F.col("model"), first_model)
     if "malformed" in pages.columns:
         disposition = F.when(F.col("malformed"), FAIL).otherwise(disposition)
+    if "slice" not in pages.columns:
+        pages = pages.withColumn("slice", F.lit(0))
     last = (F.col("disposition") == CONSUME) & F.col("next_link").isNull()
     return (
         pages.withColumn("disposition", disposition)
@@ -59,13 +63,13 @@ def with_disposition(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFr
 
 
 def chain_outcomes(judged: DataFrame) -> DataFrame:
-    """Per mailbox: `cutoff`, the last position seen, and the outcome of the chain."""
+    """Per chain: `cutoff`, the last position seen, and the outcome."""
     at_end = F.when(F.col("terminal"), F.col("chain_pos"))
     # Small numbers instead of names keep the aggregation in fixed-width buffers.
     code = (
         F.when(F.col("disposition") == CONSUME, 0).when(F.col("disposition") == SKIP, 1).otherwise(2)
     )
-    ends = judged.groupBy("mailbox").agg(
+    ends = judged.groupBy(*S.CHAIN_KEY).agg(
         F.min(at_end).alias("cutoff"),
         F.min_by(code, at_end).alias("__code"),
         F.max("chain_pos").alias("last_pos"),
@@ -85,8 +89,8 @@ def within_chain(judged: DataFrame, outcomes: DataFrame) -> DataFrame:
     Only chains with rows beyond their end take part in the join; there are
     none unless pages were landed after a chain had ended.
     """
-    overlong = outcomes.where(F.col("last_pos") > F.col("cutoff")).select("mailbox", "cutoff")
-    joined = judged.join(overlong, "mailbox", "left")
+    overlong = outcomes.where(F.col("last_pos") > F.col("cutoff")).select(*S.CHAIN_KEY, "cutoff")
+    joined = judged.join(overlong, S.CHAIN_KEY, "left")
     return joined.where(
         F.col("cutoff").isNull() | (F.col("chain_pos") <= F.col("cutoff"))
     ).drop("cutoff")
@@ -98,6 +102,14 @@ def page_chain_prefix(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataF
     return within_chain(judged, chain_outcomes(judged))
 
 
+def user_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Per mailbox: the worst outcome of its chains (failed, open, skipped, complete)."""
+    names = F.array(*[F.lit(name) for name in (COMPLETE, SKIPPED, OPEN, FAILED)])
+    rank = F.array_position(names, F.col("outcome")).cast("int")
+    worst = outcomes.groupBy("mailbox").agg(F.max(rank).alias("__rank"))
+    return worst.select("mailbox", F.element_at(names, F.col("__rank")).alias("outcome"))
+
+
 def completed_users(outcomes: DataFrame) -> DataFrame:
-    """Mailboxes to be marked done: those whose chain ended, and those skipped."""
-    return outcomes.where(F.col("outcome").isin(COMPLETE, SKIPPED)).select("mailbox", "outcome")
+    """Mailboxes to be marked done: those whose chains ended, and those skipped."""
+    return user_outcomes(outcomes).where(F.col("outcome").isin(COMPLETE, SKIPPED))

@@ -15,6 +15,7 @@ from ..operators.chain import (
     FAILED,
     chain_outcomes,
     completed_users,
+    user_outcomes,
     with_disposition,
     within_chain,
 )
@@ -23,10 +24,10 @@ from ..operators.metrics import RUN_LOG, append_run_log, observed, observed_valu
 from ..operators.worklist import resume_worklist
 from ..runtime import configure, scratch
 from ..settings import ExportSettings
-from ..sources.files import matching_bytes, scan_wildcard_files
+from ..sources.files import matching_bytes, scan_wildcard_files, scan_wildcard_lines
 from ..sources.paged import write_worklist
 from ..sources.pages import explode_pages
-from ..sources.roster import roster_rows, split_roster
+from ..sources.roster import roster_rows, roster_rows_from_lines, split_roster
 from ..tables import ChatStore
 from .messages import MESSAGE_ORDER, checked_messages
 
@@ -43,15 +44,17 @@ class RunReport:
     """Counts of a run, and where its files lie."""
 
     run_id: str
-    pending: int
-    pages: int
-    messages: int
-    inserted: int
-    refused: int
-    bad_urls: int
-    finished: int
-    failed: int
     folder: str
+    pending: int = 0
+    pages: int = 0
+    messages: int = 0
+    inserted: int = 0
+    refused: int = 0
+    bad_urls: int = 0
+    finished: int = 0
+    failed: int = 0
+    bytes_read: int = 0
+    bytes_written: int = 0
 
     def summary(self, spark: SparkSession) -> DataFrame:
         return run_summary(spark.read.parquet(f"{self.folder}/log"))
@@ -60,7 +63,9 @@ class RunReport:
 def stage_pages(pages: DataFrame, first_model: str, path: str) -> DataFrame:
     """Parse every body once, and keep the rows in columns for the steps that follow."""
     judged = with_disposition(explode_pages(pages, keep_empty=True), first_model)
-    rows = checked_messages(judged, "chain_pos", "position", "disposition", "terminal")
+    rows = checked_messages(
+        judged, "slice", "chain_pos", "position", "disposition", "terminal"
+    )
     rows.write.mode("overwrite").parquet(path)
     return pages.sparkSession.read.parquet(path)
 
@@ -68,11 +73,11 @@ def stage_pages(pages: DataFrame, first_model: str, path: str) -> DataFrame:
 def headers(staged: DataFrame) -> DataFrame:
     """One row per landed page, without its messages."""
     first = F.coalesce(F.col("position"), F.lit(0)) == 0
-    return staged.where(first).select("mailbox", "chain_pos", "disposition", "terminal")
+    return staged.where(first).select(*S.CHAIN_KEY, "chain_pos", "disposition", "terminal")
 
 
 def store_outcomes(pages: DataFrame, path: str) -> DataFrame:
-    """One small row per mailbox, stored: its size is then known to the planner."""
+    """One small row per chain, stored: its size is then known to the planner."""
     chain_outcomes(pages).write.mode("overwrite").parquet(path)
     return pages.sparkSession.read.parquet(path)
 
@@ -120,14 +125,19 @@ class ChatExport:
     # --- roster
 
     def load_roster(self, root: str, quarantine: str, run_id: str, log: str) -> None:
-        files = scan_wildcard_files(self.spark, root, self.settings.roster_pattern)
-        roster = split_roster(roster_rows(files, strict=self.settings.strict))
+        pattern = self.settings.roster_pattern
+        if self.settings.roster_lines:
+            rows = roster_rows_from_lines(scan_wildcard_lines(self.spark, root, pattern))
+        else:
+            files = scan_wildcard_files(self.spark, root, pattern)
+            rows = roster_rows(files, strict=self.settings.strict)
+        roster = split_roster(rows)
         counted, seen = observed(
             roster.mailboxes, f"roster-{uuid.uuid4().hex}", items=F.count(F.lit(1))
         )
         self.store.upsert_roster(counted)
         roster.quarantine.write.mode("overwrite").json(quarantine)
-        size = matching_bytes(self.spark, root, self.settings.roster_pattern)
+        size = matching_bytes(self.spark, root, pattern)
         self._log(run_id, log, ("roster", observed_values(seen, "items")["items"], size, 0, ""))
 
     # --- messages
@@ -145,10 +155,15 @@ class ChatExport:
         count = observed_values(taken, "pending")["pending"]
         if count == 0:
             self._log(run_id, log, ("finish", 0, 0, 0, "nothing pending"))
-            return RunReport(run_id, 0, 0, 0, 0, 0, 0, 0, 0, folder)
+            return RunReport(run_id=run_id, folder=folder)
         worklist = spark.read.parquet(f"{folder}/worklist")
 
-        staged = stage_pages(read_pages(worklist), self.settings.model, f"{folder}/staged")
+        pages, fetched = observed(
+            read_pages(worklist),
+            f"pages-{uuid.uuid4().hex}",
+            bytes_read=F.sum(F.octet_length("body")),
+        )
+        staged = stage_pages(pages, self.settings.model, f"{folder}/staged")
         outcomes = store_outcomes(headers(staged), f"{folder}/outcomes")
         counts = self._store_messages(staged, outcomes, f"{folder}/refused")
         blamed = spark.read.parquet(f"{folder}/refused")
@@ -165,15 +180,23 @@ class ChatExport:
             pending=count,
             pages=headers(staged).count(),
             refused=blamed.count(),
+            failed=user_outcomes(outcomes).where(F.col("outcome") == FAILED).count(),
+            **observed_values(fetched, "bytes_read"),
             **observed_values(marked, "finished"),
-            failed=outcomes.where(F.col("outcome") == FAILED).count(),
             folder=folder,
             **counts,
         )
+        self._log_users(run_id, log, staged, outcomes)
         self._log(
             run_id,
             log,
-            ("messages", report.inserted, 0, 0, f"{report.messages} in the window"),
+            (
+                "messages",
+                report.inserted,
+                report.bytes_read,
+                report.bytes_written,
+                f"{report.messages} in the window",
+            ),
             ("finish", 0, 0, 0, f"{report.finished} users finished, {report.failed} failed"),
         )
         if self.settings.strict and (report.failed or report.refused):
@@ -197,15 +220,33 @@ class ChatExport:
             self.store.messages_to_insert(valid),
             f"inserted-{uuid.uuid4().hex}",
             inserted=F.count(F.lit(1)),
+            bytes_written=F.sum(F.octet_length("rawJson")),
         )
         self.store.append_messages(new)
         return {
             **observed_values(seen, "messages", "bad_urls"),
-            **observed_values(added, "inserted"),
+            **observed_values(added, "inserted", "bytes_written"),
         }
 
     # --- log
 
+    def _log_users(
+        self, run_id: str, path: str, staged: DataFrame, outcomes: DataFrame
+    ) -> None:
+        """One row per user: how many messages its pages held, and how its chains ended."""
+        counts = staged.groupBy("mailbox").agg(F.count("position").alias("items"))
+        rows = counts.join(user_outcomes(outcomes), "mailbox").select(
+            F.lit(run_id).alias("run_id"),
+            F.current_timestamp().alias("ts"),
+            F.lit("user").alias("event"),
+            "mailbox",
+            F.lit(0).cast("bigint").alias("items"),
+            F.lit(0).cast("bigint").alias("bytes_read"),
+            F.lit(0).cast("bigint").alias("bytes_written"),
+            F.concat_ws(" ", "items", F.lit("messages,"), "outcome").alias("note"),
+        )
+        append_run_log(rows, path)
+
     def _log(self, run_id: str, path: str, *entries: tuple) -> None:
         now = datetime.now(timezone.utc)
         rows = [
@@ -223,7 +264,7 @@ def landed_pages_reader(pages: DataFrame) -> PageReader:
     """
 
     def read(worklist: DataFrame) -> DataFrame:
-        return pages.select(*S.LANDED_PAGE.fieldNames()).join(worklist, "mailbox", "left_semi")
+        return pages.join(worklist, "mailbox", "left_semi")
 
     return read
 
@@ -242,7 +283,7 @@ def paged_source_reader(
         start, end = settings.window(spark)
         folder = scratch(spark, "fetch")
         wanted = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        write_worklist(worklist, f"{folder}/worklist", wanted)
+        write_worklist(worklist, f"{folder}/worklist", wanted, settings.window_slices)
         pages = (
             spark.read.format(source)
             .option("worklist", f"{folder}/worklist")
@@ -252,7 +293,7 @@ def paged_source_reader(
             .option("pagesize", settings.page_size)
             .load()
         )
-        pages.select(*S.LANDED_PAGE.fieldNames()).write.parquet(f"{folder}/pages")
-        return spark.read.schema(S.LANDED_PAGE).parquet(f"{folder}/pages")
+        pages.drop("window_start", "window_end").write.parquet(f"{folder}/pages")
+        return spark.read.parquet(f"{folder}/pages")
 
     return read

@@ -17,7 +17,7 @@ from ..functions import (
 from ..operators.filters import message_problem
 
 # Order of messages within a mailbox: the first one wins.
-MESSAGE_ORDER = ["chain_pos", "position"]
+MESSAGE_ORDER = ["slice", "chain_pos", "position"]
 
 
 def message_columns() -> dict:

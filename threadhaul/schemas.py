@@ -81,6 +81,10 @@ LANDED_PAGE = T.StructType(
     ]
 )
 
+# A page chain: the requests of one mailbox for one slice of the window. Landed
+# pages without a `slice` are one slice.
+CHAIN_KEY = ["mailbox", "slice"]
+
 # The people and objects inside a message. Objects that get a default when the
 # key is absent are read as VARIANT first: an absent key is then NULL, an
 # explicit JSON null a variant null.

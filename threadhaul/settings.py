@@ -27,6 +27,10 @@ def page_size(requested: int | None) -> int:
 class ExportSettings:
     """What to export and where to keep it.
 
+    `roster_lines` reads roster files with one object per line instead of one
+    array; use it for large rosters, which Spark can then split.
+    `window_slices` cuts the window of each user for fetching.
+
     `strict` makes a run fail on bad roster elements, invalid messages and
     failed users, after everything good has been stored. Otherwise they are
     reported and the users concerned stay pending.
@@ -35,6 +39,8 @@ class ExportSettings:
     start: str = ""
     end: str = ""
     roster_pattern: str = S.ROSTER_PATTERN
+    roster_lines: bool = False
+    window_slices: int = 1
     model: str = S.MODELS[0]
     page_size: int = S.DEFAULT_PAGE_SIZE
     database: str = "chat_export"

@@ -1,16 +1,20 @@
 """A paged message service as a Spark data source.
 
-The worklist lies in Parquet files, one or more per group of users. A task
-takes one group, walks the page chain of each of its users and yields one row
-per response. The service itself is reached through a fetcher object, so that
-any transport can be plugged in.
+The worklist lies in Parquet files, one per group of users. A task takes one
+group, walks the page chain of each of its users and yields one row per
+response. The service itself is reached through a fetcher object, so that any
+transport can be plugged in.
+
+Within a chain pages can only be asked for one after another. So that a very
+large mailbox does not hang on one task, the window may be cut into slices:
+each user then has one chain per slice, and slices are spread over the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +32,8 @@ from .. import schemas as S
 from ..runtime import ship_package
 
 PAGE_ROWS = (
-    "mailbox string, page_no int, status int, model string, next_link string, body string,"
-    " window_start timestamp, window_end timestamp"
+    "mailbox string, slice int, page_no int, status int, model string, next_link string,"
+    " body string, window_start timestamp, window_end timestamp"
 )
 
 
@@ -79,14 +83,32 @@ def walk_chain(
         page_no, next_link = page_no + 1, response.next_link
 
 
-def write_worklist(worklist: DataFrame, path: str, groups: int) -> None:
-    """Store the mailboxes in `groups` files, each fetched by one task.
+def write_worklist(worklist: DataFrame, path: str, groups: int, slices: int = 1) -> None:
+    """Store the chains to fetch in `groups` files, each fetched by one task.
 
     The grouping is on a hash of its own, so that a partitioning the worklist
     may have already is not taken over with fewer, larger groups.
     """
-    grouped = worklist.select("mailbox").repartition(groups, F.xxhash64("mailbox"))
-    grouped.sortWithinPartitions("mailbox").write.parquet(path)
+    chains = worklist.select(
+        "mailbox",
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+        F.lit(slices).alias("slices"),
+    )
+    grouped = chains.repartition(groups, F.xxhash64("mailbox", "slice"))
+    grouped.sortWithinPartitions("mailbox", "slice").write.parquet(path)
+
+
+def slice_window(start: datetime, end: datetime, number: int, slices: int) -> tuple[datetime, datetime]:
+    """The open window of one slice.
+
+    A time on an inner bound lies in the slice before it: that slice ends one
+    microsecond later than the next one starts. Finer times may then come twice,
+    and are merged by key like every repeated message.
+    """
+    width = (end - start) / slices
+    low = start + width * number
+    high = end if number == slices - 1 else start + width * (number + 1) + timedelta(microseconds=1)
+    return low, high
 
 
 class _Group(InputPartition):
@@ -145,16 +167,19 @@ class _PageReader(DataSourceReader):
         plan = self.plan
         filesystem, _ = fs.FileSystem.from_uri(_as_uri(plan.worklist))
         group = pq.ParquetFile(filesystem.open_input_file(partition.path))
-        for batch in group.iter_batches(columns=["mailbox"]):
-            for mailbox in batch.column(0).to_pylist():
+        for batch in group.iter_batches():
+            for row in batch.to_pylist():
+                mailbox, number = row["mailbox"], row["slice"]
                 if plan.mailboxes is not None and mailbox not in plan.mailboxes:
                     continue
+                start, end = slice_window(plan.start, plan.end, number, row["slices"])
                 chain = walk_chain(
-                    self.fetcher, mailbox, plan.start, plan.end, plan.model, plan.page_size
+                    self.fetcher, mailbox, start, end, plan.model, plan.page_size
                 )
                 for page_no, model, answer in chain:
                     yield (
                         mailbox,
+                        number,
                         page_no,
                         answer.status,
                         model,
@@ -170,8 +195,7 @@ def register_paged_source(
 ) -> str:
     """Register the source for one fetcher and return its format name.
 
-    Options: `worklist` (folder of Parquet files with a `mailbox` column, as
-    written by `write_worklist`), `start`, `end`, `model`, `pagesize`. The
+    Options: `worklist` (a folder written by `write_worklist`), `start`, `end`, `model`, `pagesize`. The
     window may instead come from predicates on `window_start` and `window_end`.
     """
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
@@ -55,10 +56,9 @@ class PageStreamExport:
     """Stores the messages of landed pages and marks their users done.
 
     State is kept in files below `state`, one folder per batch that a replay
-    writes again: the parsed rows of the batch, and one header per page seen so
-    far. The headers tell where the chain of a mailbox ended even when its
-    pages come in different batches. Messages are merged by key, so a replayed
-    batch adds nothing.
+    writes again: the parsed rows of the batch, and the headers of the pages
+    that end a chain. They tell later batches where the chain of a mailbox has
+    ended. Messages are merged by key, so a replayed batch adds nothing.
     """
 
     spark: SparkSession
@@ -75,11 +75,15 @@ class PageStreamExport:
         spark, store = pages.sparkSession, ChatStore(pages.sparkSession, self.settings)
         part = f"batch={batch}"
         staged = stage_pages(pages, self.settings.model, f"{self.state}/staged/{part}")
-        headers(staged).write.mode("overwrite").parquet(f"{self.state}/headers/{part}")
-        seen = spark.read.parquet(f"{self.state}/headers")
-        touched = headers(staged).select("mailbox").distinct()
+        pages_seen = headers(staged)
+        ends = pages_seen.where("terminal")
+        ends.write.mode("overwrite").parquet(f"{self.state}/ends/{part}")
+        earlier = spark.read.parquet(f"{self.state}/ends").where(F.col("batch") < batch)
+        touched = pages_seen.select(*S.CHAIN_KEY).distinct()
         outcomes = store_outcomes(
-            seen.where(seen["batch"] <= batch).join(touched, "mailbox", "left_semi"),
+            pages_seen.unionByName(
+                earlier.drop("batch").join(touched, S.CHAIN_KEY, "left_semi")
+            ),
             f"{self.state}/outcomes/{part}",
         )
         rows = messages_in_window(staged, outcomes, *self.settings.window(spark))
