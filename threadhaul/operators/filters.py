@@ -65,4 +65,4 @@ def find_first(
 
 def lookup_by_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in the batch of keys; Spark broadcasts the keys when small."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+    return df.join(keys.select(*on).distinct(), list(on), "left_semi")

@@ -128,6 +128,9 @@ def dml_update_by_key(
 
 
 def dml_delete_by_key(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target without the given keys; keys it does not have change nothing."""
-    gone = doomed.select(*keys)
+    """The target without the given keys; keys it does not have change nothing.
+
+    Keys given many times are brought down to one before the shuffle.
+    """
+    gone = doomed.select(*keys).distinct()
     return target.join(gone, list(keys), "left_anti")

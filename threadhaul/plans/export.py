@@ -22,7 +22,7 @@ from ..operators.chain import (
 from ..operators.filters import time_window_filter
 from ..operators.metrics import RUN_LOG, append_run_log, observed, observed_values, run_summary
 from ..operators.worklist import resume_worklist
-from ..runtime import configure, scratch
+from ..runtime import configure, scratch, stored
 from ..settings import ExportSettings
 from ..sources.files import matching_bytes, scan_wildcard_files, scan_wildcard_lines
 from ..sources.paged import write_worklist
@@ -66,8 +66,7 @@ def stage_pages(pages: DataFrame, first_model: str, path: str) -> DataFrame:
     rows = checked_messages(
         judged, "slice", "chain_pos", "position", "disposition", "terminal"
     )
-    rows.write.mode("overwrite").parquet(path)
-    return pages.sparkSession.read.parquet(path)
+    return stored(rows, path)
 
 
 def headers(staged: DataFrame) -> DataFrame:
@@ -78,8 +77,7 @@ def headers(staged: DataFrame) -> DataFrame:
 
 def store_outcomes(pages: DataFrame, path: str) -> DataFrame:
     """One small row per chain, stored: its size is then known to the planner."""
-    chain_outcomes(pages).write.mode("overwrite").parquet(path)
-    return pages.sparkSession.read.parquet(path)
+    return stored(chain_outcomes(pages), path)
 
 
 def messages_in_window(
@@ -143,7 +141,7 @@ class ChatExport:
     # --- messages
 
     def load_messages(self, read_pages: PageReader, run_id: str, folder: str) -> RunReport:
-        store, spark = self.store, self.spark
+        store = self.store
         log = f"{folder}/log"
         worklist = resume_worklist(store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)).select(
             F.col(S.ROSTER_KEY[0]).alias("mailbox")
@@ -151,13 +149,11 @@ class ChatExport:
         pending, taken = observed(
             worklist, f"worklist-{uuid.uuid4().hex}", pending=F.count(F.lit(1))
         )
-        pending.write.parquet(f"{folder}/worklist")
+        worklist = stored(pending, f"{folder}/worklist")
         count = observed_values(taken, "pending")["pending"]
         if count == 0:
             self._log(run_id, log, ("finish", 0, 0, 0, "nothing pending"))
             return RunReport(run_id=run_id, folder=folder)
-        worklist = spark.read.parquet(f"{folder}/worklist")
-
         pages, fetched = observed(
             read_pages(worklist),
             f"pages-{uuid.uuid4().hex}",
@@ -165,8 +161,9 @@ class ChatExport:
         )
         staged = stage_pages(pages, self.settings.model, f"{folder}/staged")
         outcomes = store_outcomes(headers(staged), f"{folder}/outcomes")
-        counts = self._store_messages(staged, outcomes, f"{folder}/refused")
-        blamed = spark.read.parquet(f"{folder}/refused")
+        rows = messages_in_window(staged, outcomes, *self.settings.window(self.spark))
+        blamed = stored(refused(rows), f"{folder}/refused")
+        counts = self._store_messages(rows)
         done, marked = observed(
             completed_users(outcomes).join(
                 blamed.select("mailbox").distinct(), "mailbox", "left_anti"
@@ -205,11 +202,7 @@ class ChatExport:
             )
         return report
 
-    def _store_messages(
-        self, staged: DataFrame, outcomes: DataFrame, refused_path: str
-    ) -> dict[str, int]:
-        rows = messages_in_window(staged, outcomes, *self.settings.window(self.spark))
-        refused(rows).write.parquet(refused_path)
+    def _store_messages(self, rows: DataFrame) -> dict[str, int]:
         valid, seen = observed(
             rows.where(F.col("problem").isNull()),
             f"messages-{uuid.uuid4().hex}",
@@ -259,8 +252,8 @@ class ChatExport:
 def landed_pages_reader(pages: DataFrame) -> PageReader:
     """Pages that have been landed already; those of other mailboxes are left out.
 
-    Spark broadcasts the worklist when it is small. For larger ones keep the
-    pages in a table bucketed by mailbox: the join then reads them in place.
+    Spark broadcasts the worklist when it is small. Otherwise both sides are
+    shuffled by mailbox, and a large mailbox is split by adaptive execution.
     """
 
     def read(worklist: DataFrame) -> DataFrame:
@@ -293,7 +286,6 @@ def paged_source_reader(
             .option("pagesize", settings.page_size)
             .load()
         )
-        pages.drop("window_start", "window_end").write.parquet(f"{folder}/pages")
-        return spark.read.parquet(f"{folder}/pages")
+        return stored(pages.drop("window_start", "window_end"), f"{folder}/pages")
 
     return read

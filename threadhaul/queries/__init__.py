@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from . import admin, files, functions, merges, metrics, pages, streams, worklist
+# Importing a module registers its queries.
+from . import admin, files, functions, merges, metrics, pages, streams, worklist  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
-
-_ = (admin, files, functions, merges, metrics, pages, streams, worklist)

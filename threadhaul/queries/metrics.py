@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..functions import series_name
 from ..operators import metrics as M
 from ..operators.moving import warm_start_moving_avg as moving_avg
@@ -113,5 +112,3 @@ def id_collisions(t: Tables):
     rows = t.events.withColumn("message_id", given)
     return M.id_collisions(rows, "user_id", "event_type", "message_id")
 
-
-_ = S

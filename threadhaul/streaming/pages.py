@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas as S
 from ..operators.chain import completed_users
 from ..plans.export import headers, messages_in_window, refused, stage_pages, store_outcomes
-from ..runtime import configure
+from ..runtime import configure, stored
 from ..settings import ExportSettings
 from ..tables import ChatStore
 
@@ -78,7 +78,9 @@ class PageStreamExport:
         pages_seen = headers(staged)
         ends = pages_seen.where("terminal")
         ends.write.mode("overwrite").parquet(f"{self.state}/ends/{part}")
-        earlier = spark.read.parquet(f"{self.state}/ends").where(F.col("batch") < batch)
+        known = ends.schema.add("batch", "long")
+        earlier = spark.read.schema(known).parquet(f"{self.state}/ends")
+        earlier = earlier.where(F.col("batch") < batch)
         touched = pages_seen.select(*S.CHAIN_KEY).distinct()
         outcomes = store_outcomes(
             pages_seen.unionByName(
@@ -87,8 +89,7 @@ class PageStreamExport:
             f"{self.state}/outcomes/{part}",
         )
         rows = messages_in_window(staged, outcomes, *self.settings.window(spark))
-        bad = f"{self.state}/refused/{part}"
-        refused(rows).write.mode("overwrite").parquet(bad)
+        bad = stored(refused(rows), f"{self.state}/refused/{part}")
         store.append_messages(store.messages_to_insert(rows.where("problem IS NULL")))
-        blamed = spark.read.parquet(bad).select("mailbox").distinct()
+        blamed = bad.select("mailbox").distinct()
         store.commit_progress(completed_users(outcomes).join(blamed, "mailbox", "left_anti"))
