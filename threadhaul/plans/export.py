@@ -183,7 +183,6 @@ class ChatExport:
             folder=folder,
             **counts,
         )
-        self._log_users(run_id, log, staged, outcomes)
         self._log(
             run_id,
             log,
@@ -195,6 +194,7 @@ class ChatExport:
                 f"{report.messages} in the window",
             ),
             ("finish", 0, 0, 0, f"{report.finished} users finished, {report.failed} failed"),
+            users=self._user_log(run_id, staged, outcomes),
         )
         if self.settings.strict and (report.failed or report.refused):
             raise ExportFailed(
@@ -223,12 +223,10 @@ class ChatExport:
 
     # --- log
 
-    def _log_users(
-        self, run_id: str, path: str, staged: DataFrame, outcomes: DataFrame
-    ) -> None:
+    def _user_log(self, run_id: str, staged: DataFrame, outcomes: DataFrame) -> DataFrame:
         """One row per user: how many messages its pages held, and how its chains ended."""
         counts = staged.groupBy("mailbox").agg(F.count("position").alias("items"))
-        rows = counts.join(user_outcomes(outcomes), "mailbox").select(
+        return counts.join(user_outcomes(outcomes), "mailbox").select(
             F.lit(run_id).alias("run_id"),
             F.current_timestamp().alias("ts"),
             F.lit("user").alias("event"),
@@ -238,15 +236,17 @@ class ChatExport:
             F.lit(0).cast("bigint").alias("bytes_written"),
             F.concat_ws(" ", "items", F.lit("messages,"), "outcome").alias("note"),
         )
-        append_run_log(rows, path)
 
-    def _log(self, run_id: str, path: str, *entries: tuple) -> None:
+    def _log(
+        self, run_id: str, path: str, *entries: tuple, users: DataFrame | None = None
+    ) -> None:
         now = datetime.now(timezone.utc)
         rows = [
             (run_id, now, kind, None, items, read, written, note)
             for kind, items, read, written, note in entries
         ]
-        append_run_log(self.spark.createDataFrame(rows, RUN_LOG), path)
+        log = self.spark.createDataFrame(rows, RUN_LOG)
+        append_run_log(log if users is None else log.unionByName(users), path)
 
 
 def landed_pages_reader(pages: DataFrame) -> PageReader:

@@ -55,6 +55,8 @@ def local_session(app: str = "threadhaul", cores: str = "*", shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Noting the call site of every column makes large expressions slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     return configure(builder.getOrCreate())
 
