@@ -52,7 +52,9 @@ def test_window_reaches_the_scan(spark):
 
 def test_message_merge_reads_the_bucketed_keys_in_place(spark, store):
     messages = normalize_messages(payloads(Tables(spark, DATA)), "event_id")
-    source = messages.withColumns({"chain_pos": F.lit(0), "position": F.col("event_id")})
+    source = messages.withColumns(
+        {"slice": F.lit(0), "chain_pos": F.lit(0), "position": F.col("event_id")}
+    )
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(store.messages_to_insert(source))
