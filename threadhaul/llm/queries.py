@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, risk_rules, secret_entropy, token_counts
+from ..runtime import scratch
+from . import bpe_stream, decontaminate, ordinal_quality, risk_rules, secret_entropy, token_archive, token_counts, warc_zstd
 from .common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,14 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
+@query
+def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade and tail probability of every document."""
+    docs = table(spark, folder, "documents")
+    model = ordinal_quality.train(docs, table(spark, folder, "labels"))
+    return ordinal_quality.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the piece vocabulary."""
@@ -39,6 +48,32 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    found = decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "words", F.lit(True).alias("contaminated"))
+
+
+END_ID = 2
+
+
+@query
+def op6_token_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written to seekable files and read back."""
+    place = scratch(spark, "token-archive")
+    files = token_archive.write(table(spark, folder, "documents"), place, vocabulary_path(BYTE_BPE), END_ID)
+    return token_archive.read(files, place).drop("ids")
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of a compressed archive, read back."""
+    place = scratch(spark, "warc")
+    files = warc_zstd.write(table(spark, folder, "pages"), place)
+    return warc_zstd.read(files, place).drop("payload", "url")
+
+
 @query
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: fixed patterns and window entropy."""
