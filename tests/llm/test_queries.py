@@ -1,0 +1,60 @@
+"""Each query gives what plain Python gives, over whole tables."""
+
+import brute
+import pyarrow.parquet as pq
+import pytest
+
+from threadhaul.llm.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def rows(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return [(r["doc_id"], r["text"]) for r in pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
+
+
+def test_ngram_join(spark, documents):
+    got = QUERIES["op1_ngram_join"](spark, DATA)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(documents), key=repr)
+
+
+def test_token_counts(spark, documents):
+    got = QUERIES["op4_token_counts"](spark, DATA)
+    want = [(d, *brute.piece_counts(t)) for d, t in documents]
+    assert rows(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(((*w, w[2] > 4096) for w in want), key=repr)
+
+
+def test_token_archive(spark, documents):
+    got = QUERIES["op6_token_archive"](spark, DATA)
+    assert rows(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(brute.archive_rows(documents), key=repr)
+
+
+def test_warc(spark):
+    pages = [(r["page_id"], r["html"]) for r in pq.read_table(f"{DATA}/pages.parquet").to_pylist()]
+    got = QUERIES["op7_warc"](spark, DATA)
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert rows(got, *columns) == sorted(brute.warc_rows(pages), key=repr)
+
+
+def test_secret_scan(spark, documents):
+    got = QUERIES["op8_secret_scan"](spark, DATA)
+    want = [(d, *brute.secret_row(t)) for d, t in documents]
+    assert rows(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
+
+
+def test_bpe_stream(spark, documents):
+    got = QUERIES["op9_bpe_stream"](spark, DATA)
+    want = [(d, *brute.round_trip(t)) for d, t in documents]
+    assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+
+
+def test_risk_rules(spark, documents):
+    got = QUERIES["op10_risk_rules"](spark, DATA)
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert rows(got, "doc_id", *columns) == sorted(((d, *brute.measures(t)) for d, t in documents), key=repr)
+    assert not got.where("base_failed AND kept").count()

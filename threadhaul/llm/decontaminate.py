@@ -32,7 +32,7 @@ class Settings:
     penalty: int = 2
     least_score: int = 10
     short_share: float = 0.7
-    filter_words: int = 1 << 16
+    filter_words: int = 1 << 14
 
 
 def words(text: Column) -> Column:
@@ -72,18 +72,19 @@ def _slot(h: Column, size: int) -> tuple[Column, Column]:
     return F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _filter(seeds: DataFrame, size: int) -> DataFrame:
-    """One row with an array of `size` words whose bits say which hashes may occur."""
+def _filter(seeds: DataFrame, size: int) -> Column:
+    """An array literal of `size` words whose bits say which hashes may occur.
+
+    The words, not the seeds, come to the driver: always `size` of them.
+    """
     word, bit = _slot(F.col("h"), size)
     masks = F.array(*(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)))
     filled = seeds.select(word.alias("word"), F.get(masks, bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    every = seeds.sparkSession.range(size).select(F.col("id").cast("int").alias("word"))
-    return (
-        every.join(filled, "word", "left")
-        .select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
-        .agg(F.array_sort(F.collect_list("x")).alias("all"))
-        .select(F.transform("all", lambda x: x["bits"]).alias("bits"))
-    )
+    bits = [0] * size
+    for row in filled.collect():
+        bits[row.word] = row.bits
+    # Folded to one literal when the query is planned.
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -95,7 +96,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
         .distinct(),
         "benchmark-seeds",
     )
-    bits = keep(_filter(seeds, settings.filter_words), "benchmark-filter").scalar()
+    bits = _filter(seeds, settings.filter_words)
     one = F.lit(1).cast("long")
 
     def may_occur(x: Column) -> Column:

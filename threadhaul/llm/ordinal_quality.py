@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import keep, texts
-from .words import Words, mixed
+from .words import Words, mixed, sliced
 
 GRADES = 3
 
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     dimensions = settings.dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows, index = feature_rows(batch.column("text"), dimensions)
             cuts = np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(index, pa.int32()))
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(weights.value, thresholds)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             column = batch.column(text).fill_null("")
             rows, index = feature_rows(column, len(known.weights))
             scores = np.bincount(rows, weights=known.weights[index], minlength=len(batch))

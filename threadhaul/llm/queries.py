@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch
-from . import bpe_stream, decontaminate, ordinal_quality, risk_rules, secret_entropy, token_archive, token_counts, warc_zstd
+from . import bpe_stream, decontaminate, ngram_join, ordinal_quality, risk_rules, secret_entropy, token_archive, token_counts, warc_zstd
 from .common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
+@query
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of each document under links of similarity 0.8 or more."""
+    return ngram_join.jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Expected grade and tail probability of every document."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
-from .words import Words, mixed, windows
+from .words import Words, mixed, sliced, windows
 
 _SYMBOLS = np.zeros(256, dtype=np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -123,7 +123,7 @@ def measured_batch(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         found = measured_batch(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("stratum"), *(pa.array(v, pa.int64()) for v in found.values())],

@@ -7,8 +7,11 @@ these, so that the bytes can be cut without decoding them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -101,3 +104,19 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             total = mixed(total * _STEP + hashes[k : k + n])
     return total
+
+
+# Bytes of text that are worked on at once; a longer single text is a part of its own.
+PART_BYTES = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the arrays over the bytes of their texts stay small."""
+    for batch in batches:
+        sizes = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(batch):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + PART_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
