@@ -112,18 +112,32 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     return distinct.mapInArrow(pieces, "token string, n long, pieces long")
 
 
+def _frequent(known: DataFrame, settings: Settings) -> dict[str, int]:
+    """At most `frequent` of the most frequent pre-tokens, and the pieces of each.
+
+    A histogram of rounded frequencies gives the limit, so that only the chosen rows are collected.
+    """
+    step = F.floor(F.log2("n") * 8)
+    short = known.where(F.length("token") <= settings.frequent_chars)
+    sizes = {r.step: r.rows for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()}
+    limit, total = None, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > settings.frequent:
+            break
+        limit = at
+    if limit is None:
+        return {}
+    chosen = short.where(step >= limit).select("token", "pieces").toArrow()
+    return dict(zip(chosen.column("token").to_pylist(), chosen.column("pieces").to_pylist()))
+
+
 def token_counts(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8) and n_tokens."""
     check_model(path)
     spark = docs.sparkSession
     known = keep(vocabulary(docs, path), "pre-tokens")
-    top = (
-        known.where(F.length("token") <= settings.frequent_chars)
-        .orderBy(F.desc("n"), "token")
-        .limit(settings.frequent)
-        .select("token", "pieces")
-    )
-    frequent = spark.sparkContext.broadcast({r.token: r.pieces for r in top.collect()})
+    frequent = spark.sparkContext.broadcast(_frequent(known, settings))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
