@@ -21,6 +21,7 @@ Defined results: a NULL text is empty and has no ids; repeated rows are encoded
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
@@ -162,7 +163,9 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
-        return Vocabulary(json.load(file))
+        words = Vocabulary(json.load(file))
+    gc.freeze()  # its many small objects stay; the collector need not look at them again
+    return words
 
 
 class _Memo(dict):
