@@ -41,3 +41,13 @@ def texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )
+
+
+def first_by_hash(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """A fixed sample of at most `rows` rows: those whose hash of `columns` is smallest.
+
+    Only hashes are sorted; the rows follow by their hash.
+    """
+    key = F.xxhash64(*columns)
+    last = df.select(key.alias("key")).orderBy("key").limit(rows).agg(F.max("key").alias("key")).first().key
+    return df.where(key <= last).limit(rows) if last is not None else df.limit(0)

@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch
-from . import bpe_stream, decontaminate, ngram_join, ordinal_quality, risk_rules, secret_entropy, token_archive, token_counts, warc_zstd
+from . import (
+    bpe_stream,
+    decontaminate,
+    html_region,
+    ngram_join,
+    ordinal_quality,
+    risk_rules,
+    secret_entropy,
+    token_archive,
+    token_counts,
+    warc_zstd,
+)
 from .common import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +50,13 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op2_html_region(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    return html_region.main_texts(pages, html_region.learn(pages))
+
+
 @query
 def op3_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Expected grade and tail probability of every document."""

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import first_by_hash, keep
 from .shared_files import new_file, open_file
 
 _DICTIONARY = 0x184D2A5D
@@ -54,14 +54,11 @@ def digest(payload: bytes) -> str:
 
 def train(pages: DataFrame, settings: Settings = Settings()) -> bytes:
     """A dictionary from a bounded sample of pages; empty if there are too few."""
-    rows = (
-        pages.select(F.col("html").cast("binary").alias("html"), F.xxhash64("page_id", "html").alias("key"))
-        .where(F.octet_length("html").between(1, settings.sample_bytes))
-        .orderBy("key")
-        .limit(settings.sample)
-        .collect()
+    fit = pages.select("page_id", F.col("html").cast("string").alias("html")).where(
+        F.octet_length("html").between(1, settings.sample_bytes)
     )
-    samples = [bytes(r.html) for r in rows]
+    rows = first_by_hash(fit, settings.sample, "page_id", "html").orderBy("page_id", "html").collect()
+    samples = [r.html.encode() for r in rows]
     if len(samples) < 16 or sum(map(len, samples)) < 4 * settings.dictionary_bytes:
         return b""
     return zstandard.train_dictionary(settings.dictionary_bytes, samples).as_bytes()
