@@ -424,10 +424,12 @@ def one_per_component(docs: DataFrame, settings: Settings = Settings()) -> DataF
 
     Rows without id stay.
     """
-    found = jaccard_components(docs, settings)
-    keepers = keep(
-        found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids"
-    )
-    with_id = docs.where("doc_id IS NOT NULL")
-    kept = with_id.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    found = keep(jaccard_components(docs, settings).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "components")
+    named = found.groupBy(F.col("doc_id").alias("gone")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    rest = keep(named.where("NOT first").select("gone"), "duplicate-ids")
+    kept = docs.join(rest, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    # Texts are dealt by id only where ids repeat.
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        kept = named.select(docs.columns).union(kept.where("doc_id IS NULL"))
+    return kept
