@@ -20,7 +20,9 @@ First, each document meets the smallest one of each of its blocks, and the most
 the texts. What is linked then is one component. Second, only blocks that hold several
 components are looked at again: their documents outside the block's largest component meet all
 others of another component. Blocks of over `heavy` documents need this only for documents with so
-many heavy blocks that no light one need be shared: at least 1 + s less the empty ones.
+many heavy blocks that no light one need be shared: at least 1 + s less the empty ones. Those (texts that
+consist of common passages, mostly) meet by single shingles, again in light groups first; documents of whose
+shingles four fifths occur in over `heavy` others meet by these, where sizes and counts allow it.
 So groups of copies cost a pair each, not all pairs, and no link between components is lost.
 
 Defined results: a NULL or empty text has no shingles and is linked with nothing; its component is
@@ -52,7 +54,7 @@ _SMALLEST = 4  # sets of fewer shingles are similar only if equal
 
 @dataclass(frozen=True)
 class Settings:
-    heavy: int = 32
+    heavy: int = 8
     block_filter_bits: int = 26
     document_filter_bits: int = 24
 
@@ -179,6 +181,12 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(values, kind))
 
 
+def _key_lists(keys: list[np.ndarray], left: list[list[tuple[int, int]]]) -> list[pa.ListArray]:
+    """The columns codes, needs, keys."""
+    codes, needs = ([np.array([x[i] for x in row], np.int32) for row in left] for i in (0, 1))
+    return [_lists(codes, pa.int32()), _lists(needs, pa.int32()), _lists([x.view(np.int64) for x in keys], pa.int64())]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
         sets, begin = shingle_sets(batch.column("text"))
@@ -194,9 +202,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(d1.view(np.int64)),
                 pa.array(d2.view(np.int64)),
                 _lists(list(sketches), pa.int64()),
-                _lists([np.array([x[0] for x in row], np.int32) for row in left], pa.int32()),
-                _lists([np.array([x[1] for x in row], np.int32) for row in left], pa.int32()),
-                _lists([x.view(np.int64) for x in keys], pa.int64()),
+                *_key_lists(keys, left),
             ],
             [x.split()[0] for x in _SKETCHED.split(", ")],
         )
@@ -338,43 +344,119 @@ def _shared(sketched: DataFrame, settings: Settings) -> DataFrame:
     return rows.join(groups, "key")
 
 
-def _second_pairs(shared: DataFrame, labels: DataFrame, sketched: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) of unlike components that share a block and that the first round need not have met."""
-    named = shared.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label")
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, n) of the blocks with documents of several components."""
+    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = (
+        named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     )
-    mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    rows = keep(named.join(mixed_keys.select("key", "n"), "key"), "mixed-blocks")
+    return keep(named.join(several.select("key", "n"), "key"), "mixed-blocks")
+
+
+def _minor(rows: DataFrame) -> DataFrame:
+    """`rows` of blocks with several components; `minor` outside the block's largest one."""
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels"))
+    return rows.join(largest.where("labels > 1"), "key").withColumn("minor", F.col("label") != F.col("largest"))
+
+
+def _light_pairs(mixed_rows: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of unlike components in blocks of at most `heavy` documents."""
+    rows = _minor(mixed_rows.where(F.col("n") <= settings.heavy).drop("n"))
+    one = rows.where("minor").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    two = rows.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
+    return one.join(two, "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _irregular(mixed_rows: DataFrame, sketched: DataFrame, settings: Settings) -> DataFrame:
+    """Documents that need not share a light block with a partner."""
     code = F.col("key").bitwiseAND(F.lit((1 << _CODE_BITS) - 1)).cast("int")
-    # Of heavy blocks only documents that may share heavy ones alone.
-    heavy = rows.where(F.col("n") > settings.heavy).withColumn("code", code)
-    needs = sketched.select("node", F.explode(F.arrays_zip("codes", "needs")).alias("x")).select("node", "x.codes", "x.needs")
-    irregular = (
-        heavy.groupBy("node", "code")
+    needs = sketched.select("node", F.explode(F.arrays_zip("codes", "needs")).alias("x")).select(
+        "node", F.col("x.codes").alias("code"), F.col("x.needs").alias("needs")
+    )
+    return (
+        mixed_rows.where(F.col("n") > settings.heavy)
+        .groupBy("node", code.alias("code"))
         .agg(F.count("*").alias("heavy"))
-        .join(needs.withColumnRenamed("codes", "code"), ["node", "code"])
+        .join(needs, ["node", "code"])
         .where("heavy >= needs")
-        .select("node", "code")
+        .select("node")
+        .distinct()
     )
-    rows = keep(
-        rows.where(F.col("n") <= settings.heavy)
-        .select("key", "node", "label")
-        .union(heavy.join(irregular, ["node", "code"], "left_semi").select("key", "node", "label")),
-        "second-blocks",
+
+
+def _shingles(nodes: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """The sets of the wanted documents (and of a few others, which does no harm), one shingle a block."""
+    held = BitFilter(wanted, "node", settings.document_filter_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = batch.filter(pa.array(held.may_hold(batch.column("slot").to_numpy().view(np.uint64))))
+            for part in sliced([chosen], "text"):
+                sets, begin = shingle_sets(part.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(np.diff(begin), pa.int64()), lists], ["node", "n_shingles", "keys"]
+                )
+
+    return nodes.select("node", "text", F.xxhash64("node").alias("slot")).mapInArrow(
+        run, "node long, n_shingles long, keys array<long>"
+    )
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) * 20).cast("int")
+
+
+def _heavy_pairs(mixed_rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) that have only shingles of over `heavy` documents in common.
+
+    With h heavy ones of its n shingles, a document has a partner of size m only if
+    9 h >= 4 (n + m), and the partner likewise. Partners are met by their size class.
+    """
+    heavy = mixed_rows.where(F.col("n") > settings.heavy).drop("n")
+    counted = (
+        heavy.groupBy("node").agg(F.count("*").alias("h")).join(sets.select("node", F.col("n_shingles").alias("size")), "node")
+        .where("10 * h >= 8 * size")
+    )
+    rows = keep(_minor(heavy.join(counted, "node")), "heavy-shingles")
+    low = F.col("size") * 0.8 * 0.999
+    high = F.least(F.col("size") * 1.25, F.col("h") * 2.25 - F.col("size")) * 1.001
+    one = rows.where("minor").select(
+        "key",
+        F.explode(F.sequence(_size_class(low), F.greatest(_size_class(low), _size_class(high)))).alias("class"),
+        F.col("node").alias("x"),
+        F.col("label").alias("lx"),
+        F.col("h").alias("hx"),
+        F.col("size").alias("nx"),
+    )
+    two = rows.select(
+        "key",
+        _size_class(F.col("size")).alias("class"),
+        F.col("node").alias("y"),
+        F.col("label").alias("ly"),
+        F.col("h").alias("hy"),
+        F.col("size").alias("ny"),
     )
-    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels"))
-    rows = rows.join(largest.where("labels > 1"), "key")
-    minor = rows.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    every = rows.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
     return (
-        minor.join(every, "key")
-        .where("lx <> ly")
+        one.join(two, ["key", "class"])
+        .where("lx <> ly AND 9 * least(hx, hy) >= 4 * (nx + ny)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
 
 
+def _second_pairs(
+    nodes: DataFrame, shared: DataFrame, labels: DataFrame, sketched: DataFrame, again: DataFrame, settings: Settings
+) -> DataFrame:
+    """Pairs (a, b) of unlike components that may be linked and that the first round need not have met."""
+    coarse = _mixed(shared, labels)
+    irregular = keep(_irregular(coarse, sketched, settings), "irregular")
+    sets = keep(_shingles(nodes, irregular, settings).join(again, "node", "left_anti"), "irregular-sets")
+    close = _mixed(_shared(sets, settings), labels)
+    return _light_pairs(coarse, settings).union(_light_pairs(close, settings)).union(_heavy_pairs(close, sets, settings)).distinct()
+
+
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, and links, the verified links that were needed to find it."""
     nodes, ids = _numbered(docs)
@@ -404,7 +486,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     )
     links = keep(verified(keep(best, "first-pairs"), nodes, settings), "first-links")
     labels = components(links)
-    second = keep(_plausible(_second_pairs(shared, labels, sketched, settings), small).select("a", "b"), "second-pairs")
+    second = keep(_plausible(_second_pairs(nodes, shared, labels, sketched, again, settings), small).select("a", "b"), "second-pairs")
     more = keep(verified(second, nodes, settings), "second-links")
     named = components(links.union(more).union(copies))
     least = (
