@@ -7,7 +7,8 @@ the expected grade and the tail probability P(grade >= 2), by which documents ar
 selected.
 
 Features (presence of each, hashed to `dimensions`): lower-cased words, the beginnings
-of words (4 and 5 bytes), their last 2 bytes, and whether a word repeats the one before.
+of words (4 and 5 bytes), their last 2 bytes, whether a word repeats the one before, and how
+dense capitals, symbols and repeated words are. Only features that depend on the grade in the sample (chi-square) get a weight.
 
 The model is fitted on a bounded sample: the `train_rows` rated documents that come
 first by a hash of their id. Everything else covers all rows.
@@ -33,18 +34,39 @@ from .common import keep, texts
 from .words import Words, mixed, sliced
 
 GRADES = 3
+_CAPITALS, _SYMBOLS = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_CAPITALS[ord("A") : ord("Z") + 1] = 1
+_SYMBOLS[list(b"!#$%&*+<=>@[]^_`{|}~")] = 1
 
 
 @dataclass(frozen=True)
 class Settings:
     train_rows: int = 8_192
-    dimensions: int = 1 << 18
+    dimensions: int = 1 << 22
     steps: int = 120
     rate: float = 0.1
     # Features of fewer rated documents get no weight.
     least_documents: int = 3
-    penalty: float = 1e-4
-    least_tail: float = 0.5
+    # Nor do features with a lower chi-square statistic: most words say nothing about quality.
+    least_chi2: float = 60.0
+    penalty: float = 1e-3
+    least_tail: float = 0.35
+
+
+def _densities(words: Words, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of how dense capitals, symbols and repeated words are, in steps of a tenth (none below one)."""
+    n_bytes, n_words = np.maximum(np.diff(words.rows), 1), np.maximum(words.counts, 1)
+    shares = [np.bincount(repeats, minlength=len(n_words)) / n_words]
+    for table, scale in ((_CAPITALS, 1), (_SYMBOLS, 2)):
+        total = np.concatenate(([0], np.cumsum(table[words.raw])))
+        shares.append(scale * np.diff(total[words.rows]) / n_bytes)
+    rows, hashes = [], []
+    for kind, share in enumerate(shares):
+        step = np.minimum(share * 10, 9).astype(np.int64)
+        filled = np.flatnonzero(step)
+        rows.append(filled)
+        hashes.append(mixed((1_000 + 10 * kind + step[filled]).astype(np.uint64)))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def feature_rows(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +86,9 @@ def feature_rows(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndar
         salted = [mixed(h + np.uint64(k)) for k, h in enumerate(kinds)]
     again = np.flatnonzero((whole[1:] == whole[:-1]) & (row[1:] == row[:-1])) + 1
     salted.append(np.full(len(again), mixed(np.array([99], np.uint64))[0]))
-    rows = np.concatenate([np.tile(row, len(kinds)), row[again]])
+    dense_row, dense = _densities(words, row[again])
+    salted.append(dense)
+    rows = np.concatenate([np.tile(row, len(kinds)), row[again], dense_row])
     index = np.concatenate(salted) & np.uint64(dimensions - 1)
     both = np.unique((rows.astype(np.uint64) << np.uint64(32)) | index)
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -84,6 +108,22 @@ class Model:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
+def telling_features(index: np.ndarray, grade: np.ndarray, grades: np.ndarray, settings: Settings) -> np.ndarray:
+    """Features whose presence depends on the grade, by the chi-square statistic over the grades.
+
+    `grade` is the grade of the document of each entry of `index`.
+    """
+    counts = np.stack([np.bincount(index[grade == g], minlength=settings.dimensions) for g in range(GRADES)], axis=1)
+    of_grade = np.bincount(grades, minlength=GRADES)
+    seen, n = counts.sum(axis=1), len(grades)
+    expected = seen[:, None] * of_grade[None, :] / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(expected > 0, (counts - expected) ** 2 / expected, 0.0)
+        # Presence and absence together.
+        chi2 = terms.sum(axis=1) * n / np.maximum(n - seen, 1)
+    return np.flatnonzero((seen >= settings.least_documents) & (chi2 >= settings.least_chi2))
+
+
 def fit(rows: np.ndarray, index: np.ndarray, grades: np.ndarray, settings: Settings) -> Model:
     """Minimise the negative log likelihood by Adam over the whole sample in each step."""
     n = len(grades)
@@ -92,8 +132,7 @@ def fit(rows: np.ndarray, index: np.ndarray, grades: np.ndarray, settings: Setti
         return model
     shares = np.clip([(grades <= k).mean() for k in range(GRADES - 1)], 1e-3, 1 - 1e-3)
     first = np.log(shares / (1 - shares))
-    seen = np.bincount(index, minlength=settings.dimensions)
-    used = np.flatnonzero(seen >= settings.least_documents)
+    used = telling_features(index, grades[rows], grades, settings)
     place = np.full(settings.dimensions, -1, np.int64)
     place[used] = np.arange(len(used))
     known = place[index] >= 0

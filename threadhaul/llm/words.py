@@ -53,6 +53,7 @@ class Words:
         raw = column.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)[begin:end] if raw is not None and end > begin else np.zeros(0, np.uint8)
         self.rows = offsets - begin if len(column) else np.zeros(1, np.int64)
+        self.raw = data
         self.data = _LOWER[data] if lower else data
         inside = ~_SPACES[data]
         opens = inside.copy()
