@@ -39,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -408,39 +408,55 @@ def _size_class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) * 20).cast("int")
 
 
-def _heavy_pairs(mixed_rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _heavy_pairs(mixed_rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that have only shingles of over `heavy` documents in common.
 
     With h heavy ones of its n shingles, a document has a partner of size m only if
-    9 h >= 4 (n + m), and the partner likewise. Partners are met by their size class.
+    9 h >= 4 (n + m), and the partner likewise; partners are met by their size class. The document
+    of the smaller component looks for the other. As at least 4 n / 5 of its shingles must be shared,
+    it looks under its h - 4 n / 5 + 1 rarest heavy ones only.
     """
-    heavy = mixed_rows.where(F.col("n") > settings.heavy).drop("n")
     counted = (
-        heavy.groupBy("node").agg(F.count("*").alias("h")).join(sets.select("node", F.col("n_shingles").alias("size")), "node")
+        mixed_rows.groupBy("node").agg(F.count("*").alias("h"))
+        .join(sets.select("node", F.col("n_shingles").alias("size")), "node")
         .where("10 * h >= 8 * size")
     )
-    rows = keep(_minor(heavy.join(counted, "node")), "heavy-shingles")
+    rows = mixed_rows.join(counted, "node")
+    members = rows.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("members"))
+    rarest = Window.partitionBy("node").orderBy("n", "key")
+    rows = keep(
+        rows.join(members, "label").select(
+            "key", "node", "h", "size", F.struct("members", "label").alias("component"), F.row_number().over(rarest).alias("place")
+        ),
+        "heavy-shingles",
+    )
+    top = rows.groupBy("key").agg(F.max("component").alias("top"))
     low = F.col("size") * 0.8 * 0.999
     high = F.least(F.col("size") * 1.25, F.col("h") * 2.25 - F.col("size")) * 1.001
-    one = rows.where("minor").select(
-        "key",
-        F.explode(F.sequence(_size_class(low), F.greatest(_size_class(low), _size_class(high)))).alias("class"),
-        F.col("node").alias("x"),
-        F.col("label").alias("lx"),
-        F.col("h").alias("hx"),
-        F.col("size").alias("nx"),
+    one = (
+        rows.where(F.col("place") <= F.col("h") - F.ceil(F.col("size") * 4 / 5) + 1)
+        .join(top, "key")
+        .where("component < top")
+        .select(
+            "key",
+            F.explode(F.sequence(_size_class(low), F.greatest(_size_class(low), _size_class(high)))).alias("class"),
+            F.col("node").alias("x"),
+            F.col("component").alias("cx"),
+            F.col("h").alias("hx"),
+            F.col("size").alias("nx"),
+        )
     )
     two = rows.select(
         "key",
         _size_class(F.col("size")).alias("class"),
         F.col("node").alias("y"),
-        F.col("label").alias("ly"),
+        F.col("component").alias("cy"),
         F.col("h").alias("hy"),
         F.col("size").alias("ny"),
     )
     return (
         one.join(two, ["key", "class"])
-        .where("lx <> ly AND 9 * least(hx, hy) >= 4 * (nx + ny)")
+        .where("cx < cy AND 9 * least(hx, hy) >= 4 * (nx + ny)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
@@ -454,7 +470,7 @@ def _second_pairs(
     irregular = keep(_irregular(coarse, sketched, settings), "irregular")
     sets = keep(_shingles(nodes, irregular, settings).join(again, "node", "left_anti"), "irregular-sets")
     close = _mixed(_shared(sets, settings), labels)
-    return _light_pairs(coarse, settings).union(_light_pairs(close, settings)).union(_heavy_pairs(close, sets, settings)).distinct()
+    return _light_pairs(coarse, settings).union(_light_pairs(close, settings)).union(_heavy_pairs(close.where(F.col("n") > settings.heavy), sets)).distinct()
 
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
