@@ -41,7 +41,7 @@ _SYMBOLS[list(b"!#$%&*+<=>@[]^_`{|}~")] = 1
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 8_192
+    train_rows: int = 6_144
     dimensions: int = 1 << 22
     steps: int = 120
     rate: float = 0.1
@@ -108,20 +108,23 @@ class Model:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def telling_features(index: np.ndarray, grade: np.ndarray, grades: np.ndarray, settings: Settings) -> np.ndarray:
-    """Features whose presence depends on the grade, by the chi-square statistic over the grades.
-
-    `grade` is the grade of the document of each entry of `index`.
-    """
-    counts = np.stack([np.bincount(index[grade == g], minlength=settings.dimensions) for g in range(GRADES)], axis=1)
-    of_grade = np.bincount(grades, minlength=GRADES)
-    seen, n = counts.sum(axis=1), len(grades)
-    expected = seen[:, None] * of_grade[None, :] / n
+def telling_features(rows: np.ndarray, index: np.ndarray, grades: np.ndarray, settings: Settings) -> np.ndarray:
+    """Features whose presence depends on the grade, by the chi-square statistic over the grades."""
+    seen = np.bincount(index, minlength=settings.dimensions)
+    often = np.flatnonzero(seen >= settings.least_documents)
+    place = np.full(settings.dimensions, -1, np.int32)
+    place[often] = np.arange(len(often), dtype=np.int32)
+    known = place[index]
+    chosen = known >= 0
+    cells = known[chosen].astype(np.int64) * GRADES + grades[rows[chosen]]
+    counts = np.bincount(cells, minlength=GRADES * len(often)).reshape(-1, GRADES)
+    n, seen = len(grades), seen[often]
+    expected = seen[:, None] * np.bincount(grades, minlength=GRADES)[None, :] / n
     with np.errstate(divide="ignore", invalid="ignore"):
         terms = np.where(expected > 0, (counts - expected) ** 2 / expected, 0.0)
         # Presence and absence together.
         chi2 = terms.sum(axis=1) * n / np.maximum(n - seen, 1)
-    return np.flatnonzero((seen >= settings.least_documents) & (chi2 >= settings.least_chi2))
+    return often[chi2 >= settings.least_chi2]
 
 
 def fit(rows: np.ndarray, index: np.ndarray, grades: np.ndarray, settings: Settings) -> Model:
@@ -132,11 +135,12 @@ def fit(rows: np.ndarray, index: np.ndarray, grades: np.ndarray, settings: Setti
         return model
     shares = np.clip([(grades <= k).mean() for k in range(GRADES - 1)], 1e-3, 1 - 1e-3)
     first = np.log(shares / (1 - shares))
-    used = telling_features(index, grades[rows], grades, settings)
-    place = np.full(settings.dimensions, -1, np.int64)
-    place[used] = np.arange(len(used))
+    used = telling_features(rows, index, grades, settings)
+    place = np.full(settings.dimensions, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     known = place[index] >= 0
     rows, column = rows[known], place[index[known]]
+    del index, known, place
     # Weights, the first threshold, and the logarithm of the gap to the second.
     value = np.concatenate([np.zeros(len(used)), [first[0], np.log(max(first[1] - first[0], 1e-2))]])
     mean, square = np.zeros_like(value), np.zeros_like(value)
@@ -193,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     got = sample.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by("doc_id")
     lists = got.column("features").combine_chunks()
     sizes = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
-    index = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(np.repeat(np.arange(len(sizes)), sizes), index, got.column("grade").to_numpy().astype(np.int64), settings)
+    index = lists.flatten().to_numpy(zero_copy_only=False)
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), index, got.column("grade").to_numpy().astype(np.int64), settings)
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
