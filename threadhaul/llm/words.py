@@ -108,7 +108,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 # Bytes of text that are worked on at once; a longer single text is a part of its own.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
