@@ -2,7 +2,6 @@ import dataclasses
 import json
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from threadhaul import schemas as S
@@ -13,8 +12,8 @@ from threadhaul.plans.export import (
     paged_source_reader,
 )
 from threadhaul.settings import SettingsError
-from threadhaul.sources.folder_service import FolderFetcher, write_page_folder
-from threadhaul.sources.paged import register_paged_source, slice_window
+from threadhaul.queries.page_service import FolderFetcher, write_page_folder
+from threadhaul.sources.paged import PageResponse, register_paged_source, slice_window
 from threadhaul.streaming.pages import PageStreamExport, page_stream
 from threadhaul.tables import SchemaVersionError
 
@@ -140,18 +139,109 @@ def test_refused_messages(spark, store, settings, pages, tmp_path, roster_folder
     assert report.refused == 2
     assert keys(store) == [("u1", "", "0"), ("u1", "c", "1"), ("u2", "c", "1")]
     assert done(store) == ["u2"]
-    problems = spark.read.parquet(report.folder + "/refused").select("problem").collect()
+    problems = spark.read.parquet(report.folder + "/group=0/refused").select("problem").collect()
     assert sorted(r["problem"] for r in problems) == ["chatId", "id"]
     with pytest.raises(ExportFailed):
         ChatExport(spark, dataclasses.replace(settings, strict=True)).run(roster, reader)
 
 
-def test_too_long_values_fail_the_run(spark, store, settings, pages, tmp_path, roster_folder):
-    rows = [pages.page("u1", 0, [pages.message("1", chat="c" * 201)])]
+def test_too_long_values_are_refused(spark, store, settings, pages, tmp_path, roster_folder):
+    rows = [pages.page("u1", 0, [pages.message("1", chat="c" * 201)]), pages.page("u2", 0, [pages.message("1", chat="c" * 200)])]
     reader = landed_pages_reader(spark.read.parquet(land(spark, pages, tmp_path, rows)))
-    with pytest.raises(PySparkException, match="EXCEED_LIMIT_LENGTH"):
-        ChatExport(spark, settings).run(roster_folder("u1"), reader)
-    assert keys(store) == [] and done(store) == []
+    report = ChatExport(spark, settings).run(roster_folder("u1", "u2"), reader)
+    assert keys(store) == [("u2", "c" * 200, "1")] and done(store) == ["u2"]
+    problems = spark.read.parquet(report.folder + "/group=0/refused").select("problem").collect()
+    assert [r["problem"] for r in problems] == ["chatId is longer than 200"]
+
+
+def test_a_failed_attempt_does_not_bind_the_next(spark, store, settings, pages, roster_folder):
+    m = pages.message
+    first = [pages.page("u", 0, [m("1")], more=True), pages.page("u", 1, status=500)]
+    second = [pages.page("u", n, [m(str(n + 1))], more=n < 3) for n in range(4)]
+    landed = lambda rows, attempt: pages.frame(spark, rows).withColumn("attempt", F.lit(attempt))
+    roster = roster_folder("u")
+    report = ChatExport(spark, settings).run(roster, landed_pages_reader(landed(first, 0)))
+    assert (report.failed, report.finished) == (1, 0) and keys(store) == [("u", "c", "1")]
+    both = landed(first, 0).unionByName(landed(second, 1))
+    report = ChatExport(spark, settings).run(roster, landed_pages_reader(both))
+    assert (report.failed, report.finished, report.inserted) == (0, 1, 3)
+    assert [k[2] for k in keys(store)] == ["1", "2", "3", "4"] and done(store) == ["u"]
+
+
+def test_gaps_leave_a_chain_open(spark, store, settings, pages, roster_folder):
+    m = pages.message
+    rows = [pages.page("u", 0, [m("1")], more=True), pages.page("u", 2, [m("3")])]
+    roster = roster_folder("u")
+    report = ChatExport(spark, settings).run(roster, landed_pages_reader(pages.frame(spark, rows)))
+    assert (report.finished, report.failed) == (0, 0) and done(store) == []
+    rows.append(pages.page("u", 1, [m("2")], more=True))
+    report = ChatExport(spark, settings).run(roster, landed_pages_reader(pages.frame(spark, rows)))
+    assert report.finished == 1 and [k[2] for k in keys(store)] == ["1", "2", "3"]
+
+
+def counting_fetcher(folder, broken):
+    """A fetcher that raises for some users, and notes in files whom it was asked for."""
+
+    class Counting:
+        def fetch(self, request):
+            import uuid
+            from pathlib import Path
+
+            Path(folder, f"{request.mailbox}-{uuid.uuid4().hex}").touch()
+            if request.mailbox in broken:
+                raise OSError("connection reset")
+            time = "2024-05-01T10:00:00Z"
+            message = {"id": "1", "chatId": "c", "createdDateTime": time, "lastModifiedDateTime": time}
+            return PageResponse(200, json.dumps({"value": [message]}))
+
+    return Counting()
+
+
+def test_groups_survive_failures_and_restarts(spark, store, settings, tmp_path, roster_folder, monkeypatch):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    users = [f"u{n}" for n in range(20)]
+    source = register_paged_source(spark, counting_fetcher(str(asked), {"u7"}), "counting")
+    grouped = dataclasses.replace(settings, groups=3)
+    reader = paged_source_reader(spark, source, grouped, groups=2)
+    export = ChatExport(spark, grouped)
+    append, calls = export.store.append_messages, []
+
+    def killed(rows):
+        if calls:
+            raise RuntimeError("killed")
+        calls.append(append(rows))
+
+    monkeypatch.setattr(export.store, "append_messages", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        export.run(roster_folder(*users), reader)
+    first = done(store)
+    assert 0 < len(first) < 19
+    report = ChatExport(spark, grouped).run(None, reader)
+    assert (report.failed, report.pending) == (1, 20 - len(first))
+    assert sorted(done(store)) == sorted(set(users) - {"u7"}) and len(keys(store)) == 19
+    times = [p.name.split("-")[0] for p in asked.iterdir()]
+    assert all(times.count(user) == 1 for user in first)
+    users_log = spark.read.parquet(report.folder + "/log").where("event = 'user'")
+    assert users_log.count() == 2 * report.pending
+    summary = report.summary(spark).first()
+    assert summary["items"] == report.messages and summary["elapsed_ms"] > 0
+
+
+def test_other_sessions_are_seen(spark, store, settings, pages, roster_folder):
+    """Two sessions store the same messages: each key is there once."""
+    from threadhaul.tables import ChatStore
+
+    rows = [pages.page("u1", 0, [pages.message("1")])]
+    other = spark.newSession()
+    reader = landed_pages_reader(pages.frame(spark, rows))
+    assert store.read(S.MESSAGE_TABLE).count() == 0 and ChatStore(other, settings).read(S.MESSAGE_TABLE).count() == 0
+    roster = roster_folder("u1")
+    ChatExport(spark, settings).run(roster, reader)
+    with_other = landed_pages_reader(other.createDataFrame(rows, S.LANDED_PAGE))
+    report = ChatExport(other, settings).run(roster, with_other)
+    assert (report.pending, report.inserted) == (0, 0)
+    assert keys(store) == [("u1", "c", "1")] and done(store) == ["u1"]
 
 
 def test_guards(spark, settings, tmp_path, roster_folder):
@@ -208,7 +298,14 @@ def test_old_roster_versions_are_removed(spark, store, settings, tmp_path):
     assert len(versions) == 2
 
 
+def load_roster(spark, settings, *users):
+    rows = [(None, user, None, "f", 0, n) for n, user in enumerate(users)]
+    kinds = "DisplayName string, ExternalDirectoryObjectId string, PrimarySmtpAddress string, file_path string, block_start long, position long"
+    ChatExport(spark, settings).store.upsert_roster(spark.createDataFrame(rows, kinds))
+
+
 def test_stream_equals_batch(spark, store, settings, pages, tmp_path, roster_folder):
+    load_roster(spark, settings, *{row[0] for row in scenario(pages)[:-1]})
     landing = land(spark, pages, tmp_path, scenario(pages)[:-1])
     stream = page_stream(spark, landing)
     export = PageStreamExport(spark, settings, str(tmp_path / "state"))
@@ -223,6 +320,7 @@ def test_stream_equals_batch(spark, store, settings, pages, tmp_path, roster_fol
 
 def test_stream_keeps_chain_ends_across_batches(spark, store, settings, pages, tmp_path):
     m = pages.message
+    load_roster(spark, settings, "u")
     export = PageStreamExport(spark, settings, str(tmp_path / "state"))
     for row in (
         pages.page("u", 0, [m("1")], more=True),
@@ -234,8 +332,45 @@ def test_stream_keeps_chain_ends_across_batches(spark, store, settings, pages, t
     assert keys(store) == [("u", "c", "1")] and done(store) == ["u"]
 
 
+def test_stream_knows_strangers_refusals_and_order(spark, store, settings, pages, tmp_path, roster_folder):
+    """What a batch run over the same pages stores and finishes."""
+    m = pages.message
+    rows = [
+        pages.page("late", 1, [m("2")]),  # its first page comes later
+        pages.page("bad", 0, [m(None)], more=True),
+        pages.page("stranger", 0, [m("1")]),
+        pages.page("bad", 1, [m("2")]),
+        pages.page("late", 0, [m("1")], more=True),
+        pages.page("open", 0, [m("1")], more=True),
+    ]
+    load_roster(spark, settings, "late", "bad", "open")
+    export = PageStreamExport(spark, settings, str(tmp_path / "state"))
+    after = []
+    for row in rows:
+        export.run(page_stream(spark, land(spark, pages, tmp_path, [row])))
+        after.append(done(store))
+    assert after == [[], [], [], [], ["late"], ["late"]]
+    streamed = keys(store)
+    other = dataclasses.replace(settings, database=settings.database + "_b", database_location=str(tmp_path / "b"), reset=True)
+    batch = ChatExport(spark, other)
+    batch.run(roster_folder("late", "bad", "open"), landed_pages_reader(pages.frame(spark, rows)))
+    assert keys(batch.store) == streamed and done(batch.store) == ["late"]
+    assert not list((tmp_path / "state" / "staged").rglob("*.parquet"))
+
+
+def test_stream_deletes_finished_files(spark, store, settings, pages, tmp_path):
+    load_roster(spark, settings, "u0", "u1", "u2")
+    export = PageStreamExport(spark, settings, str(tmp_path / "state"))
+    for number in range(3):
+        landing = land(spark, pages, tmp_path, [pages.page(f"u{number}", 0, [pages.message("1")])])
+        export.run(page_stream(spark, landing, delete=True))
+    assert len(keys(store)) == 3
+    assert len(list((tmp_path / "landing").rglob("*.parquet"))) < 3
+
+
 def test_stream_archives_finished_files(spark, store, settings, pages, tmp_path):
     m = pages.message
+    load_roster(spark, settings, "u0", "u1", "u2")
     export = PageStreamExport(spark, settings, str(tmp_path / "state"))
     archive = str(tmp_path / "archive")
     for number in range(3):

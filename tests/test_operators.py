@@ -225,7 +225,7 @@ def test_sql_text(spark):
 
 def test_concat(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", "z")], "g string, v string")
-    assert tuples(string_concat_agg(df, ["g"], "v")) == [("a", "x;y"), ("b", "z")]
+    assert tuples(string_concat_agg(df, ["g"], "v")) == [("a", "x;x;y"), ("b", "z")]
 
 
 def test_rates_and_reports(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadhaul.operators import chain
 from threadhaul.sources.files import (
     EmptySourceError,
+    matching_bytes,
     read_binary,
     read_whole_text,
     scan_wildcard_files,
@@ -188,3 +189,32 @@ def test_model_b_first(spark, pages):
     assert [r["disposition"] for r in judged.collect()] == [chain.SWITCH, chain.CONSUME]
     row = spark.range(1).select(chain.classify_status(F.lit(402), F.lit(None).cast("string")))
     assert row.first()[0] == chain.SWITCH
+
+
+def test_root_is_cut_as_a_prefix(spark, tmp_path, monkeypatch):
+    """The root's name again below it, and other spellings of the root."""
+    root = tmp_path / "data"
+    nested = root / "x" / str(root).lstrip("/")
+    nested.mkdir(parents=True)
+    (root / "AllMailBoxes1.json").write_text("[]")
+    (nested / "AllMailBoxes3.json").write_text("[]")
+    monkeypatch.chdir(tmp_path)
+    inner = f"x/{str(root).lstrip('/')}/AllMailBoxes3.json"
+    for spelled in (str(root), f"{root}/", f"{tmp_path}//data", f"{root}/../data", f"file:{root}", f"file://{root}"):
+        names = [r["name"] for r in scan_wildcard_files(spark, spelled, "*.json").collect()]
+        assert sorted(names) == ["AllMailBoxes1.json", inner], spelled
+        top = [r["name"] for r in scan_wildcard_files(spark, spelled, "AllMailBoxes*.json").collect()]
+        assert top == ["AllMailBoxes1.json"], spelled
+        assert matching_bytes(spark, spelled, "AllMailBoxes*.json") == 2
+
+
+def test_line_rosters_are_strict_when_asked(spark):
+    lines = spark.createDataFrame(
+        [("f", 0, '{"ExternalDirectoryObjectId":"a"}'), ("f", 0, "null"), ("f", 0, "not json"), ("f", 0, " "), ("f", 0, "// note")],
+        "name string, block_start long, value string",
+    )
+    roster = split_roster(roster_rows_from_lines(lines))
+    assert [r["ExternalDirectoryObjectId"] for r in roster.mailboxes.collect()] == ["a"]
+    assert sorted(r["raw"] for r in roster.quarantine.collect()) == ["not json", "null"]
+    with pytest.raises(Exception, match="not a roster object"):
+        roster_rows_from_lines(lines, strict=True).collect()

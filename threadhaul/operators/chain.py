@@ -44,7 +44,7 @@ def chain_position(page_no: Column, model: Column, first_model: str = S.MODELS[0
 
 
 def with_disposition(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFrame:
-    """Add `disposition`, `terminal`, `chain_pos` and a missing `slice` to landed pages.
+    """Add `disposition`, `terminal`, `chain_pos`, and a missing `slice` or `attempt` (0) to landed pages.
 
     A page marked `malformed` fails. It is optional: without the column bodies
     are not looked at.
@@ -52,8 +52,9 @@ def with_disposition(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFr
     disposition = classify_status(F.col("status"), F.col("model"), first_model)
     if "malformed" in pages.columns:
         disposition = F.when(F.col("malformed"), FAIL).otherwise(disposition)
-    if "slice" not in pages.columns:
-        pages = pages.withColumn("slice", F.lit(0))
+    for name in ("slice", "attempt"):
+        known = F.col(name) if name in pages.columns else F.lit(None)
+        pages = pages.withColumn(name, F.coalesce(known.cast("int"), F.lit(0)))
     last = (F.col("disposition") == CONSUME) & F.col("next_link").isNull()
     return (
         pages.withColumn("disposition", disposition)
@@ -62,35 +63,62 @@ def with_disposition(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFr
     )
 
 
+ATTEMPT_KEY = [*S.CHAIN_KEY, "attempt"]
+
+
 def chain_outcomes(judged: DataFrame) -> DataFrame:
-    """Per chain: `cutoff`, the last position seen, and the outcome."""
+    """Per attempt at a chain: `cutoff`, the last position seen, and the outcome.
+
+    A chain has ended only when every page before its end was consumed; one with a
+    gap is still open. Pages are reduced to one row each first, as a page may have
+    been landed several times.
+    """
     at_end = F.when(F.col("terminal"), F.col("chain_pos"))
     # Small numbers instead of names keep the aggregation in fixed-width buffers.
     code = (
         F.when(F.col("disposition") == CONSUME, 0).when(F.col("disposition") == SKIP, 1).otherwise(2)
     )
-    ends = judged.groupBy(*S.CHAIN_KEY).agg(
-        F.min(at_end).alias("cutoff"),
+    pages = judged.groupBy(*ATTEMPT_KEY, "page_no").agg(
+        F.min(at_end).alias("__end"),
         F.min_by(code, at_end).alias("__code"),
-        F.max("chain_pos").alias("last_pos"),
+        F.max("chain_pos").alias("__pos"),
+        F.bool_or(F.col("disposition") == CONSUME).alias("__consumed"),
     )
+    ends = pages.groupBy(*ATTEMPT_KEY).agg(
+        F.min("__end").alias("cutoff"),
+        F.min_by("__code", "__end").alias("__code"),
+        F.max("__pos").alias("last_pos"),
+    )
+    before = (
+        pages.where("__consumed")
+        .select(*ATTEMPT_KEY, "page_no")
+        .join(ends.select(*ATTEMPT_KEY, "cutoff"), ATTEMPT_KEY)
+        .where(F.col("page_no") < F.floor(F.col("cutoff") / 2))
+        .groupBy(*ATTEMPT_KEY)
+        .agg(F.count("*").alias("__before"))
+    )
+    whole = F.coalesce("__before", F.lit(0)) == F.floor(F.col("cutoff") / 2)
     outcome = (
         F.when(F.col("cutoff").isNull(), OPEN)
+        .when(F.col("__code") == 2, FAILED)
+        .when(~whole, OPEN)
         .when(F.col("__code") == 0, COMPLETE)
-        .when(F.col("__code") == 1, SKIPPED)
-        .otherwise(FAILED)
+        .otherwise(SKIPPED)
     )
-    return ends.withColumn("outcome", outcome).drop("__code")
+    return ends.join(before, ATTEMPT_KEY, "left").withColumn("outcome", outcome).drop("__code", "__before")
+
+
+def beyond_end(outcomes: DataFrame) -> DataFrame:
+    """The chains with rows beyond their end: none unless pages were landed after it."""
+    return outcomes.where(F.col("last_pos") > F.col("cutoff")).select(*ATTEMPT_KEY, "cutoff")
 
 
-def within_chain(judged: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Rows up to the end of their chain.
+def within_chain(judged: DataFrame, overlong: DataFrame) -> DataFrame:
+    """Rows up to the end of their chain; `overlong` comes from `beyond_end`.
 
-    Only chains with rows beyond their end take part in the join; there are
-    none unless pages were landed after a chain had ended.
+    An attempt ends by its own pages: one that failed does not bind a later one.
     """
-    overlong = outcomes.where(F.col("last_pos") > F.col("cutoff")).select(*S.CHAIN_KEY, "cutoff")
-    joined = judged.join(overlong, S.CHAIN_KEY, "left")
+    joined = judged.join(overlong, ATTEMPT_KEY, "left")
     return joined.where(
         F.col("cutoff").isNull() | (F.col("chain_pos") <= F.col("cutoff"))
     ).drop("cutoff")
@@ -99,11 +127,12 @@ def within_chain(judged: DataFrame, outcomes: DataFrame) -> DataFrame:
 def page_chain_prefix(pages: DataFrame, first_model: str = S.MODELS[0]) -> DataFrame:
     """Landed pages that count, judged; ends are found without reading any body."""
     judged = with_disposition(pages, first_model)
-    return within_chain(judged, chain_outcomes(judged))
+    return within_chain(judged, beyond_end(chain_outcomes(judged)))
 
 
 def user_outcomes(outcomes: DataFrame) -> DataFrame:
-    """Per mailbox: the worst outcome of its chains (failed, open, skipped, complete)."""
+    """Per mailbox: the worst outcome of its chains (failed, open, skipped, complete), each by its latest attempt."""
+    outcomes = outcomes.groupBy(*S.CHAIN_KEY).agg(F.max_by("outcome", "attempt").alias("outcome"))
     names = F.array(*[F.lit(name) for name in (COMPLETE, SKIPPED, OPEN, FAILED)])
     rank = F.array_position(names, F.col("outcome")).cast("int")
     worst = outcomes.groupBy("mailbox").agg(F.max(rank).alias("__rank"))

@@ -32,6 +32,14 @@ def message_problem(mailbox: Column, chat_id: Column, message_id: Column) -> Col
     )
 
 
+def length_problem(columns: dict[str, Column], lengths: dict[str, int]) -> Column:
+    """Which value is too long for its stored column; NULL when all fit."""
+    found = F.lit(None).cast("string")
+    for name, most in lengths.items():
+        found = F.coalesce(found, F.when(F.length(columns[name]) > most, F.lit(f"{name} is longer than {most}")))
+    return found
+
+
 def validate_messages(df: DataFrame, mailbox: str, chat_id: str, message_id: str) -> DataFrame:
     """Add `problem`, for a run that rejects and reports."""
     return df.withColumn(

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,16 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.chain import (
+    ATTEMPT_KEY,
     FAILED,
+    beyond_end,
     chain_outcomes,
     completed_users,
     user_outcomes,
     with_disposition,
     within_chain,
 )
-from ..operators.filters import time_window_filter
-from ..operators.metrics import RUN_LOG, append_run_log, observed, observed_values, run_summary
+from ..operators.metrics import RUN_LOG, append_run_log, id_collisions, run_summary
 from ..operators.worklist import resume_worklist
 from ..runtime import configure, scratch, stored
 from ..settings import ExportSettings
@@ -53,39 +53,59 @@ class RunReport:
     bad_urls: int = 0
     finished: int = 0
     failed: int = 0
+    collisions: int = 0
     bytes_read: int = 0
     bytes_written: int = 0
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        return run_summary(spark.read.parquet(f"{self.folder}/log"))
+        """Processed messages, bytes and times of the run, from its log."""
+        log = spark.read.parquet(f"{self.folder}/log")
+        return run_summary(log.withColumn("items", F.when(F.col("event") == "messages", F.col("items"))))
 
 
-def stage_pages(pages: DataFrame, first_model: str, path: str) -> DataFrame:
-    """Parse every body once, and keep the rows in columns for the steps that follow."""
-    judged = with_disposition(explode_pages(pages, keep_empty=True), first_model)
+def stage_pages(
+    pages: DataFrame, first_model: str, path: str, window: tuple[datetime, datetime]
+) -> DataFrame:
+    """Parse every body once, and keep the rows in columns for the steps that follow.
+
+    Messages outside the window go before anything is built from them; a page
+    without messages inside it keeps one row.
+    """
+    if "fetched_at" not in pages.columns:
+        pages = pages.withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    pages = pages.withColumn("bytes", F.octet_length("body").cast("bigint"))
+    judged = with_disposition(explode_pages(pages, keep_empty=True, window=window), first_model)
+    page = F.struct("fetched_at", "bytes", "held")
     rows = checked_messages(
-        judged, "slice", "chain_pos", "position", "disposition", "terminal"
+        judged.withColumn("page", page),
+        *ATTEMPT_KEY[1:],
+        "page_no",
+        "chain_pos",
+        "position",
+        "disposition",
+        "terminal",
+        "page",
     )
     return stored(rows, path)
 
 
 def headers(staged: DataFrame) -> DataFrame:
     """One row per landed page, without its messages."""
-    first = F.coalesce(F.col("position"), F.lit(0)) == 0
-    return staged.where(first).select(*S.CHAIN_KEY, "chain_pos", "disposition", "terminal")
+    return staged.groupBy(*ATTEMPT_KEY, "page_no", "chain_pos", "disposition", "terminal").agg(
+        F.max("page").alias("page")
+    )
 
 
 def store_outcomes(pages: DataFrame, path: str) -> DataFrame:
-    """One small row per chain, stored: its size is then known to the planner."""
+    """One small row per attempt at a chain, stored: its size is then known to the planner."""
     return stored(chain_outcomes(pages), path)
 
 
-def messages_in_window(
-    staged: DataFrame, outcomes: DataFrame, start: datetime, end: datetime
-) -> DataFrame:
-    """Messages of the pages that count, strictly inside the window."""
-    rows = within_chain(staged, outcomes).where(F.col("position").isNotNull())
-    return time_window_filter(rows, "lastModifiedDateTime", start, end)
+def messages_that_count(staged: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Messages of the pages that count; without pages beyond an end, which is usual, there is no join."""
+    rows = staged.where(F.col("position").isNotNull())
+    overlong = beyond_end(outcomes)
+    return rows if overlong.isEmpty() else within_chain(rows, overlong)
 
 
 def refused(messages: DataFrame) -> DataFrame:
@@ -116,125 +136,117 @@ class ChatExport:
         self.settings.window(self.spark)
         folder = scratch(self.spark, "run")
         run_id = folder.rsplit("-", 1)[-1]
+        self._log(run_id, f"{folder}/log", ("start", 0, 0, 0, ""))
         if roster_root is not None:
-            self.load_roster(roster_root, f"{folder}/quarantine", run_id, f"{folder}/log")
+            self.load_roster(roster_root, folder, run_id)
         return self.load_messages(read_pages, run_id, folder)
 
     # --- roster
 
-    def load_roster(self, root: str, quarantine: str, run_id: str, log: str) -> None:
-        pattern = self.settings.roster_pattern
+    def load_roster(self, root: str, folder: str, run_id: str) -> None:
+        pattern, strict = self.settings.roster_pattern, self.settings.strict
         if self.settings.roster_lines:
-            rows = roster_rows_from_lines(scan_wildcard_lines(self.spark, root, pattern))
+            rows = roster_rows_from_lines(scan_wildcard_lines(self.spark, root, pattern), strict=strict)
         else:
-            files = scan_wildcard_files(self.spark, root, pattern)
-            rows = roster_rows(files, strict=self.settings.strict)
-        roster = split_roster(rows)
-        counted, seen = observed(
-            roster.mailboxes, f"roster-{uuid.uuid4().hex}", items=F.count(F.lit(1))
-        )
-        self.store.upsert_roster(counted)
-        roster.quarantine.write.mode("overwrite").json(quarantine)
+            rows = roster_rows(scan_wildcard_files(self.spark, root, pattern), strict=strict)
+        # Roster texts are parsed once.
+        roster = split_roster(stored(rows, f"{folder}/roster"))
+        self.store.upsert_roster(roster.mailboxes)
+        roster.quarantine.write.mode("overwrite").json(f"{folder}/quarantine")
         size = matching_bytes(self.spark, root, pattern)
-        self._log(run_id, log, ("roster", observed_values(seen, "items")["items"], size, 0, ""))
+        self._log(run_id, f"{folder}/log", ("roster", roster.mailboxes.count(), size, 0, ""))
 
     # --- messages
 
     def load_messages(self, read_pages: PageReader, run_id: str, folder: str) -> RunReport:
-        store = self.store
-        log = f"{folder}/log"
-        worklist = resume_worklist(store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)).select(
+        """Work off the worklist group by group; each ends with its messages and then its users stored.
+
+        What an interrupted run has finished is not on the next worklist.
+        """
+        store, log, groups = self.store, f"{folder}/log", max(1, self.settings.groups)
+        users = resume_worklist(store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)).select(
             F.col(S.ROSTER_KEY[0]).alias("mailbox")
         )
-        pending, taken = observed(
-            worklist, f"worklist-{uuid.uuid4().hex}", pending=F.count(F.lit(1))
-        )
-        worklist = stored(pending, f"{folder}/worklist")
-        count = observed_values(taken, "pending")["pending"]
-        if count == 0:
-            self._log(run_id, log, ("finish", 0, 0, 0, "nothing pending"))
-            return RunReport(run_id=run_id, folder=folder)
-        pages, fetched = observed(
-            read_pages(worklist),
-            f"pages-{uuid.uuid4().hex}",
-            bytes_read=F.sum(F.octet_length("body")),
-        )
-        staged = stage_pages(pages, self.settings.model, f"{folder}/staged")
-        outcomes = store_outcomes(headers(staged), f"{folder}/outcomes")
-        rows = messages_in_window(staged, outcomes, *self.settings.window(self.spark))
-        blamed = stored(refused(rows), f"{folder}/refused")
-        counts = self._store_messages(rows)
-        done, marked = observed(
-            completed_users(outcomes).join(
-                blamed.select("mailbox").distinct(), "mailbox", "left_anti"
-            ),
-            f"finished-{uuid.uuid4().hex}",
-            finished=F.count(F.lit(1)),
-        )
-        store.commit_progress(done)
-        report = RunReport(
-            run_id,
-            pending=count,
-            pages=headers(staged).count(),
-            refused=blamed.count(),
-            failed=user_outcomes(outcomes).where(F.col("outcome") == FAILED).count(),
-            **observed_values(fetched, "bytes_read"),
-            **observed_values(marked, "finished"),
-            folder=folder,
-            **counts,
-        )
-        self._log(
-            run_id,
-            log,
-            (
-                "messages",
-                report.inserted,
-                report.bytes_read,
-                report.bytes_written,
-                f"{report.messages} in the window",
-            ),
-            ("finish", 0, 0, 0, f"{report.finished} users finished, {report.failed} failed"),
-            users=self._user_log(run_id, staged, outcomes),
-        )
+        group = F.pmod(F.xxhash64("mailbox"), F.lit(groups)).cast("int")
+        worklist = stored(users.withColumn("part", group), f"{folder}/worklist")
+        report = RunReport(run_id=run_id, folder=folder, pending=worklist.count())
+        for number in range(groups) if report.pending else ():
+            part = worklist.where(F.col("part") == number).select("mailbox")
+            report = self._load_group(part, read_pages, report, f"{folder}/group={number}")
+        note = f"{report.finished} users finished, {report.failed} failed" if report.pending else "nothing pending"
+        self._log(run_id, log, ("finish", 0, 0, 0, note))
         if self.settings.strict and (report.failed or report.refused):
             raise ExportFailed(
                 f"{report.failed} users failed, {report.refused} messages were refused"
             )
         return report
 
-    def _store_messages(self, rows: DataFrame) -> dict[str, int]:
-        valid, seen = observed(
-            rows.where(F.col("problem").isNull()),
-            f"messages-{uuid.uuid4().hex}",
-            messages=F.count(F.lit(1)),
-            bad_urls=F.coalesce(F.sum("bad_urls"), F.lit(0)),
+    def _load_group(
+        self, worklist: DataFrame, read_pages: PageReader, report: RunReport, folder: str
+    ) -> RunReport:
+        settings, store = self.settings, self.store
+        window = settings.window(self.spark)
+        staged = stage_pages(read_pages(worklist), settings.model, f"{folder}/staged", window)
+        pages = stored(headers(staged), f"{folder}/pages")
+        outcomes = store_outcomes(pages, f"{folder}/outcomes")
+        rows = messages_that_count(staged, outcomes)
+        blamed = stored(refused(rows), f"{folder}/refused")
+        valid = rows.where(F.col("problem").isNull())
+        before = store.read(S.MESSAGE_TABLE).count()
+        store.append_messages(store.messages_to_insert(valid))
+        after = store.read(S.MESSAGE_TABLE).count()
+        done = stored(
+            completed_users(outcomes).join(blamed.select("mailbox").distinct(), "mailbox", "left_anti"),
+            f"{folder}/finished",
         )
-        new, added = observed(
-            self.store.messages_to_insert(valid),
-            f"inserted-{uuid.uuid4().hex}",
-            inserted=F.count(F.lit(1)),
-            bytes_written=F.sum(F.octet_length("rawJson")),
+        store.commit_progress(done)
+        counted = valid.agg(
+            F.count("*").alias("messages"),
+            F.coalesce(F.sum("bad_urls"), F.lit(0)).alias("bad_urls"),
+            F.coalesce(F.sum(F.octet_length("rawJson")), F.lit(0)).alias("bytes"),
+        ).first()
+        read = pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("page.bytes"), F.lit(0)).alias("bytes")).first()
+        lost = id_collisions(valid, "mailbox", "chatId", "message_id").agg(F.coalesce(F.sum("lost"), F.lit(0))).first()[0]
+        self._log(
+            report.run_id,
+            f"{report.folder}/log",
+            ("messages", counted.messages, read.bytes, counted.bytes, f"{after - before} inserted"),
+            users=self._user_log(report.run_id, pages, outcomes),
+        )
+        failed = user_outcomes(outcomes).where(F.col("outcome") == FAILED).count()
+        return replace(
+            report,
+            pages=report.pages + read.pages,
+            messages=report.messages + counted.messages,
+            inserted=report.inserted + after - before,
+            refused=report.refused + blamed.count(),
+            bad_urls=report.bad_urls + counted.bad_urls,
+            finished=report.finished + done.count(),
+            failed=report.failed + failed,
+            collisions=report.collisions + lost,
+            bytes_read=report.bytes_read + read.bytes,
+            bytes_written=report.bytes_written + counted.bytes,
         )
-        self.store.append_messages(new)
-        return {
-            **observed_values(seen, "messages", "bad_urls"),
-            **observed_values(added, "inserted", "bytes_written"),
-        }
 
     # --- log
 
-    def _user_log(self, run_id: str, staged: DataFrame, outcomes: DataFrame) -> DataFrame:
-        """One row per user: how many messages its pages held, and how its chains ended."""
-        counts = staged.groupBy("mailbox").agg(F.count("position").alias("items"))
-        return counts.join(user_outcomes(outcomes), "mailbox").select(
+    def _user_log(self, run_id: str, pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+        """Two rows per user, at its first and its last response: the messages held, and how its chains ended."""
+        counts = pages.groupBy("mailbox").agg(
+            F.sum("page.held").alias("held"),
+            F.min("page.fetched_at").alias("first"),
+            F.max("page.fetched_at").alias("last"),
+        )
+        times = F.explode(F.array("first", "last"))
+        return counts.join(user_outcomes(outcomes), "mailbox").select("mailbox", "held", "outcome", times.alias("at")).select(
             F.lit(run_id).alias("run_id"),
-            F.current_timestamp().alias("ts"),
+            F.coalesce("at", F.current_timestamp()).alias("ts"),
             F.lit("user").alias("event"),
             "mailbox",
             F.lit(0).cast("bigint").alias("items"),
             F.lit(0).cast("bigint").alias("bytes_read"),
             F.lit(0).cast("bigint").alias("bytes_written"),
-            F.concat_ws(" ", "items", F.lit("messages,"), "outcome").alias("note"),
+            F.concat_ws(" ", "held", F.lit("messages,"), "outcome").alias("note"),
         )
 
     def _log(

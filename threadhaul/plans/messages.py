@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VarcharType
 
 from .. import schemas as S
 from ..functions import (
@@ -14,7 +15,7 @@ from ..functions import (
     sender,
     sender_columns,
 )
-from ..operators.filters import message_problem
+from ..operators.filters import length_problem, message_problem
 
 # Order of messages within a mailbox: the first one wins.
 MESSAGE_ORDER = ["slice", "chain_pos", "position"]
@@ -45,14 +46,14 @@ def normalize_messages(exploded: DataFrame, *keep: str) -> DataFrame:
 def checked_messages(exploded: DataFrame, *keep: str) -> DataFrame:
     """Like `normalize_messages`, with `message_id`, `problem` and `bad_urls` for the report."""
     message = F.col("message")
+    lengths = {f.name: f.dataType.length for f in S.MESSAGE.fields if isinstance(f.dataType, VarcharType)}
+    missing = message_problem(F.col("mailbox"), message["chatId"], message["id"])
     bad_urls = F.size(F.filter(message["attachments"], attachment_url_problem))
     return normalize_messages(
         exploded.withColumns(
             {
                 "message_id": message["id"],
-                "problem": message_problem(
-                    F.col("mailbox"), message["chatId"], message["id"]
-                ),
+                "problem": F.coalesce(missing, length_problem(message_columns(), lengths)),
                 "bad_urls": F.coalesce(F.greatest(bad_urls, F.lit(0)), F.lit(0)),
             }
         ),

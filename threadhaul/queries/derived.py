@@ -51,6 +51,19 @@ def roster(tables: Tables) -> DataFrame:
     )
 
 
+def event_roster(tables: Tables) -> DataFrame:
+    """The users of the events as roster rows."""
+    users = tables.events.select(F.concat(F.lit("u"), "user_id").alias("ExternalDirectoryObjectId")).distinct()
+    return users.select(
+        F.lit(None).cast("string").alias("DisplayName"),
+        "ExternalDirectoryObjectId",
+        F.lit(None).cast("string").alias("PrimarySmtpAddress"),
+        F.lit("").alias("file_path"),
+        F.lit(0).alias("block_start"),
+        F.lit(0).alias("position"),
+    )
+
+
 def progress(tables: Tables) -> DataFrame:
     """Users with a finished order are done; other orders are progress of another type."""
     return tables.orders.select(

@@ -122,6 +122,6 @@ def dml_delete_by_key(t: Tables):
 
 
 @query("""SELECT o_custkey, string_agg(o_orderpriority, ';' ORDER BY o_orderpriority) AS joined
-FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) GROUP BY o_custkey""")
+FROM orders GROUP BY o_custkey""")
 def string_concat_agg(t: Tables):
     return concat_rows(t.orders, ["o_custkey"], "o_orderpriority")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .paged import PageRequest, PageResponse, _as_uri, _instant
+from ..sources.paged import PageRequest, PageResponse, _as_uri, _instant
 
 
 def write_page_folder(pages: DataFrame, path: str, buckets: int) -> None:
@@ -90,6 +90,8 @@ class FolderFetcher:
         place = int(request.next_link.rsplit("#", 1)[1]) if request.next_link else 0
         bucket = zlib.crc32(request.mailbox.encode()) % self.buckets
         answer = _sorted_pages(self.path, bucket).find(request.mailbox, place, request.model)
+        if answer is None and place:
+            return PageResponse(S.STATUS_NO_RESPONSE)  # a page that was promised
         if answer is None:
             return PageResponse(S.STATUS_OK, json.dumps({"value": []}))
         if answer["status"] != S.STATUS_OK or answer["body"] is None:

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chain
 from ..operators.metrics import messages_per_user as per_user
 from ..operators.ordinal import paginate as number_pages
-from ..plans.export import ChatExport, landed_pages_reader
+from ..plans.export import ChatExport, landed_pages_reader, paged_source_reader
 from ..runtime import scratch
 from ..settings import ExportSettings
 from ..sources import pages as P
-from ..sources.folder_service import FolderFetcher, write_page_folder
-from ..sources.paged import register_paged_source, write_worklist
+from ..sources.paged import PageRequest, PageResponse, register_paged_source, write_worklist
+from ..streaming.pages import PageStreamExport, page_stream
 from .derived import (
     MESSAGE_SQL,
     PAGE_ROWS,
     PAGED_SQL,
     SHOWN_SQL,
+    event_roster,
     judged_page_sql,
     landed_pages,
     progress,
@@ -28,6 +31,7 @@ from .derived import (
     shown,
     stored_pages,
 )
+from .page_service import FolderFetcher, write_page_folder
 from .registry import Tables, query, text
 
 WINDOW = ("2024-01-05T00:00:00", "2024-01-25T00:00:00")
@@ -81,7 +85,9 @@ def classify_status(t: Tables):
 
 
 _PREFIX_SQL = f"""SELECT *, coalesce(sum(CASE WHEN terminal THEN 1 ELSE 0 END) OVER (
-  PARTITION BY mailbox ORDER BY chain_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+  PARTITION BY mailbox ORDER BY chain_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
+  coalesce(sum(CASE WHEN disposition <> 'consume' THEN 1 ELSE 0 END) OVER (
+  PARTITION BY mailbox ORDER BY chain_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gaps
 FROM ({judged_page_sql()})"""
 
 
@@ -91,8 +97,9 @@ def page_chain_prefix(t: Tables):
 
 
 @query(f"""SELECT mailbox, CASE disposition WHEN 'consume' THEN 'complete' ELSE 'skipped' END AS outcome
-FROM ({_PREFIX_SQL}) WHERE ended = 0 AND terminal AND disposition IN ('consume', 'skip')""")
+FROM ({_PREFIX_SQL}) WHERE ended = 0 AND terminal AND disposition IN ('consume', 'skip') AND gaps = 0""")
 def completed_users(t: Tables):
+    """Mailboxes whose chain has ended; a page that was refused and not asked for again is a gap."""
     return chain.completed_users(chain.chain_outcomes(chain.with_disposition(responses(t))))
 
 
@@ -167,25 +174,132 @@ def export_run(t: Tables):
     return shown(export.store.read("UserMessage"))
 
 
+def _with_empty_pages(t: Tables, pages: DataFrame) -> DataFrame:
+    """Pages, and one without messages for each user of the roster that has none."""
+    silent = roster(t).select(F.col("ExternalDirectoryObjectId").alias("mailbox")).join(pages, "mailbox", "left_anti")
+    empty = silent.select(
+        "mailbox",
+        F.lit(0).alias("page_no"),
+        F.lit(200).alias("status"),
+        F.lit("A").alias("model"),
+        F.lit(None).cast("string").alias("next_link"),
+        F.lit('{"value":[]}').alias("body"),
+    )
+    return pages.unionByName(empty)
+
+
 @query(f"""SELECT count(*) FILTER (place = 1) AS messages, CAST(0 AS BIGINT) AS pending,
-  (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'))
-  + (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events)
-     WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id AND o_orderstatus = 'F'))
-  AS finished
+  CAST(0 AS BIGINT) AS inserted,
+  (SELECT count(*) FROM (SELECT c_custkey FROM customer
+     UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')) AS finished
 FROM ({_PENDING_SQL})""")
 def export_resume(t: Tables):
-    """A second run over the same pages finds nothing to fetch and adds nothing."""
+    """A second run finds an empty worklist; users without messages are done too."""
     export = _export(t)
-    reader = landed_pages_reader(t.spark.read.parquet(stored_pages(t)))
+    reader = landed_pages_reader(_with_empty_pages(t, t.spark.read.parquet(stored_pages(t))))
     export.run(_roster_folder(t), reader)
     again = export.run(None, reader)
     store = export.store
-    messages = store.read("UserMessage").agg(F.count("*").alias("messages"))
-    finished = store.read("GraphCallProcessed").agg(F.count("*").alias("finished"))
-    one = F.lit(1).alias("one")
-    return (
-        messages.select("messages", one)
-        .join(finished.select("finished", one), "one")
-        .select("messages", F.lit(again.inserted).cast("bigint").alias("pending"), "finished")
+    finished = store.read("GraphCallProcessed").agg(F.count("*")).scalar()
+    return store.read("UserMessage").agg(
+        F.count("*").alias("messages"),
+        F.lit(again.pending).cast("bigint").alias("pending"),
+        F.lit(again.inserted).cast("bigint").alias("inserted"),
+        F.any_value(finished).alias("finished"),
     )
 
+
+@dataclass(frozen=True)
+class _FailingFetcher:
+    """Raises for every seventh user; everyone else is answered."""
+
+    fetcher: FolderFetcher
+
+    def fetch(self, request: PageRequest) -> PageResponse:
+        if int(request.mailbox[1:]) % 7 == 3:
+            raise OSError("connection reset")
+        return self.fetcher.fetch(request)
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({_PENDING_SQL}) WHERE place = 1 AND user_id % 7 <> 3
+    AND NOT (user_id % 7 = 5 AND chat_id = '48:notes')) AS messages,
+  (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 <> 3
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id AND o_orderstatus = 'F')
+    AND user_id NOT IN (SELECT user_id FROM ({_PENDING_SQL}) WHERE user_id % 7 = 5 AND chat_id = '48:notes')) AS finished,
+  (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 = 3
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id AND o_orderstatus = 'F')) AS failed""")
+def export_partial_failure(t: Tables):
+    """Some requests raise, some chats are named too long: all others are stored and done, group by group."""
+    export = _export(t)
+    settings = replace(export.settings, groups=3)
+    groups = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    service = scratch(t.spark, "service")
+    user = F.substring("mailbox", 2, 20).cast("bigint")
+    long = F.replace(F.col("body"), F.lit("48:notes"), F.lit("48:" + "x" * 300))
+    pages = landed_pages(t).withColumn("body", F.when(user % 7 == 5, long).otherwise(F.col("body")))
+    write_page_folder(pages, service, groups)
+    export = ChatExport(t.spark, settings)
+    export.store.upsert_roster(event_roster(t))
+    done = export.store.read("GraphCallProcessed").agg(F.count("*")).first()[0]
+    source = register_paged_source(t.spark, _FailingFetcher(FolderFetcher(service, groups)), "failing_messages")
+    report = export.run(None, paged_source_reader(t.spark, source, settings))
+    finished = export.store.read("GraphCallProcessed").agg(F.count("*") - F.lit(done)).scalar()
+    return export.store.read("UserMessage").agg(
+        F.count("*").alias("messages"),
+        F.any_value(finished).alias("finished"),
+        F.lit(report.failed).cast("bigint").alias("failed"),
+    )
+
+
+@query(f"""SELECT mailbox, CAST(1 AS BIGINT) AS finished,
+  count(*) FILTER (place = 1) AS stored FROM (SELECT *, row_number() OVER (
+  PARTITION BY mailbox, chat_id, id_key ORDER BY ts, event_id) AS place FROM ({MESSAGE_SQL})) GROUP BY mailbox""")
+def retry_after_failure(t: Tables):
+    """Every chain fails at its second page in a first attempt, and is whole in a second one: nothing is lost."""
+    pages = landed_pages(t)
+    failed = pages.where("page_no <= 1").withColumn(
+        "status", F.when(F.col("page_no") == 1, 500).otherwise(F.col("status"))
+    ).withColumn("attempt", F.lit(0))
+    export = _whole_export(t)
+    export.run(None, landed_pages_reader(failed))
+    both = failed.unionByName(pages.withColumn("attempt", F.lit(1)))
+    export.run(None, landed_pages_reader(both))
+    return _stored_per_user(export)
+
+
+@query(f"""SELECT mailbox, CAST(1 AS BIGINT) AS finished,
+  count(*) FILTER (place = 1) AS stored FROM (SELECT *, row_number() OVER (
+  PARTITION BY mailbox, chat_id, id_key ORDER BY ts, event_id) AS place FROM ({MESSAGE_SQL})) GROUP BY mailbox""")
+def batch_stream_batch(t: Tables):
+    """The same pages by batch, stream and batch again in one session: each key is there once."""
+    export = _whole_export(t)
+    landing = stored_pages(t)
+    some = t.spark.read.parquet(landing).where(F.substring("mailbox", 2, 20).cast("bigint") % 3 == 0)
+    export.run(None, landed_pages_reader(some))
+    export.store.read("UserMessage").count()
+    stream = PageStreamExport(t.spark, export.settings, scratch(t.spark, "state"))
+    stream.run(page_stream(t.spark, landing, max_files=3))
+    export.run(None, landed_pages_reader(t.spark.read.parquet(landing)))
+    return _stored_per_user(export)
+
+
+def _whole_export(t: Tables) -> ChatExport:
+    """An export of everything, the users of the events as roster."""
+    place = scratch(t.spark, "database")
+    settings = ExportSettings(
+        start="2023-01-01Z",
+        end="2025-01-01Z",
+        database=place.rsplit("/", 1)[1].replace("-", "_"),
+        database_location=place,
+    )
+    export = ChatExport(t.spark, settings)
+    export.store.ensure_tables()
+    export.store.set_version()
+    export.store.upsert_roster(event_roster(t))
+    return export
+
+
+def _stored_per_user(export: ChatExport) -> DataFrame:
+    """Per user: rows of the progress table, and messages."""
+    done = export.store.read("GraphCallProcessed").groupBy(F.col("value").alias("mailbox")).agg(F.count("*").alias("finished"))
+    return export.store.read("UserMessage").groupBy("mailbox").agg(F.count("*").alias("stored")).join(done, "mailbox", "left")

@@ -10,7 +10,7 @@ from ..sources.pages import explode_pages
 from ..streaming.pages import PageStreamExport, for_each_batch, page_stream
 from ..streaming.rates import rate_stream
 from ..tables import ChatStore
-from .derived import MESSAGE_SQL, PAGED_SQL, SHOWN_SQL, shown, stored_pages
+from .derived import MESSAGE_SQL, PAGED_SQL, SHOWN_SQL, event_roster, shown, stored_pages
 from .registry import Tables, plain, query
 
 
@@ -44,6 +44,7 @@ def stream_insert_only(t: Tables):
     )
     store = ChatStore(t.spark, settings)
     store.ensure_tables()
+    store.upsert_roster(event_roster(t))
     landing = stored_pages(t)
     for _ in range(2):
         export = PageStreamExport(t.spark, settings, scratch(t.spark, "state"))
@@ -62,15 +63,19 @@ def rate_stream_per_window(t: Tables):
     out, checkpoint = scratch(t.spark, "rates"), scratch(t.spark, "checkpoint")
 
     def handle(rates, batch):
-        rates.write.mode("overwrite").parquet(out)
+        rates.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     query = (
         rate_stream(stream, "ts", "1 hour", "40 days", ["event_type"])
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return t.spark.read.parquet(out).withColumn("window_start", plain(F.col("window_start")))
+    # Each batch holds the windows that it has changed: the latest counts.
+    latest = t.spark.read.parquet(out).groupBy("event_type", "window_start").agg(
+        F.max_by("items", "batch").alias("items"), F.max_by("per_second", "batch").alias("per_second")
+    )
+    return latest.withColumn("window_start", plain(F.col("window_start")))

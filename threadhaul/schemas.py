@@ -81,6 +81,19 @@ LANDED_PAGE = T.StructType(
     ]
 )
 
+# What else a landed page may say: the slice of the window, the attempt (a run that
+# walks the chain afresh has a higher number), and when the response came.
+LANDED_PAGE_MORE = T.StructType(
+    [
+        T.StructField("slice", T.IntegerType()),
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("fetched_at", T.TimestampType()),
+    ]
+)
+
+# Status of a request that got no response at all.
+STATUS_NO_RESPONSE = 0
+
 # A page chain: the requests of one mailbox for one slice of the window. Landed
 # pages without a `slice` are one slice.
 CHAIN_KEY = ["mailbox", "slice"]

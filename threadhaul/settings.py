@@ -29,7 +29,8 @@ class ExportSettings:
 
     `roster_lines` reads roster files with one object per line instead of one
     array; use it for large rosters, which Spark can then split.
-    `window_slices` cuts the window of each user for fetching.
+    `window_slices` cuts the window of each user for fetching. `groups` is the number of parts the
+    worklist is worked off in: each part is stored and its users marked done before the next begins.
 
     `strict` makes a run fail on bad roster elements, invalid messages and
     failed users, after everything good has been stored. Otherwise they are
@@ -41,6 +42,7 @@ class ExportSettings:
     roster_pattern: str = S.ROSTER_PATTERN
     roster_lines: bool = False
     window_slices: int = 1
+    groups: int = 1
     model: str = S.MODELS[0]
     page_size: int = S.DEFAULT_PAGE_SIZE
     database: str = "chat_export"

@@ -12,10 +12,18 @@ class EmptySourceError(ValueError):
     """The source folder holds no data file at all."""
 
 
+def _root_path(spark: SparkSession, root: str) -> str:
+    """The root as file listings name it: absolute, without scheme, `//` or `..`, and with a slash at the end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder)
+    return qualified.toUri().getPath().rstrip("/") + "/"
+
+
 def _relative_name(path: Column, root: str) -> Column:
-    """Name of a file below the root, as the wildcard sees it."""
-    folder = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
-    return F.substring_index(path, folder, -1)
+    """Name of a file below the root (from `_root_path`), as the wildcard sees it; a path elsewhere is an error."""
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    elsewhere = F.raise_error(F.concat(F.lit(f"not below {root}: "), path)).cast("string")
+    return F.when(plain.startswith(root), F.substr(plain, F.lit(len(root) + 1))).otherwise(elsewhere)
 
 
 def _decoded(path: Column) -> Column:
@@ -52,7 +60,7 @@ def scan_wildcard_files(spark: SparkSession, root: str, pattern: str) -> DataFra
         raise ValueError("the file name pattern is missing")
     require_files(spark, root)
     path = _decoded(F.col("_metadata.file_path"))
-    name = _relative_name(path, root)
+    name = _relative_name(path, _root_path(spark, root))
     return (
         spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         .where(wildcard_match(name, pattern))
@@ -68,7 +76,7 @@ def scan_wildcard_files(spark: SparkSession, root: str, pattern: str) -> DataFra
 def matching_bytes(spark: SparkSession, root: str, pattern: str) -> int:
     """Total size of the matching files, from their listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    matching = files.where(wildcard_match(_relative_name(F.col("path"), root), pattern))
+    matching = files.where(wildcard_match(_relative_name(F.col("path"), _root_path(spark, root)), pattern))
     return matching.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
@@ -78,7 +86,7 @@ def scan_wildcard_lines(spark: SparkSession, root: str, pattern: str) -> DataFra
         raise ValueError("the file name pattern is missing")
     require_files(spark, root)
     path = _decoded(F.col("_metadata.file_path"))
-    name = _relative_name(path, root)
+    name = _relative_name(path, _root_path(spark, root))
     return (
         spark.read.text(root, recursiveFileLookup=True)
         .where(wildcard_match(name, pattern))

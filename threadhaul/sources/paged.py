@@ -33,7 +33,7 @@ from ..runtime import ship_package
 
 PAGE_ROWS = (
     "mailbox string, slice int, page_no int, status int, model string, next_link string,"
-    " body string, window_start timestamp, window_end timestamp"
+    " body string, fetched_at timestamp, window_start timestamp, window_end timestamp"
 )
 
 
@@ -69,11 +69,15 @@ def walk_chain(
 
     The page is asked for again, once per user, with the other model when the
     service wants payment. The reader hands every response on; the chain
-    operators judge them.
+    operators judge them. A request that raises ends its chain, and no other, with a response of
+    its own status, so that the user stays pending.
     """
     page_no, first_model, next_link = 0, model, None
     while True:
-        response = fetcher.fetch(PageRequest(mailbox, start, end, model, page_size, next_link))
+        try:
+            response = fetcher.fetch(PageRequest(mailbox, start, end, model, page_size, next_link))
+        except Exception as error:  # whatever a fetcher raises concerns this chain only
+            response = PageResponse(S.STATUS_NO_RESPONSE, f"{type(error).__name__}: {error}")
         yield page_no, model, response
         if response.status == S.STATUS_SWITCH_MODEL and model == first_model:
             model = next(other for other in S.MODELS if other != first_model)
@@ -185,6 +189,7 @@ class _PageReader(DataSourceReader):
                         model,
                         answer.next_link,
                         answer.body,
+                        datetime.now(timezone.utc),
                         plan.start,
                         plan.end,
                     )

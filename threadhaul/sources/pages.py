@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +31,36 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         pages.withColumn("page", parsed)
         .withColumn("malformed", F.coalesce(malformed, F.lit(False)))
         .withColumn("items", F.when(~F.col("malformed"), items))
+        .withColumn("held", F.coalesce(F.size("items"), F.lit(0)))
         .drop("page", "body")
     )
 
 
-def explode_pages(pages: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """One row per message: the page columns, `position` and `message`.
+def explode_pages(
+    pages: DataFrame, keep_empty: bool = False, window: tuple[datetime, datetime] | None = None
+) -> DataFrame:
+    """One row per message: the page columns, `held` (messages of the page), `position` and `message`.
 
     The mailbox of the page goes with every message. With `keep_empty`, a page
     without messages gives one row with a NULL position, so that its status is
-    not lost.
+    not lost. With a `window`, messages modified outside it (bounds excluded) are left
+    out before they become rows.
     """
     parsed = parse_pages(pages)
-    explode = F.posexplode_outer if keep_empty else F.posexplode
     kept = [name for name in parsed.columns if name != "items"]
-    return parsed.select(*kept, explode("items").alias("position", "message"))
+    items = F.transform("items", lambda message, at: F.struct(at.alias("position"), message.alias("message")))
+    if window is not None:
+        start, end = (F.lit(bound) for bound in window)
+
+        def inside(item: Column) -> Column:
+            time = item["message"]["lastModifiedDateTime"]
+            return (time > start) & (time < end)
+
+        items = F.filter(items, inside)
+    explode = F.explode_outer if keep_empty else F.explode
+    return parsed.select(*kept, explode(items).alias("item")).select(
+        *kept, F.col("item.position").alias("position"), F.col("item.message").alias("message")
+    )
 
 
 def parse_single_doc(pages: DataFrame, schema: str) -> DataFrame:

@@ -24,6 +24,9 @@ class Roster:
     quarantine: DataFrame
 
 
+RAW = "raw"  # the element as it was read
+
+
 def _fields(element: Column) -> list[Column]:
     lowered = F.transform_keys(element, lambda key, _: F.lower(key))
     return [F.element_at(lowered, F.lit(name.lower())).alias(name) for name in _FIELDS]
@@ -63,21 +66,28 @@ def roster_rows(files: DataFrame, strict: bool = True) -> DataFrame:
         F.lit(0).cast("bigint").alias("block_start"),
         F.col("position").cast("bigint").alias("position"),
         *_fields(F.col("element")),
+        F.to_json("element", {"ignoreNullFields": "false"}).alias(RAW),
     )
 
 
-def roster_rows_from_lines(lines: DataFrame) -> DataFrame:
+def roster_rows_from_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """The same rows from files with one object per line, which Spark can split.
 
     Lines of one file are ordered by the block they lie in, then by their place
-    in it. A line that is no object becomes a row of nulls (quarantine).
+    in it. A line that is no object is an error in strict mode, otherwise a row of nulls
+    (quarantine). Empty lines and comment lines hold nothing.
     """
     element = F.from_json("value", "map<string,string>", {"allowComments": "true"})
+    lines = lines.where(~F.col("value").rlike(r"^\s*(//.*)?$"))
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("not a roster object: "), "value")).cast("map<string,string>")
+        element = F.when(element.isNotNull(), element).otherwise(problem)
     return lines.select(
         F.col("name").alias("file_path"),
         "block_start",
         F.monotonically_increasing_id().alias("position"),
         *_fields(element),
+        F.col("value").alias(RAW),
     )
 
 
@@ -88,5 +98,6 @@ def split_roster(rows: DataFrame) -> Roster:
         "file_path",
         "position",
         F.to_json(F.struct(*_FIELDS), {"ignoreNullFields": "false"}).alias("object"),
+        RAW,
     )
-    return Roster(rows.where(~is_blank(key)), rejected)
+    return Roster(rows.where(~is_blank(key)).drop(RAW), rejected)

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas as S
 from ..operators.chain import completed_users
-from ..plans.export import headers, messages_in_window, refused, stage_pages, store_outcomes
+from ..operators.worklist import resume_worklist
+from ..plans.export import headers, messages_that_count, refused, stage_pages, store_outcomes
 from ..runtime import configure, stored
 from ..settings import ExportSettings
 from ..tables import ChatStore
@@ -29,7 +31,7 @@ def page_stream(
     Files of finished batches may be moved to `archive` (never over an existing
     file) or deleted.
     """
-    reader = spark.readStream.schema(S.LANDED_PAGE)
+    reader = spark.readStream.schema(StructType(S.LANDED_PAGE.fields + S.LANDED_PAGE_MORE.fields))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if archive:
@@ -53,12 +55,14 @@ def for_each_batch(
 
 @dataclass(frozen=True)
 class PageStreamExport:
-    """Stores the messages of landed pages and marks their users done.
+    """Stores the messages of landed pages and marks their users done, like a batch run over the same pages.
 
-    State is kept in files below `state`, one folder per batch that a replay
-    writes again: the parsed rows of the batch, and the headers of the pages
-    that end a chain. They tell later batches where the chain of a mailbox has
-    ended. Messages are merged by key, so a replayed batch adds nothing.
+    Only users of the roster who are not done yet take part; pages of others are passed over. State is
+    kept in files below `state`, one folder per batch that a replay writes again: the
+    headers of the pages seen (without any message), and the users with refused messages. They
+    tell later batches where the chain of a mailbox ends, whether it is whole, and who must stay pending.
+    Messages are merged by key, so a replayed batch adds nothing. The parsed rows of a batch are
+    removed when it is done.
     """
 
     spark: SparkSession
@@ -71,25 +75,30 @@ class PageStreamExport:
         query.awaitTermination()
         return query
 
+    def _earlier(self, spark: SparkSession, kind: str, schema, batch: int, users: DataFrame) -> DataFrame:
+        """What earlier batches have kept of these users."""
+        kept = spark.read.schema(StructType(schema.fields + [StructField("batch", LongType())]))
+        kept = kept.parquet(f"{self.state}/{kind}").where(F.col("batch") < batch).drop("batch")
+        return kept.join(users, "mailbox", "left_semi")
+
     def handle(self, pages: DataFrame, batch: int) -> None:
         spark, store = pages.sparkSession, ChatStore(pages.sparkSession, self.settings)
         part = f"batch={batch}"
-        staged = stage_pages(pages, self.settings.model, f"{self.state}/staged/{part}")
-        pages_seen = headers(staged)
-        ends = pages_seen.where("terminal")
-        ends.write.mode("overwrite").parquet(f"{self.state}/ends/{part}")
-        known = ends.schema.add("batch", "long")
-        earlier = spark.read.schema(known).parquet(f"{self.state}/ends")
-        earlier = earlier.where(F.col("batch") < batch)
-        touched = pages_seen.select(*S.CHAIN_KEY).distinct()
+        pending = resume_worklist(store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)).select(
+            F.col(S.ROSTER_KEY[0]).alias("mailbox")
+        )
+        scratch_path = f"{self.state}/staged/{part}"
+        wanted = pages.join(pending, "mailbox", "left_semi")
+        staged = stage_pages(wanted, self.settings.model, scratch_path, self.settings.window(spark))
+        seen = stored(headers(staged).drop("page"), f"{self.state}/headers/{part}")
+        touched = seen.select("mailbox").distinct()
         outcomes = store_outcomes(
-            pages_seen.unionByName(
-                earlier.drop("batch").join(touched, S.CHAIN_KEY, "left_semi")
-            ),
+            seen.unionByName(self._earlier(spark, "headers", seen.schema, batch, touched)),
             f"{self.state}/outcomes/{part}",
         )
-        rows = messages_in_window(staged, outcomes, *self.settings.window(spark))
+        rows = messages_that_count(staged, outcomes)
         bad = stored(refused(rows), f"{self.state}/refused/{part}")
         store.append_messages(store.messages_to_insert(rows.where("problem IS NULL")))
-        blamed = bad.select("mailbox").distinct()
+        blamed = bad.unionByName(self._earlier(spark, "refused", bad.schema, batch, touched)).select("mailbox").distinct()
         store.commit_progress(completed_users(outcomes).join(blamed, "mailbox", "left_anti"))
+        store.drop_folder(scratch_path)

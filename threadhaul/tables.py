@@ -93,7 +93,7 @@ class ChatStore:
             self.spark.sql(f"DROP TABLE {self.name(table)}")
             for folder in folders:
                 if folder:
-                    self._drop_folder(folder)
+                    self.drop_folder(folder)
 
     def analyze(self, table: str) -> None:
         """Refresh the statistics the optimizer uses."""
@@ -107,7 +107,7 @@ class ChatStore:
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table)}").collect()
         return next((row["value"] for row in rows if row["key"] == key), None)
 
-    def _drop_folder(self, path: str) -> None:
+    def drop_folder(self, path: str) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         files.delete(folder, True)
@@ -145,6 +145,8 @@ class ChatStore:
     # --- contents
 
     def read(self, table: str) -> DataFrame:
+        """The table as it is now: another session or writer may have added files since the last listing."""
+        self.spark.catalog.refreshTable(self.name(table))
         return self.spark.table(self.name(table))
 
     def upsert_roster(self, rows: DataFrame) -> None:
@@ -166,7 +168,7 @@ class ChatStore:
         self.spark.sql(f"DROP TABLE {self.name(staging)}")
         self.spark.catalog.refreshTable(self.name(table))
         if stale:
-            self._drop_folder(stale)
+            self.drop_folder(stale)
 
     def messages_to_insert(self, messages: DataFrame) -> DataFrame:
         """Messages (with `MESSAGE_ORDER` beside them) that the table does not have yet."""
