@@ -58,3 +58,41 @@ def test_risk_rules(spark, documents):
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert rows(got, "doc_id", *columns) == sorted(((d, *brute.measures(t)) for d, t in documents), key=repr)
     assert not got.where("base_failed AND kept").count()
+
+
+def test_sql_checks(spark):
+    """Where SQL can state a query, it gives the same rows."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from oracle_check import _rows, connect
+
+    from threadhaul.llm.queries import ORACLES
+
+    con = connect(DATA)
+    for name, sql in ORACLES.items():
+        check = con.execute(sql)
+        want = _rows([c[0] for c in check.description], check.fetchall())
+        got = QUERIES[name](spark, DATA)
+        assert _rows(got.columns, [tuple(r) for r in got.collect()]) == want, name
+
+
+def test_overlaps_hold_every_whole_item(spark, documents):
+    items = [(r["item_id"], " ".join(r["text"].split())) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()]
+    want = {(d, i) for d, t in documents for i, x in items if x in " ".join((t or "").split())}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontaminate"](spark, DATA).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
+def test_main_text(spark):
+    """The paragraphs and the heading of the article, and nothing else."""
+    import html
+    import re
+
+    got = {r.page_id: r for r in QUERIES["op2_html_region"](spark, DATA).collect()}
+    for page in pq.read_table(f"{DATA}/pages.parquet").to_pylist():
+        article = re.search(r"<article>(.*?)</article>", page["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        want = "\n".join(x for x in blocks if x)
+        assert got[page["page_id"]].text == want and got[page["page_id"]].n_chars == len(want)

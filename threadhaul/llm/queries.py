@@ -44,6 +44,24 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
+ORACLES["op1_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+    THEN [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle)
+    WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+    WHERE 100 * common >= 80 * (a.size + b.size - common)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.x = e.x)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, c.component_id FROM documents d
+LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(c) AS component_id FROM r GROUP BY x) c USING (doc_id)
+"""
+
+
 @query
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Component of each document under links of similarity 0.8 or more."""
