@@ -414,7 +414,8 @@ def _heavy_pairs(mixed_rows: DataFrame, sets: DataFrame) -> DataFrame:
     With h heavy ones of its n shingles, a document has a partner of size m only if
     9 h >= 4 (n + m), and the partner likewise; partners are met by their size class. The document
     of the smaller component looks for the other. As at least 4 n / 5 of its shingles must be shared,
-    it looks under its h - 4 n / 5 + 1 rarest heavy ones only.
+    it looks under its h - 4 n / 5 + 1 rarest heavy ones only. Both know their heavy shingles in one
+    order, by rarity, so that what is left behind a shingle bounds what they can still share.
     """
     counted = (
         mixed_rows.groupBy("node").agg(F.count("*").alias("h"))
@@ -444,6 +445,7 @@ def _heavy_pairs(mixed_rows: DataFrame, sets: DataFrame) -> DataFrame:
             F.col("component").alias("cx"),
             F.col("h").alias("hx"),
             F.col("size").alias("nx"),
+            F.col("place").alias("px"),
         )
     )
     two = rows.select(
@@ -453,10 +455,13 @@ def _heavy_pairs(mixed_rows: DataFrame, sets: DataFrame) -> DataFrame:
         F.col("component").alias("cy"),
         F.col("h").alias("hy"),
         F.col("size").alias("ny"),
+        F.col("place").alias("py"),
     )
+    # Under their first common shingle, enough must be left on both sides.
+    left = "least(hx - px, hy - py) + 1"
     return (
         one.join(two, ["key", "class"])
-        .where("cx < cy AND 9 * least(hx, hy) >= 4 * (nx + ny)")
+        .where(f"cx < cy AND 9 * ({left}) >= 4 * (nx + ny)")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
