@@ -283,6 +283,32 @@ def test_tables(spark, store, settings, roster_folder):
     store.analyze(S.MESSAGE_TABLE)
 
 
+def test_stored_changes(spark, store, settings, pages, tmp_path, roster_folder):
+    """Append, update, delete and compaction, each on the stored tables."""
+    rows = [pages.page("u", 0, [pages.message(str(n)) for n in range(5)])]
+    ChatExport(spark, settings).run(roster_folder("u"), landed_pages_reader(pages.frame(spark, rows)))
+    table = store.read(S.MESSAGE_TABLE)
+    store.append(S.MESSAGE_TABLE, table.where("idKey = 4").withColumn("idKey", F.lit(9).cast("long")))
+    assert [k[2] for k in keys(store)] == ["0", "1", "2", "3", "4", "9"]
+    changes = store.read(S.MESSAGE_TABLE).where("idKey < 2").withColumn("rawJson", F.lit("new")).withColumn("n", F.lit(1))
+    store.update(S.MESSAGE_TABLE, changes, S.MESSAGE_KEY, ["n"])
+    assert store.read(S.MESSAGE_TABLE).where("rawJson = 'new'").count() == 2
+    doomed = store.read(S.MESSAGE_TABLE).where("idKey IN (0, 9)")
+    store.delete(S.MESSAGE_TABLE, doomed, S.MESSAGE_KEY)
+    assert [k[2] for k in keys(store)] == ["1", "2", "3", "4"]
+    before = store.version()
+    for n in range(20, 28):
+        store.append(S.MESSAGE_TABLE, store.read(S.MESSAGE_TABLE).where("idKey = 4").withColumn("idKey", F.lit(n).cast("long")))
+    assert len(store.read(S.MESSAGE_TABLE).inputFiles()) > 8
+    store.compact(S.MESSAGE_TABLE)
+    assert len(store.read(S.MESSAGE_TABLE).inputFiles()) <= 4 and len(keys(store)) == 12
+    assert store.version() == before
+    # Still bucketed: a second run adds nothing.
+    store.delete(S.PROGRESS_TABLE, store.read(S.PROGRESS_TABLE), S.PROGRESS_KEY)
+    report = ChatExport(spark, settings).run(None, landed_pages_reader(pages.frame(spark, rows)))
+    assert (report.pending, report.inserted) == (1, 1)
+
+
 def test_old_roster_versions_are_removed(spark, store, settings, tmp_path):
     rows = spark.createDataFrame(
         [("A", "1", "a@x", "f", 0, 0)],

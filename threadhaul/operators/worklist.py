@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -18,10 +18,16 @@ def finished(progress: DataFrame, kind: str = S.PROGRESS_TYPE_USER) -> DataFrame
     return of_kind.select(F.col("value").alias(_DONE)).distinct()
 
 
-def resume_worklist(roster: DataFrame, progress: DataFrame, key: str = S.ROSTER_KEY[0]) -> DataFrame:
-    """Roster rows without a progress row of type `user`, as an anti join."""
+def _folded(column: str, collation: str | None) -> Column:
+    return F.collate(F.col(column), collation) if collation else F.col(column)
+
+
+def resume_worklist(
+    roster: DataFrame, progress: DataFrame, key: str = S.ROSTER_KEY[0], collation: str | None = None
+) -> DataFrame:
+    """Roster rows without a progress row of type `user`, as an anti join; ids are equal under the collation."""
     done = finished(progress)
-    return roster.join(done, F.col(key) == F.col(_DONE), "left_anti")
+    return roster.join(done, _folded(key, collation) == _folded(_DONE, collation), "left_anti")
 
 
 def pending_count(roster: DataFrame, progress: DataFrame, key: str = S.ROSTER_KEY[0]) -> DataFrame:
@@ -41,11 +47,13 @@ def progress_ratio(
     )
 
 
-def progress_commit(progress: DataFrame, users: DataFrame, key: str) -> DataFrame:
+def progress_commit(
+    progress: DataFrame, users: DataFrame, key: str, collation: str | None = None
+) -> DataFrame:
     """Progress rows to append for the users; those already recorded are left out."""
     rows = users.select(
         F.lit(S.PROGRESS_TYPE_USER).alias("type"), F.col(key).alias("value")
     ).distinct()
-    return rows.join(progress.select("type", "value"), S.PROGRESS_KEY, "left_anti").select(
-        "type", "value"
-    )
+    known = progress.select(F.col("type").alias("__type"), F.col("value").alias("__value"))
+    same = (F.col("type") == F.col("__type")) & (_folded("value", collation) == _folded("__value", collation))
+    return rows.join(known, same, "left_anti").select("type", "value")

@@ -164,7 +164,9 @@ class ChatExport:
         What an interrupted run has finished is not on the next worklist.
         """
         store, log, groups = self.store, f"{folder}/log", max(1, self.settings.groups)
-        users = resume_worklist(store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)).select(
+        users = resume_worklist(
+            store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE), collation=self.settings.key_collation
+        ).select(
             F.col(S.ROSTER_KEY[0]).alias("mailbox")
         )
         group = F.pmod(F.xxhash64("mailbox"), F.lit(groups)).cast("int")

@@ -84,7 +84,9 @@ class PageStreamExport:
     def handle(self, pages: DataFrame, batch: int) -> None:
         spark, store = pages.sparkSession, ChatStore(pages.sparkSession, self.settings)
         part = f"batch={batch}"
-        pending = resume_worklist(store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)).select(
+        pending = resume_worklist(
+            store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE), collation=self.settings.key_collation
+        ).select(
             F.col(S.ROSTER_KEY[0]).alias("mailbox")
         )
         scratch_path = f"{self.state}/staged/{part}"

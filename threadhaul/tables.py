@@ -1,8 +1,9 @@
 """The three tables of an export: creation, version, reset, and their merges.
 
-Tables are plain Parquet in the session's catalog. Messages and progress are
-only ever appended to. The roster is replaced by writing a new folder and
-pointing the table at it, so readers see the old or the new version whole.
+Tables are plain Parquet in the session's catalog. An export only ever appends
+messages and progress. Whatever changes rows (roster upserts, updates, deletes,
+compaction) writes a new folder and points the table at it, so readers see the old or
+the new version whole.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas as S
-from .operators.merge import merge_insert_only, merge_upsert
+from .operators.merge import dml_delete_by_key, dml_update_by_key, merge_insert_only, merge_upsert
 from .operators.worklist import progress_commit
 from .plans.messages import MESSAGE_ORDER
 from .settings import ExportSettings
@@ -76,13 +78,19 @@ class ChatStore:
         for table, schema in TABLES.items():
             if self.exists(table):
                 continue
-            clustering = ""
-            if table == S.MESSAGE_TABLE:
-                buckets = self.settings.buckets or int(
-                    self.spark.conf.get("spark.sql.shuffle.partitions")
-                )
-                clustering = f"CLUSTERED BY ({', '.join(S.MESSAGE_KEY)}) INTO {buckets} BUCKETS"
-            self._create(table, schema, self._new_location(table), clustering)
+            self._create(table, schema, self._new_location(table), self._clustering(table))
+
+    def _clustering(self, table: str) -> str:
+        """The buckets of a table: those that it has, or else those of the settings."""
+        if table != S.MESSAGE_TABLE:
+            return ""
+        return f"CLUSTERED BY ({', '.join(S.MESSAGE_KEY)}) INTO {self._buckets()} BUCKETS"
+
+    def _buckets(self) -> int:
+        if not self.exists(S.MESSAGE_TABLE):
+            return self.settings.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        detail = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(S.MESSAGE_TABLE)}")
+        return int(detail.where("col_name = 'Num Buckets'").first()["data_type"])
 
     def reset_tables(self) -> None:
         """Drop this export's tables with their data and version, and nothing else."""
@@ -152,14 +160,21 @@ class ChatStore:
     def upsert_roster(self, rows: DataFrame) -> None:
         """Upsert roster rows (with `ROSTER_ORDER` beside them) and switch to the new version."""
         table = S.ROSTER_TABLE
-        merged = merge_upsert(
-            self.read(table), rows, S.ROSTER_KEY, ROSTER_ORDER, self.settings.key_collation
+        self._switch(
+            table,
+            merge_upsert(self.read(table), rows, S.ROSTER_KEY, ROSTER_ORDER, self.settings.key_collation),
         )
+
+    def _switch(self, table: str, rows: DataFrame) -> None:
+        """Write a new version of a table in a folder of its own, and point the table at it.
+
+        The version before stays for readers that have begun with it; the one before that goes.
+        """
         old, stale = self.location(table), self._property(table, _PREVIOUS)
         new = self._new_location(table)
         staging = f"{table}__{uuid.uuid4().hex}"
-        self._create(staging, S.ROSTER, new)
-        merged.select(*S.ROSTER.fieldNames()).write.insertInto(self.name(staging))
+        self._create(staging, TABLES[table], new, self._clustering(table))
+        rows.select(*TABLES[table].fieldNames()).write.insertInto(self.name(staging))
         self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{new}'")
         self.spark.sql(
             f"ALTER TABLE {self.name(table)} SET TBLPROPERTIES ('{_PREVIOUS}' = '{old}')"
@@ -170,6 +185,27 @@ class ChatStore:
         if stale:
             self.drop_folder(stale)
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows as they are."""
+        rows.select(*TABLES[table].fieldNames()).write.insertInto(self.name(table))
+
+    def update(self, table: str, changes: DataFrame, keys: list[str], order: list[str]) -> None:
+        """Replace the rows of known keys (the last change by `order` counts)."""
+        self._switch(table, dml_update_by_key(self.read(table), changes, keys, order))
+
+    def delete(self, table: str, doomed: DataFrame, keys: list[str]) -> None:
+        """Remove the rows of the given keys."""
+        self._switch(table, dml_delete_by_key(self.read(table), doomed, keys))
+
+    def compact(self, table: str) -> None:
+        """Rewrite a table with one file per bucket, after many small additions."""
+        rows = self.read(table)
+        if table == S.MESSAGE_TABLE:
+            # By bucket number: a partitioning by the keys themselves would be taken for granted and left out.
+            buckets = self._buckets()
+            rows = rows.repartition(buckets, F.pmod(F.hash(*S.MESSAGE_KEY), F.lit(buckets)))
+        self._switch(table, rows)
+
     def messages_to_insert(self, messages: DataFrame) -> DataFrame:
         """Messages (with `MESSAGE_ORDER` beside them) that the table does not have yet."""
         return merge_insert_only(
@@ -184,5 +220,5 @@ class ChatStore:
         rows.select(*S.MESSAGE_COLUMNS).write.insertInto(self.name(S.MESSAGE_TABLE))
 
     def commit_progress(self, users: DataFrame, key: str = "mailbox") -> None:
-        new = progress_commit(self.read(S.PROGRESS_TABLE), users, key)
+        new = progress_commit(self.read(S.PROGRESS_TABLE), users, key, self.settings.key_collation)
         new.write.insertInto(self.name(S.PROGRESS_TABLE))
