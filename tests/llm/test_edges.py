@@ -263,6 +263,18 @@ def test_token_archive(spark, docs, none, tmp_path):
     assert not token_archive.read(token_archive.write(none, str(tmp_path / "none"), BYTES, 2), str(tmp_path / "none")).count()
 
 
+def test_folders_are_paths_or_uris(tmp_path):
+    from threadhaul.llm.shared_files import new_file, open_file
+
+    for folder in (f"{tmp_path}/a", f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        with new_file(folder, ".x") as (out, name):
+            out.write(b"abc")
+        assert open_file(folder, name).read() == b"abc"
+    with pytest.raises(RuntimeError), new_file(f"{tmp_path}/d", ".x") as (out, name):
+        raise RuntimeError("a task that fails")
+    assert not list((tmp_path / "d").iterdir())
+
+
 def test_token_archive_notices_damage(tmp_path):
     import zstandard
 

@@ -13,12 +13,13 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
-
 from pyspark import TaskContext
 
 
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
     """The store of a folder (local, HDFS, an object store) and the folder's path in it."""
+    if folder.startswith("file:") and "://" not in folder:
+        folder = "file://" + folder.removeprefix("file:")
     return fs.FileSystem.from_uri(folder)
 
 
