@@ -483,11 +483,13 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     nodes, ids = _numbered(docs)
     sketched = keep(nodes.mapInArrow(_sketch, _SKETCHED), "sketches")
     # Equal sets need no comparison: the smallest node stands for them.
-    equal = (
+    # Stored, so that the join behind it may be split where one set has very many copies.
+    equal = keep(
         sketched.where("n_shingles > 0")
         .groupBy("d1", "d2", "n_shingles")
         .agg(F.min("node").alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1")
+        .where("copies > 1"),
+        "equal-classes",
     )
     copies = keep(
         sketched.where("n_shingles > 0")
