@@ -229,20 +229,19 @@ class BitFilter:
         return (field[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows as (node, doc_id, text), a node being one row; and (node, doc_id).
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows as (node, doc_id, text), a node being one row; (node, doc_id); and, where ids repeat or are NULL, (node, row).
 
-    The id serves where it tells all rows apart; otherwise rows are stored with numbers of their own.
+    The id serves where it tells all rows apart; otherwise whole rows are stored with numbers of their own.
     """
-    plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    unclear = plain.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
-    if unclear:
-        plain = keep(plain.withColumn("node", F.monotonically_increasing_id()), "numbered")
-    else:
-        plain = plain.withColumn("node", F.col("doc_id"))
-    return plain.select("node", "text"), plain.select("node", "doc_id")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unclear = docs.groupBy(doc_id.alias("doc_id")).count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not unclear:
+        plain = docs.select(doc_id.alias("node"), doc_id.alias("doc_id"), text.alias("text"))
+        return plain.select("node", "text"), plain.select("node", "doc_id"), None
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("node"), F.struct("*").alias("row")), "numbered")
+    doc_id, text = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return rows.select("node", text.alias("text")), rows.select("node", doc_id.alias("doc_id")), rows
 
 
 def _changed(a: DataFrame, b: DataFrame) -> bool:
@@ -478,9 +477,8 @@ def _second_pairs(
     return _light_pairs(coarse, settings).union(_light_pairs(close, settings)).union(_heavy_pairs(close.where(F.col("n") > settings.heavy), sets)).distinct()
 
 
-def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, and links, the verified links that were needed to find it."""
-    nodes, ids = _numbered(docs)
+def _labelled(nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all nodes; and (node, label) of the linked ones, label being the smallest node of the component."""
     sketched = keep(nodes.mapInArrow(_sketch, _SKETCHED), "sketches")
     # Equal sets need no comparison: the smallest node stands for them.
     # Stored, so that the join behind it may be split where one set has very many copies.
@@ -511,7 +509,13 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
     labels = components(links)
     second = keep(_plausible(_second_pairs(nodes, shared, labels, sketched, again, settings), small).select("a", "b"), "second-pairs")
     more = keep(verified(second, nodes, settings), "second-links")
-    named = components(links.union(more).union(copies))
+    return sketched, components(links.union(more).union(copies))
+
+
+def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, and links, the verified links that were needed to find it."""
+    nodes, ids, _ = _numbered(docs)
+    sketched, named = _labelled(nodes, settings)
     least = (
         named.join(ids, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     )
@@ -527,14 +531,14 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> Data
 def one_per_component(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`docs` with one row of each component: the one with the smallest id, of equal ones any single one.
 
-    Rows without id stay.
+    Components are told apart by their rows, not by their ids: unlinked rows stay, also those whose id is
+    that of another row. Rows without id stay.
     """
-    found = keep(jaccard_components(docs, settings).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "components")
-    named = found.groupBy(F.col("doc_id").alias("gone")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
-    rest = keep(named.where("NOT first").select("gone"), "duplicate-ids")
-    kept = docs.join(rest, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    # Texts are dealt by id only where ids repeat.
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = named.select(docs.columns).union(kept.where("doc_id IS NULL"))
-    return kept
+    nodes, ids, rows = _numbered(docs)
+    _, named = _labelled(nodes, settings)
+    linked = named.join(ids, "node").where("doc_id IS NOT NULL")
+    first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "node"))["node"].alias("first"))
+    gone = keep(linked.join(first, "label").where("node <> first").select(F.col("node").alias("gone")), "duplicate-rows")
+    if rows is None:
+        return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return rows.join(gone, F.col("node") == F.col("gone"), "left_anti").select("row.*")
