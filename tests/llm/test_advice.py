@@ -24,3 +24,29 @@ def test_one_per_component_tells_rows_of_one_id_apart(spark, partitions):
     kept = sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=repr)
     want = [texts[0], texts[2], texts[3], (2, ""), texts[6], texts[7]]
     assert kept == sorted(((i, t.lower()) for i, t in want), key=repr)
+
+
+BODY = "<p>First paragraph with quite some words to read in it.</p><p>Second paragraph, which holds still more words than the first one.</p>"
+BODY_TEXT = "First paragraph with quite some words to read in it.\nSecond paragraph, which holds still more words than the first one."
+
+
+@pytest.mark.parametrize("name", ("no-sidebar", "with-sidebar", "has-banner", "page has-comments", "side", "widget", "ad"))
+@pytest.mark.parametrize("element", ("article", "main", "section"))
+def test_main_text_inside_hinted_wrappers(name, element):
+    """A wrapper around the content loses nothing, whatever its class or id says."""
+    weights = html_region.Weights({})
+    for attribute in ("class", "id"):
+        page = f'<body><div {attribute}="{name}"><{element}>{BODY}</{element}></div><div class="ad">Buy now.</div></body>'
+        assert html_region.extract(page, weights) == BODY_TEXT
+        page = f'<body><{element}><div {attribute}="{name}">{BODY}</div><div class="ad">Buy now.</div></{element}></body>'
+        assert html_region.extract(page, weights) == BODY_TEXT
+
+
+def test_main_text_keeps_headings_and_notices_within_and_no_comments_behind():
+    weights = html_region.Weights({})
+    inner = f'<h2 id="side-effects">Effects</h2>{BODY}<h2 id="related" class="notice">Work</h2><div class="notice"><p>Mind this.</p></div>{BODY}'
+    want = f"Effects\n{BODY_TEXT}\nWork\nMind this.\n{BODY_TEXT}"
+    comments = '<div id="comments"><p>I do not agree with any of that.</p></div>'
+    for page in (f"<article>{inner}{comments}</article>", f"<article>{inner}</article>{comments * 9}"):
+        assert html_region.extract(f"<html><body>{page}</body></html>", weights) == want
+    assert html_region.extract(f"<html><body><div>{BODY}</div>{comments}</body></html>", weights) == BODY_TEXT

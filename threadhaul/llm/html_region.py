@@ -7,9 +7,13 @@ labelled pages: those that mark their content themselves, with exactly one `arti
 element's own tags get no weight, so that pages without it are judged alike. Counts start from a few
 fixed ones, which also serve where no page is labelled.
 
-Elements that are no running text (scripts, styles, forms, navigation, notices, adverts, sidebars,
-reader comments, hidden parts) score nothing and are left out of the text; they are known by name, role,
-class or id. If the stretch lies inside an `article` or `main` element, all of that element is taken.
+Elements that are no running text (scripts, styles, forms, navigation, hidden parts) score nothing and
+are left out of the text; they are known by name, role or attribute. Notices, adverts, sidebars and reader
+comments are hinted at by a whole class or id: their words score strongly negative, so that the scan decides
+about them. A hint says nothing on headings, on what contains an `article` or `main` element, and on what
+contains most of the paragraph words of the article around it, or of a page without one.
+If the stretch lies inside an `article` or `main` element, all of that element is taken, except what is
+hinted at outside the stretch.
 
 Defined results: a NULL or empty page has an empty text, and so has a page whose scores are never
 positive; of equally good stretches the first is taken; repeated rows are extracted each. Elements that
@@ -41,12 +45,13 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video select".split())
 LEFT_OUT = frozenset("nav aside footer form menu button dialog head fieldset search".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|footer|masthead|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|subscription|related|recommended|share|sharing|social"
-    r"|comments?|disqus|replies|widget|popup|modal|overlay|login|signup|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+# Whole classes and ids only: "no-sidebar" or "has-comments" say something else.
+_HINTS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs"
+    " footer masthead cookie cookies consent gdpr notice alert newsletter subscribe subscription related recommended share sharing social"
+    " comment comments disqus replies widget popup modal overlay login signup pagination pager toolbar skip".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLE = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu|menubar|form)$", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^>]*>)|<[!?/][^>]*>",
@@ -67,43 +72,95 @@ class Settings:
     train_pages: int = 2_000
     word_bounds: tuple[float, float] = (0.2, 3.0)
     tag_bounds: tuple[float, float] = (0.3, 8.0)
+    hinted_word: float = 3.0  # what a word under a hint costs
 
 
 @dataclass
 class Token:
-    """A tag (`name`, `opens`) or a run of text (`name` is its element); `left_out` where it is no running text."""
+    """A tag (`name`, `opens`) or a run of text (`name` is its element); `left_out` where it is no running text.
+
+    `paragraph` where it stands in a `p` element, `hinted` where a class or id says that it is none of the content.
+    """
 
     tag: bool
     name: str
     opens: bool
     text: str
     left_out: bool
+    paragraph: bool = False
+    hinted: bool = False
+
+
+def _attributes(attributes: str) -> dict[str, str]:
+    if "=" not in attributes:
+        return {}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
 
 
-def _hidden(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
+def _hidden(attributes: str, found: dict[str, str]) -> bool:
+    if not found and "hidden" not in attributes:
         return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(_ATTRIBUTE, " ", attributes.rstrip(">"))) or found.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    return bool(
-        _ROLE.match(found.get("role", "")) or _HINT.search(found.get("class", "")) or _HINT.search(found.get("id", ""))
-    )
+    return bool(_ROLE.match(found.get("role", "")))
+
+
+def _hint(found: dict[str, str]) -> bool:
+    return not _HINTS.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+
+
+def _mark_hinted(page: list[Token], hints: list[tuple[int, int]], ends: dict[int, int]) -> None:
+    """Marks the tokens of the elements at `hints`, (element, content element around it or -1), that hold no content."""
+    contents = [i for i, t in enumerate(page) if t.tag and t.opens and t.name in _CONTENT and not t.left_out]
+    total = []  # by token: paragraph words before it, and all words before it
+    paragraphs = words = 0
+    for token in page:
+        total.append((paragraphs, words))
+        if not token.tag and not token.left_out:
+            n = len(token.text.split())
+            words += n
+            paragraphs += n * token.paragraph
+    total.append((paragraphs, words))
+
+    def inside(start: int, end: int) -> tuple[int, int]:
+        return tuple(b - a for a, b in zip(total[start], total[end]))
+
+    for i, around in hints:
+        end = ends.get(i, len(page))
+        if any(i < c < end for c in contents):
+            continue
+        if around >= 0 or not contents:
+            whole = inside(around, ends.get(around, len(page))) if around >= 0 else total[-1]
+            kind = 0 if whole[0] else 1
+            if 2 * inside(i, end)[kind] > whole[kind]:
+                continue
+        for token in page[i:end]:
+            token.hinted = True
 
 
 def tokens(page: str) -> list[Token]:
     """The tags and text runs of a page in order; comments and raw elements are gone."""
     out: list[Token] = []
     stack: list[str] = []  # open elements
-    content = 0  # open article and main elements
+    opened: list[int] = []  # and where they were opened
+    contents: list[int] = []  # open article and main elements
+    hints: list[tuple[int, int]] = []
+    ends: dict[int, int] = {}  # by where an element was opened
     skipped, depth = "", 0  # the element that is left out, and how often its name is open inside
     at, end = 0, len(page)
 
     def words(a: int, b: int) -> None:
         if a < b:
-            out.append(Token(False, stack[-1] if stack else "", False, page[a:b], bool(skipped)))
+            out.append(Token(False, stack[-1] if stack else "", False, page[a:b], bool(skipped), "p" in stack))
+
+    def pop(end: int) -> str:
+        name, start = stack.pop(), opened.pop()
+        if contents and contents[-1] == start:
+            contents.pop()
+        ends[start] = end
+        return name
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -129,22 +186,27 @@ def tokens(page: str) -> list[Token]:
                 if not depth:
                     skipped = ""
             if name in stack:
-                while (gone := stack.pop()) != name:
-                    content -= gone in _CONTENT
-                content -= name in _CONTENT
+                while pop(len(out)) != name:
+                    pass
             continue
         if skipped:
             depth += name == skipped
-        elif name not in ("html", "body", *_CONTENT) and (
-            name in LEFT_OUT or (name == "header" and not content) or (attributes != ">" and _hidden(attributes))
-        ):
-            skipped, depth = name, 1
-            out[-1].left_out = True
+        elif name not in ("html", "body", *_CONTENT):
+            found = _attributes(attributes) if attributes != ">" else {}
+            if name in LEFT_OUT or (name == "header" and not contents) or (attributes != ">" and _hidden(attributes, found)):
+                skipped, depth = name, 1
+                out[-1].left_out = True
+            elif found and name not in _HEADINGS and _hint(found):
+                hints.append((len(out) - 1, contents[-1] if contents else -1))
         # A new block ends an open paragraph; a new item ends the one before.
         if stack and (stack[-1] == "p" and name in BLOCKS or stack[-1] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()
+            pop(len(out) - 1)
         stack.append(name)
-        content += name in _CONTENT
+        opened.append(len(out) - 1)
+        if name in _CONTENT:
+            contents.append(len(out) - 1)
+    if hints:
+        _mark_hinted(out, hints, ends)
     return out
 
 
@@ -193,6 +255,8 @@ class Weights:
         if token.tag:
             low, high = self.settings.tag_bounds
             return -min(high, max(low, low - odds))
+        if token.hinted:
+            return -self.settings.hinted_word * len(token.text.split())
         low, high = self.settings.word_bounds
         return min(high, max(low, odds)) * len(token.text.split())
 
@@ -224,7 +288,8 @@ def _whole_element(page: list[Token], span: tuple[int, int]) -> tuple[int, int]:
     return (around[-1], len(page)) if around else span
 
 
-def text_of(page: list[Token], span: tuple[int, int]) -> str:
+def text_of(page: list[Token], span: tuple[int, int], scanned: tuple[int, int]) -> str:
+    """The text of a span, without what is hinted at outside the stretch that the scan has found."""
     blocks, parts = [], []
 
     def flush() -> None:
@@ -232,13 +297,14 @@ def text_of(page: list[Token], span: tuple[int, int]) -> str:
             blocks.append(block)
         parts.clear()
 
-    for token in page[span[0] : span[1]]:
+    for i in range(*span):
+        token = page[i]
         if token.tag:
             if token.name in BLOCKS:
                 flush()
             elif token.name == "br":
                 parts.append(" ")
-        elif not token.left_out:
+        elif not token.left_out and (not token.hinted or scanned[0] <= i < scanned[1]):
             parts.append(token.text)
     flush()
     return "\n".join(blocks)
@@ -247,7 +313,7 @@ def text_of(page: list[Token], span: tuple[int, int]) -> str:
 def extract(page: str | None, weights: Weights) -> str:
     found = tokens(page or "")
     span = best_stretch([weights.of(t) for t in found])
-    return text_of(found, _whole_element(found, span)) if span[0] < span[1] else ""
+    return text_of(found, _whole_element(found, span), span) if span[0] < span[1] else ""
 
 
 def learn(pages: DataFrame, settings: Settings = Settings()) -> Weights:
