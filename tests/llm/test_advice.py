@@ -50,3 +50,21 @@ def test_main_text_keeps_headings_and_notices_within_and_no_comments_behind():
     for page in (f"<article>{inner}{comments}</article>", f"<article>{inner}</article>{comments * 9}"):
         assert html_region.extract(f"<html><body>{page}</body></html>", weights) == want
     assert html_region.extract(f"<html><body><div>{BODY}</div>{comments}</body></html>", weights) == BODY_TEXT
+
+
+def test_scan_alone_finds_the_articles_of_given_pages():
+    """With article tags renamed nothing is widened: the borders are those of the scan."""
+    import html
+    import re
+    from collections import Counter
+
+    pages = [r["html"] for r in pq.read_table(f"{DATA}/pages.parquet", columns=["html"]).to_pylist()]
+    seen = Counter()
+    for page in pages[:500]:
+        seen.update(html_region.label_counts(page))
+    weights = html_region.Weights(seen)
+    for page in pages:
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        renamed = re.sub(r"(</?)article\b", r"\1div", page)
+        assert html_region.extract(renamed, weights) == "\n".join(x for x in blocks if x)
