@@ -4,11 +4,14 @@ import random
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_edges import LONG, SCHEMA
 
-from threadhaul.llm import html_region, ngram_join
+from threadhaul.llm import bpe_stream, html_region, ngram_join, secret_entropy
 from threadhaul.llm.common import prepared
+from threadhaul.llm.queries import BYTE_BPE, vocabulary_path
 
+BYTES = vocabulary_path(BYTE_BPE)
 DATA = "/root/testdata/sf0.1"
 
 
@@ -68,3 +71,14 @@ def test_scan_alone_finds_the_articles_of_given_pages():
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         renamed = re.sub(r"(</?)article\b", r"\1div", page)
         assert html_region.extract(renamed, weights) == "\n".join(x for x in blocks if x)
+
+
+def test_secrets_beside_runs_and_in_small_letters(spark):
+    """A run of one character does not hide the rest of a candidate; keys need no capitals."""
+    prepared(spark)
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ"
+    small = "k7q2zx9v4mw8t1ph6rj3sn5y"
+    texts = [f"key {key} end", f"key={small}.", f"/{small}/", "z" * 60 + "1", "z" * 40, "z1" * 20, f"key {small[:20]} end"]
+    found = secret_entropy.scan(spark.createDataFrame(list(enumerate(texts)), "n int, text string"))
+    marked = found.select("n", secret_entropy.redacted(F.col("text"), F.col("all_spans")).alias("t"))
+    assert [r.t for r in marked.orderBy("n").collect()] == ["key [SECRET] end", "key=[SECRET].", "/[SECRET]/", *texts[3:]]

@@ -1,7 +1,7 @@
 """Secrets in texts, in DataFrame functions only.
 
 Three fixed patterns (assignments, access keys, hex runs) and an entropy scan. For the
-scan, candidate strings of each character class (base 64, hex) are cut out; a window
+scan, candidate strings of each character class (base 64, hex, small letters with digits) are cut out; a window
 slides over a candidate with the count of each character kept up to date, and with it
 the sum of c * log2(c), so that the Shannon entropy of every window follows from the
 one before. A candidate is a secret if its highest window entropy reaches the limit
@@ -25,7 +25,7 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_CHARS = 8
-KINDS = ("assign", "access", "hex", "entropy64", "entropy16")
+KINDS = ("assign", "access", "hex", "entropy64", "entropy16", "entropy36")
 
 
 @dataclass(frozen=True)
@@ -54,13 +54,21 @@ BASE16 = CharClass(
     16,
     3.0,
 )
+BASE36 = CharClass(
+    "entropy36",
+    # Small letters and digits that are not hex: at least one digit and one letter behind f.
+    r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[0-9a-z]{24,}(?![A-Za-z0-9])",
+    "0123456789abcdefghijklmnopqrstuvwxyz",
+    20,
+    3.6,
+)
 
 # Harmless strings: UUIDs, digests named as such, paths of small words, runs of one character.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(sha1|sha256|sha384|sha512|md5)[-_=]",
     r"^[a-z]+([/_-][a-z]+)+$",
-    r"(.)\1{7,}",
+    r"^(.)\1*$",
 )
 
 
@@ -144,7 +152,7 @@ def entropy_spans(text: Column, chars: CharClass, allowed: tuple[str, ...] = ALL
     return F.filter(spans, secret)
 
 
-def scan(docs: DataFrame, text_column: str = "text", classes: tuple[CharClass, ...] = (BASE64, BASE16)) -> DataFrame:
+def scan(docs: DataFrame, text_column: str = "text", classes: tuple[CharClass, ...] = (BASE64, BASE16, BASE36)) -> DataFrame:
     """`docs` with `base_spans` and `all_spans`: arrays of (start, rank, kind, end, found) by start, then kind."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = F.concat(
