@@ -2,6 +2,7 @@
 
 import random
 
+import brute
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,25 @@ def test_secrets_beside_runs_and_in_small_letters(spark):
     found = secret_entropy.scan(spark.createDataFrame(list(enumerate(texts)), "n int, text string"))
     marked = found.select("n", secret_entropy.redacted(F.col("text"), F.col("all_spans")).alias("t"))
     assert [r.t for r in marked.orderBy("n").collect()] == ["key [SECRET] end", "key=[SECRET].", "/[SECRET]/", *texts[3:]]
+
+
+def test_ngram_join_counts_links(spark):
+    """The links of a component are at least a tree, each a true one, and both of its ends count it."""
+    prepared(spark)
+    rnd = random.Random(23)
+    texts = []
+    for _ in range(6):
+        base = [f"v{rnd.randrange(3000)}" for _ in range(60)]
+        for _ in range(rnd.randrange(1, 12)):
+            one = list(base)
+            one[rnd.randrange(60)] = f"v{rnd.randrange(3000)}"
+            texts += [" ".join(one)] * rnd.randrange(1, 3)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    true = brute.links(list(enumerate(texts)))
+    by_component = {}
+    for row in ngram_join.jaccard_components(frame).collect():
+        assert row.links <= sum(row.doc_id in pair for pair in true)
+        by_component.setdefault(row.component_id, []).append(row.links)
+    assert any(len(x) > 2 for x in by_component.values())
+    for links in by_component.values():
+        assert sum(links) % 2 == 0 and sum(links) >= 2 * (len(links) - 1) and (len(links) == 1 or min(links) > 0)

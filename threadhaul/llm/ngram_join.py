@@ -477,8 +477,8 @@ def _second_pairs(
     return _light_pairs(coarse, settings).union(_light_pairs(close, settings)).union(_heavy_pairs(close.where(F.col("n") > settings.heavy), sets)).distinct()
 
 
-def _labelled(nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all nodes; and (node, label) of the linked ones, label being the smallest node of the component."""
+def _labelled(nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all nodes; (node, label) of the linked ones, label being the smallest node of the component; and the links (a, b)."""
     sketched = keep(nodes.mapInArrow(_sketch, _SKETCHED), "sketches")
     # Equal sets need no comparison: the smallest node stands for them.
     # Stored, so that the join behind it may be split where one set has very many copies.
@@ -509,22 +509,34 @@ def _labelled(nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFram
     labels = components(links)
     second = keep(_plausible(_second_pairs(nodes, shared, labels, sketched, again, settings), small).select("a", "b"), "second-pairs")
     more = keep(verified(second, nodes, settings), "second-links")
-    return sketched, components(links.union(more).union(copies))
+    edges = links.union(more).union(copies)
+    return sketched, components(edges), edges
 
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, and links, the verified links that were needed to find it."""
+    """Per row: doc_id, n_shingles, component_id, and links, how many of the links that were needed to find it end there.
+
+    These are verified links and those to the first of equal sets. They span the component; further links inside it are not
+    enumerated.
+    """
     nodes, ids, _ = _numbered(docs)
-    sketched, named = _labelled(nodes, settings)
+    sketched, named, edges = _labelled(nodes, settings)
     least = (
         named.join(ids, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     )
-    found = named.join(least, "label").select("node", "component_id")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    found = named.join(least, "label").join(ends, "node").select("node", "component_id", "links")
     return (
         sketched.select("node", "n_shingles")
         .join(ids, "node")
         .join(found, "node", "left")
-        .select("node", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            "node",
+            "doc_id",
+            "n_shingles",
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce("links", F.lit(0)).alias("links"),
+        )
     )
 
 
@@ -535,7 +547,7 @@ def one_per_component(docs: DataFrame, settings: Settings = Settings()) -> DataF
     that of another row. Rows without id stay.
     """
     nodes, ids, rows = _numbered(docs)
-    _, named = _labelled(nodes, settings)
+    _, named, _ = _labelled(nodes, settings)
     linked = named.join(ids, "node").where("doc_id IS NOT NULL")
     first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "node"))["node"].alias("first"))
     gone = keep(linked.join(first, "label").where("node <> first").select(F.col("node").alias("gone")), "duplicate-rows")
