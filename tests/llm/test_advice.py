@@ -105,3 +105,14 @@ def test_ngram_join_counts_links(spark):
     assert any(len(x) > 2 for x in by_component.values())
     for links in by_component.values():
         assert sum(links) % 2 == 0 and sum(links) >= 2 * (len(links) - 1) and (len(links) == 1 or min(links) > 0)
+
+
+def test_long_pre_tokens_are_handed_on_in_blocks():
+    """No chunk grows with a pre-token, and ids and digests are those of the library."""
+    machine, tokenizer, rnd = bpe_stream.Transducer(BYTES), brute.byte_tokenizer(), random.Random(29)
+    for letters in ("theing", "-=_", "é한"):
+        long = "".join(rnd.choice(letters) for _ in range(60_000))
+        for text in (long, f"some words {long} 12 {long[:9_000]}", f" {long}\n\n" + "a b " * 5_000):
+            assert max(sum(len(ids) for ids, _ in found) for found in machine.chunks(text)) <= 2 * bpe_stream.CHUNK
+            assert machine.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+            assert machine.digests(text) == brute.round_trip(text)

@@ -8,8 +8,9 @@ on. The longest such chain, in bytes, is the merge list's sufficient lookahead.
 computed once from the list. A long pre-token is then read through a window: of the
 merged window, tokens that end at least the lookahead before its end are stable and
 are emitted; the next window begins where they end (the tokens of a suffix that
-begins at a token border are those of the whole). Memory depends on the lookahead,
-never on the pre-token.
+begins at a token border are those of the whole). Besides the text itself, memory
+depends on the lookahead and on CHUNK, never on the pre-token: longer ones are read from
+the text in blocks, and their ids are handed on block by block.
 
 Decoding. Bytes of one id after the other go through a UTF-8 state machine that keeps
 at most three bytes of an unfinished character; ill-formed sequences become U+FFFD,
@@ -27,7 +28,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 import regex
@@ -226,8 +227,20 @@ class Transducer:
                     yield found
             else:
                 matches = self.pattern.finditer(part)
-                while found := [self.memo[m.group()] for m in islice(matches, CHUNK)]:
-                    yield found
+                while some := list(islice(matches, CHUNK)):
+                    for long, group in groupby(some, lambda m: m.end() - m.start() > CHUNK):
+                        if long:
+                            yield from (found for m in group for found in self._blocks(part, *m.span()))
+                        else:
+                            yield [self.memo[m.group()] for m in group]
+
+    def _blocks(self, text: str, start: int, end: int) -> Iterator[list[tuple[Sequence[int], str]]]:
+        """The ids of one long pre-token, as they become stable."""
+        step = self.words.lookahead + self.words.longest
+        blocks = (text[i : min(i + step, end)].encode() for i in range(start, end, step))
+        for ids in self.words.transduce(blocks):
+            if ids:
+                yield [(ids, ",".join(map(str, ids)))]
 
     def encode(self, text: str) -> list[int]:
         return [i for found in self.chunks(text) for ids, _ in found for i in ids]
