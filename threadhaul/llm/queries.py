@@ -16,6 +16,7 @@ from . import (
     ordinal_quality,
     risk_rules,
     secret_entropy,
+    spelling_blocks,
     token_archive,
     token_counts,
     warc_zstd,
@@ -142,3 +143,37 @@ def op10_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons"
     )
+
+
+# The hash of a run is worked out byte by byte, with the usual table of 256 remainders made by its rule.
+ORACLES["op11_spelling_blocks"] = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS remainders),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS bytes FROM d),
+h AS (SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c // 256, remainders[xor(c % 256, x) + 1]),
+    4294967295::BIGINT)) AS hash FROM b, t),
+s AS (SELECT CASE WHEN hash % 199 = 0 THEN run[:hash % length(run)] || run[hash % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM w),
+x AS (SELECT word, n, place, word[:place - 1] || word[place + 1:] AS short FROM v),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.short = b.short AND a.place = b.place AND a.word <> b.word
+    UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.short = w.word
+    UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.short = w.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, min(near.near) AS form, min(near.near_n) AS form_n FROM w
+    LEFT JOIN best USING (word) LEFT JOIN near ON near.word = w.word AND near.near_n = most AND most >= 5 * w.n GROUP BY ALL),
+c AS (SELECT word AS start, form AS last FROM f WHERE form IS NOT NULL
+    UNION SELECT c.start, f.form FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL),
+e AS (SELECT c.start, c.last FROM c JOIN f ON f.word = c.last WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.last, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e ON e.start = f.word
+"""
+
+
+@query
+def op11_spelling_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, with the more frequent words that they are misspellings of."""
+    return spelling_blocks.spelling_groups(table(spark, folder, "documents"))
