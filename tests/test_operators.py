@@ -55,21 +55,43 @@ def test_ordinal_equals_brute_force(skewed):
         ((*row, place) for g in by_key(rows).values() for place, row in enumerate(g, 1)), key=repr
     )
     assert tuples(with_ordinal(df, ["k"], ["n"])) == want
+    # Bounds within the hot group, next to small groups, and more parts than rows.
+    for parts, part_rows in ((7, 100), (50, 10), (20_000, 1)):
+        assert tuples(with_ordinal(df, ["k"], ["n"], parts=min(parts, 60), part_rows=part_rows)) == want
 
 
 def test_ordinal_without_group_and_with_nulls(spark, skewed):
     rows, df = skewed
-    got = with_ordinal(df, [], ["n"]).select("n", "ordinal").collect()
-    assert sorted((r["n"], r["ordinal"]) for r in got) == [(i, i + 1) for i in range(9000)]
-    some = spark.createDataFrame([(None, 2), (None, 1), ("a", 1)], "k string, n int")
-    assert tuples(with_ordinal(some, ["k"], ["n"])) == sorted([(None, 1, 1), (None, 2, 2), ("a", 1, 1)], key=repr)
+    for part_rows in (50_000, 500):
+        got = with_ordinal(df, [], ["n"], part_rows=part_rows).select("n", "ordinal").collect()
+        assert sorted((r["n"], r["ordinal"]) for r in got) == [(i, i + 1) for i in range(9000)]
+    some = spark.createDataFrame([(None, 2), (None, 1), (None, None), ("a", 1)], "k string, n int")
+    for part_rows in (50_000, 1):
+        got = tuples(with_ordinal(some, ["k"], ["n"], parts=4, part_rows=part_rows))
+        assert got == sorted([(None, None, 1), (None, 1, 2), (None, 2, 3), ("a", 1, 1)], key=repr)
     assert with_ordinal(some.where("n > 5"), ["k"], ["n"]).isEmpty()
 
 
-def test_ordinal_spreads_a_hot_group(spark, skewed):
-    _, df = skewed
-    ranged = df.repartitionByRange("k", "n").withColumn("p", F.spark_partition_id())
-    assert ranged.where("k = 'hot'").select("p").distinct().count() > 1
+def test_ordinal_with_equal_keys_and_many_kinds(spark):
+    rows = spark.range(4000).selectExpr(
+        "id % 3 AS k", "date_add(DATE'2024-01-01', CAST(id % 50 AS INT)) AS d", "CAST(id % 7 AS DECIMAL(9,2)) AS x", "id"
+    )
+    got = with_ordinal(rows, ["k"], ["d", "x"], parts=9, part_rows=10).collect()
+    groups = by_key([(r.k, r.d, r.x, r.ordinal) for r in got])
+    for group in groups.values():
+        assert [r[3] for r in sorted(group, key=lambda r: r[1:])] == list(range(1, len(group) + 1))
+
+
+def test_ordinal_spreads_a_hot_group_in_one_shuffle(spark):
+    df = spark.range(9000).selectExpr("IF(id % 3 > 0, 'hot', CAST(id AS STRING)) AS k", "id AS n")
+    numbered = with_ordinal(df, ["k"], ["n"], parts=8, part_rows=10)
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(__part") == text.count("Exchange") == 1
+    assert "Join" not in text and "checkpoint" not in text.lower()
+    parts = numbered.withColumn("p", F.spark_partition_id()).where("k = 'hot'").select("p").distinct().count()
+    assert parts > 1
+    for paged in (paginate(df, "k", ["n"], 7), rolling_series(df, ["n"], 400)):
+        assert paged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 def test_paginate(skewed):
