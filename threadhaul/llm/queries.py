@@ -16,6 +16,7 @@ from . import (
     ordinal_quality,
     risk_rules,
     secret_entropy,
+    source_mixture,
     spelling_blocks,
     token_archive,
     token_counts,
@@ -177,3 +178,31 @@ SELECT f.word, f.form, coalesce(e.last, f.word) AS root, f.n, f.n_near, f.form_n
 def op11_spelling_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents, with the more frequent words that they are misspellings of."""
     return spelling_blocks.spelling_groups(table(spark, folder, "documents"))
+
+
+ORACLES["op13_source_mixture"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][(place - 1) % 3 + 1] AS weight, sum(source_size) OVER () AS whole FROM s),
+-- Water filling: in ascending order of limit / weight, a source is full while its limit is below its share of the rest.
+r AS (SELECT *, 1.5 * whole - coalesce(sum(2 * source_size) OVER before, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights FROM w
+    WINDOW before AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, rest::DOUBLE * weight / weights::DOUBLE > 2 * source_size AS above FROM r),
+l AS (SELECT coalesce(sum(2 * source_size) FILTER (above), 0) AS taken, greatest(sum(weight) FILTER (NOT above), 1) AS weights FROM f),
+t AS (SELECT source, source_size, CASE WHEN above THEN (2 * source_size)::DOUBLE
+    ELSE (1.5 * whole - taken)::DOUBLE * weight / l.weights::DOUBLE END AS target FROM f, l),
+p AS (SELECT d.doc_id, d.source, size, source_size, target,
+    row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST)::HUGEINT AS place,
+    ('0x' || sha256('0:' || coalesce(d.source, ''))[:10])::HUGEINT AS first,
+    CASE WHEN source_size > 0 THEN floor(target / source_size * 1099511627776)::HUGEINT ELSE 0 END AS expected
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target, copies, size * copies AS taken FROM (SELECT *, ((first + expected * place)
+    // 1099511627776 - (first + expected * (place - 1)) // 1099511627776)::INT AS copies FROM p)
+"""
+
+
+@query
+def op13_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How often, and with how many words, each document enters the mix of sources."""
+    return source_mixture.taken_words(table(spark, folder, "documents"))
