@@ -11,6 +11,7 @@ from ..runtime import scratch
 from . import (
     bpe_stream,
     decontaminate,
+    heap_clusters,
     html_region,
     ngram_join,
     ordinal_quality,
@@ -180,6 +181,46 @@ def op11_spelling_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_blocks.spelling_groups(table(spark, folder, "documents"))
 
 
+def _clusters_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Every round spelled out: distances to all centroids, the nearest one, floors of the means."""
+
+    def nearest(turn: int) -> str:
+        return (
+            f"a{turn} AS MATERIALIZED (SELECT vec_id, v, arg_min(k, d * {clusters} + k) AS k, min(d) AS d FROM (SELECT vec_id, v, k,"
+            f" list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM v, c{turn}) GROUP BY ALL)"
+        )
+
+    def means(turn: int) -> str:
+        return (
+            f"m{turn} AS (SELECT k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{turn}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),"
+            f"l{turn} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{turn} GROUP BY k),"
+            f"c{turn + 1} AS MATERIALIZED (SELECT k, coalesce(l{turn}.c, c{turn}.c) AS c FROM c{turn} LEFT JOIN l{turn} USING (k))"
+        )
+
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM"
+        f" (SELECT v, sha256('2:' || vec_id) AS h FROM v ORDER BY h, v LIMIT {clusters}))",
+    ]
+    for turn in range(rounds):
+        parts += [nearest(turn), means(turn)]
+    parts.append(nearest(rounds))
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,"
+        f" sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"
+    )
+
+
+ORACLES["op12_heap_clusters"] = _clusters_sql()
+
+
+@query
+def op12_heap_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector, its distance, and the sums of distances."""
+    return heap_clusters.with_inertia(heap_clusters.cluster(table(spark, folder, "embeddings")))
+
+
 ORACLES["op13_source_mixture"] = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
