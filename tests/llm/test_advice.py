@@ -46,16 +46,42 @@ def test_main_text_inside_hinted_wrappers(name, element):
         assert html_region.extract(page, weights) == BODY_TEXT
 
 
-def test_main_text_keeps_headings_and_notices_within_and_no_comments_behind():
+def test_main_text_keeps_headings_and_no_notices_within_or_comments_behind():
     weights = html_region.Weights({})
     inner = f'<h2 id="side-effects">Effects</h2>{BODY}<h2 id="related" class="notice">Work</h2><div class="notice"><p>Mind this.</p></div>{BODY}'
-    want = f"Effects\n{BODY_TEXT}\nWork\nMind this.\n{BODY_TEXT}"
+    want = f"Effects\n{BODY_TEXT}\nWork\n{BODY_TEXT}"
     comments = '<div id="comments"><p>I do not agree with any of that.</p></div>'
     for page in (f"<article>{inner}{comments}</article>", f"<article>{inner}</article>{comments * 9}"):
         assert html_region.extract(f"<html><body>{page}</body></html>", weights) == want
     assert html_region.extract(f"<html><body><div>{BODY}</div>{comments}</body></html>", weights) == BODY_TEXT
 
 
+@pytest.mark.parametrize("name", sorted(html_region._HINTS))
+@pytest.mark.parametrize("around", ("article", "main", "section", "div"))
+def test_main_text_without_hinted_elements_between_paragraphs(name, around):
+    weights = html_region.Weights({})
+    for attribute in ("class", "id"):
+        for inner in ("<p>Buy now, or mind this.</p>", "Buy now.", "<ul><li>One more</li></ul>"):
+            page = f'<{around}>{BODY}<div {attribute}="{name}">{inner}</div>{BODY}</{around}>'
+            assert html_region.extract(f"<body>{page}</body>", weights) == f"{BODY_TEXT}\n{BODY_TEXT}"
+
+
+def test_main_text_keeps_formulas_and_literal_text():
+    weights = html_region.Weights({})
+    formula = "<p>So <math><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation>x \\lt 2</annotation></math> holds.</p>"
+    page = f"<article>{BODY}{formula}<xmp>if a <b> &amp; c:</xmp>{BODY}</article>"
+    assert html_region.extract(page, weights) == f"{BODY_TEXT}\nSo x<2 holds.\nif a <b> &amp; c:\n{BODY_TEXT}"
+
+
+def test_two_articles_on_a_page():
+    """One stretch over both is the content of both; otherwise the better one counts."""
+    weights = html_region.Weights({})
+    both = f"<article>{BODY}</article><article>{BODY}</article>"
+    assert html_region.extract(both, weights) == f"{BODY_TEXT}\n{BODY_TEXT}"
+    apart = f"<article><p>Few words.</p></article><div>{'<div></div>' * 200}</div><article>{BODY}</article>"
+    assert html_region.extract(apart, weights) == BODY_TEXT
+
+
 def test_scan_alone_finds_the_articles_of_given_pages():
     """With article tags renamed nothing is widened: the borders are those of the scan."""
     import html

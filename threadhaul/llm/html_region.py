@@ -9,11 +9,11 @@ fixed ones, which also serve where no page is labelled.
 
 Elements that are no running text (scripts, styles, forms, navigation, hidden parts) score nothing and
 are left out of the text; they are known by name, role or attribute. Notices, adverts, sidebars and reader
-comments are hinted at by a whole class or id: their words score strongly negative, so that the scan decides
-about them. A hint says nothing on headings, on what contains an `article` or `main` element, and on what
+comments are hinted at by a whole class or id: their words score strongly negative, and are left out of the text
+wherever they stand, between two paragraphs too. A hint says nothing on headings, on what contains an `article` or `main` element, and on what
 contains most of the paragraph words of the article around it, or of a page without one.
-If the stretch lies inside an `article` or `main` element, all of that element is taken, except what is
-hinted at outside the stretch.
+If the stretch lies inside an `article` or `main` element, all of that element is taken. Several articles on
+a page are one content if the stretch spans them, else the one with the stretch counts.
 
 Defined results: a NULL or empty page has an empty text, and so has a page whose scores are never
 positive; of equally good stretches the first is taken; repeated rows are extracted each. Elements that
@@ -39,11 +39,14 @@ from .common import first_by_hash
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary"
-    " table tbody td tfoot th thead tr ul".split()
+    " table tbody td tfoot th thead tr ul xmp".split()
 )
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video select".split())
+# Names whose inside is no running text; `annotation` is what a formula is written in, beside the formula.
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg annotation annotation-xml object canvas audio video select".split())
+# Its inside is shown as it stands, tags and all.
+LITERAL = "xmp"
 LEFT_OUT = frozenset("nav aside footer form menu button dialog head fieldset search".split())
 # Whole classes and ids only: "no-sidebar" or "has-comments" say something else.
 _HINTS = frozenset(
@@ -177,6 +180,13 @@ def tokens(page: str) -> list[Token]:
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else end
             continue
+        if name == LITERAL and not closes:
+            close = re.compile(rf"</{LITERAL}\b[^>]*>", re.I).search(page, at)
+            inside = html.escape(page[at : close.start() if close else end])
+            block = [Token(True, name, True, "", bool(skipped)), Token(False, name, False, inside, bool(skipped)), Token(True, name, False, "", bool(skipped))]
+            out.extend(block)
+            at = close.end() if close else end
+            continue
         out.append(Token(True, name, not closes, "", bool(skipped)))
         if name in VOID:
             continue
@@ -288,8 +298,8 @@ def _whole_element(page: list[Token], span: tuple[int, int]) -> tuple[int, int]:
     return (around[-1], len(page)) if around else span
 
 
-def text_of(page: list[Token], span: tuple[int, int], scanned: tuple[int, int]) -> str:
-    """The text of a span, without what is hinted at outside the stretch that the scan has found."""
+def text_of(page: list[Token], span: tuple[int, int]) -> str:
+    """The text of a span, without what is left out or hinted at."""
     blocks, parts = [], []
 
     def flush() -> None:
@@ -304,7 +314,7 @@ def text_of(page: list[Token], span: tuple[int, int], scanned: tuple[int, int])
                 flush()
             elif token.name == "br":
                 parts.append(" ")
-        elif not token.left_out and (not token.hinted or scanned[0] <= i < scanned[1]):
+        elif not token.left_out and not token.hinted:
             parts.append(token.text)
     flush()
     return "\n".join(blocks)
@@ -313,7 +323,7 @@ def text_of(page: list[Token], span: tuple[int, int], scanned: tuple[int, int])
 def extract(page: str | None, weights: Weights) -> str:
     found = tokens(page or "")
     span = best_stretch([weights.of(t) for t in found])
-    return text_of(found, _whole_element(found, span), span) if span[0] < span[1] else ""
+    return text_of(found, _whole_element(found, span)) if span[0] < span[1] else ""
 
 
 def learn(pages: DataFrame, settings: Settings = Settings()) -> Weights:
