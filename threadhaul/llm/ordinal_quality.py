@@ -192,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(index, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), lists], ["doc_id", "grade", "features"])
 
-    # A rated id with several rows counts once.
-    sample = texts(docs).join(rated, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", "text")
+    # A rated id with several rows counts once, with the text whose hash is smallest, in whatever order rows arrive.
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    sample = texts(docs).join(rated, "doc_id").groupBy("doc_id", "grade").agg(first.alias("text"))
     got = sample.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by("doc_id")
     lists = got.column("features").combine_chunks()
     sizes = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
