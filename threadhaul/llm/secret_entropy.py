@@ -4,7 +4,8 @@ Three fixed patterns (assignments, access keys, hex runs) and an entropy scan. F
 scan, candidate strings of each character class (base 64, hex, small letters with digits) are cut out; a window
 slides over a candidate with the count of each character kept up to date, and with it
 the sum of c * log2(c), so that the Shannon entropy of every window follows from the
-one before. A candidate is a secret if its highest window entropy reaches the limit
+one before. A long candidate is cut into stretches that overlap by a window, so that the
+work grows with its length. A candidate is a secret if its highest window entropy reaches the limit
 of its class, and it is on no allow-list (fixed patterns of harmless strings).
 
 Positions are code points: the pieces between the matches, as `split` leaves them, and
@@ -15,6 +16,7 @@ Defined results: a NULL text is empty; repeated rows are scanned each.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -107,37 +109,72 @@ def _spans(text: Column, pattern: str, kind: str, lead: int | None = None, least
     )
 
 
-def _clog(count: Column) -> Column:
-    return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+# Parts of one bit that entropies are counted in; whole numbers, so that sums do not depend on the way to them.
+_BIT = 1 << 32
+# A candidate is worked on in stretches of so many characters, each with the window's reach of the next one.
+_STRETCH = 256
 
 
-def highest_entropy(value: Column, chars: CharClass) -> Column:
-    """The highest Shannon entropy, in bits a character, of any window of `value`.
+def _clog(count: int) -> int:
+    return round(count * math.log2(count) * _BIT) if count else 0
 
-    Kept from step to step: the count of each character of the class in the window,
-    and the sum of count * log2(count); entropy = log2(w) - sum / w.
+
+def least_sum(value: Column, chars: CharClass) -> Column:
+    """The smallest sum of count * log2(count), over all windows of `value`; NULL without a whole window.
+
+    The entropy of a window of w characters is log2(w) - sum / w bits. Kept from step to step: the
+    count of each character of the class in the window, and the sum.
     """
-    w = chars.window
-    zero = F.array_repeat(F.lit(0), len(chars.alphabet))
-    first = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.instr(F.lit(chars.alphabet), F.substring(value, i, F.lit(1))) - 1
-        leaves = F.when(i > w, F.instr(F.lit(chars.alphabet), F.substring(value, i - w, F.lit(1))) - 1).otherwise(-1)
-        more, less = F.get(state["counts"], enters), F.get(state["counts"], leaves)
-        same = enters == leaves
-        total = state["sum"] + F.when(same, 0.0).otherwise(
-            _clog(more + 1) - _clog(more) + F.coalesce(_clog(less - 1) - _clog(less), F.lit(0.0))
+    w, size = chars.window, len(chars.alphabet)
+    clogs = F.array(*(F.lit(_clog(n)) for n in range(w + 1)))
+    first = F.struct(
+        F.array_repeat(F.lit(0), size).alias("counts"),
+        F.lit(0).cast("long").alias("sum"),
+        F.lit(0).alias("n"),
+        F.lit(None).cast("long").alias("least"),
+    )
+
+    def placed(counts: Column, at: Column, count: Column) -> Column:
+        return F.concat(F.slice(counts, 1, at), F.array(count), F.slice(counts, at + 2, F.lit(size)))
+
+    def step(state: Column, x: Column) -> Column:
+        counts, enters, leaves = state["counts"], x["enters"], x["leaves"]
+        more, less = F.get(counts, enters), F.get(counts, leaves)
+        total = state["sum"] + F.when(leaves.eqNullSafe(enters), 0).otherwise(
+            F.get(clogs, more + 1) - F.get(clogs, more) + F.coalesce(F.get(clogs, less - 1) - F.get(clogs, less), F.lit(0))
+        )
+        after = (
+            F.when(leaves.isNull(), placed(counts, enters, more + 1))
+            .when(leaves == enters, counts)
+            .otherwise(placed(placed(counts, enters, more + 1), leaves, less - 1))
         )
-        counts = F.transform(
-            state["counts"],
-            lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0),
+        return F.struct(
+            after.alias("counts"),
+            total.alias("sum"),
+            (state["n"] + 1).alias("n"),
+            F.when(state["n"] + 1 >= w, F.least(state["least"], total)).otherwise(state["least"]).alias("least"),
         )
-        now = F.lit(w).cast("double")
-        entropy = F.when(i >= w, F.log2(now) - total / now).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(state["best"], entropy).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), first, step)["best"]
+    def in_stretch(stretch: Column) -> Column:
+        codes = F.transform(F.regexp_extract_all(stretch, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(chars.alphabet), c) - 1)
+        pairs = F.transform(
+            F.array(codes),
+            lambda c: F.arrays_zip(
+                c.alias("enters"), F.concat(F.array_repeat(F.lit(None).cast("int"), w), F.slice(c, 1, F.greatest(F.size(c) - w, F.lit(0)))).alias("leaves")
+            ),
+        )
+        # Shorter stretches than a window have one pair for each place of the window: those without a character go.
+        return F.aggregate(F.filter(F.get(pairs, 0), lambda x: x["enters"].isNotNull()), first, step)["least"]
+
+    pieces = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{_STRETCH}}}"), F.lit(0))
+    reach = F.transform(F.array(pieces), lambda p: F.transform(p, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(p, i + 1), F.lit("")), 1, w - 1))))
+    return F.array_min(F.transform(F.get(reach, 0), in_stretch))
+
+
+def enough_entropy(value: Column, chars: CharClass) -> Column:
+    """Whether a window of `value` has `bits` bits a character or more; errors of the whole numbers count as equal."""
+    limit = math.floor((math.log2(chars.window) - chars.bits) * chars.window * _BIT) + chars.window
+    return F.coalesce(least_sum(value, chars) <= limit, F.lit(False))
 
 
 def entropy_spans(text: Column, chars: CharClass, allowed: tuple[str, ...] = ALLOWED) -> Column:
@@ -147,7 +184,7 @@ def entropy_spans(text: Column, chars: CharClass, allowed: tuple[str, ...] = ALL
         harmless = F.lit(False)
         for pattern in allowed:
             harmless = harmless | span["found"].rlike(pattern)
-        return ~harmless & (highest_entropy(span["found"], chars) >= chars.bits)
+        return ~harmless & enough_entropy(span["found"], chars)
 
     return F.filter(spans, secret)
 
@@ -183,17 +220,16 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """`text` with every span replaced by `mark`; spans that overlap become one mark."""
     state = F.aggregate(
         spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("at")),
         lambda s, x: F.struct(
             F.when(
                 x["start"] >= s["at"],
-                F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)),
+                F.concat(s["pieces"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))),
             )
-            .otherwise(s["out"])
-            .alias("out"),
+            .otherwise(s["pieces"])
+            .alias("pieces"),
             F.greatest(s["at"], x["end"]).alias("at"),
         ),
+        lambda s: F.concat(F.array_join(s["pieces"], ""), F.substring(text, s["at"] + 1, F.length(text))),
     )
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    )
+    return F.when(F.size(spans) == 0, text).otherwise(state)
