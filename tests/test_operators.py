@@ -62,11 +62,11 @@ def test_ordinal_equals_brute_force(skewed):
 
 def test_ordinal_without_group_and_with_nulls(spark, skewed):
     rows, df = skewed
-    for part_rows in (50_000, 500):
+    for part_rows in (10_000, 500):
         got = with_ordinal(df, [], ["n"], part_rows=part_rows).select("n", "ordinal").collect()
         assert sorted((r["n"], r["ordinal"]) for r in got) == [(i, i + 1) for i in range(9000)]
     some = spark.createDataFrame([(None, 2), (None, 1), (None, None), ("a", 1)], "k string, n int")
-    for part_rows in (50_000, 1):
+    for part_rows in (10_000, 1):
         got = tuples(with_ordinal(some, ["k"], ["n"], parts=4, part_rows=part_rows))
         assert got == sorted([(None, None, 1), (None, 1, 2), (None, 2, 3), ("a", 1, 1)], key=repr)
     assert with_ordinal(some.where("n > 5"), ["k"], ["n"]).isEmpty()

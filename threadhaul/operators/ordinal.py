@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 # Sampled keys for each part, and the rows below which a part is not worth its task.
 SAMPLE_PER_PART = 100
-PART_ROWS = 50_000
+PART_ROWS = 10_000
 
 
 @dataclass(frozen=True)
