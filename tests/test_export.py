@@ -205,14 +205,15 @@ def test_groups_survive_failures_and_restarts(spark, store, settings, tmp_path,
     grouped = dataclasses.replace(settings, groups=3)
     reader = paged_source_reader(spark, source, grouped, groups=2)
     export = ChatExport(spark, grouped)
-    append, calls = export.store.append_messages, []
+    merge, calls = export.store.merge_messages, []
 
     def killed(rows):
         if calls:
             raise RuntimeError("killed")
-        calls.append(append(rows))
+        calls.append(merge(rows))
+        return calls[-1]
 
-    monkeypatch.setattr(export.store, "append_messages", killed)
+    monkeypatch.setattr(export.store, "merge_messages", killed)
     with pytest.raises(RuntimeError, match="killed"):
         export.run(roster_folder(*users), reader)
     first = done(store)

@@ -24,10 +24,11 @@ from ..operators.metrics import RUN_LOG, append_run_log, id_collisions, run_summ
 from ..operators.worklist import resume_worklist
 from ..runtime import configure, scratch, stored
 from ..settings import ExportSettings
-from ..sources.files import matching_bytes, scan_wildcard_files, scan_wildcard_lines
+from ..sources.files import largest_match, matching_bytes, scan_wildcard_files, scan_wildcard_lines
+from ..sources.json_split import array_elements
 from ..sources.paged import write_worklist
 from ..sources.pages import explode_pages
-from ..sources.roster import roster_rows, roster_rows_from_lines, split_roster
+from ..sources.roster import roster_rows, roster_rows_from_elements, roster_rows_from_lines, split_roster
 from ..tables import ChatStore
 from .messages import MESSAGE_ORDER, checked_messages
 
@@ -147,6 +148,8 @@ class ChatExport:
         pattern, strict = self.settings.roster_pattern, self.settings.strict
         if self.settings.roster_lines:
             rows = roster_rows_from_lines(scan_wildcard_lines(self.spark, root, pattern), strict=strict)
+        elif largest_match(self.spark, root, pattern) > self.settings.roster_split_bytes:
+            rows = roster_rows_from_elements(array_elements(self.spark, root, pattern), strict=strict)
         else:
             rows = roster_rows(scan_wildcard_files(self.spark, root, pattern), strict=strict)
         # Roster texts are parsed once.
@@ -194,9 +197,7 @@ class ChatExport:
         rows = messages_that_count(staged, outcomes)
         blamed = stored(refused(rows), f"{folder}/refused")
         valid = rows.where(F.col("problem").isNull())
-        before = store.read(S.MESSAGE_TABLE).count()
-        store.append_messages(store.messages_to_insert(valid))
-        after = store.read(S.MESSAGE_TABLE).count()
+        inserted = store.merge_messages(valid)
         done = stored(
             completed_users(outcomes).join(blamed.select("mailbox").distinct(), "mailbox", "left_anti"),
             f"{folder}/finished",
@@ -212,7 +213,7 @@ class ChatExport:
         self._log(
             report.run_id,
             f"{report.folder}/log",
-            ("messages", counted.messages, read.bytes, counted.bytes, f"{after - before} inserted"),
+            ("messages", counted.messages, read.bytes, counted.bytes, f"{inserted} inserted"),
             users=self._user_log(report.run_id, pages, outcomes),
         )
         failed = user_outcomes(outcomes).where(F.col("outcome") == FAILED).count()
@@ -220,7 +221,7 @@ class ChatExport:
             report,
             pages=report.pages + read.pages,
             messages=report.messages + counted.messages,
-            inserted=report.inserted + after - before,
+            inserted=report.inserted + inserted,
             refused=report.refused + blamed.count(),
             bad_urls=report.bad_urls + counted.bad_urls,
             finished=report.finished + done.count(),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import scratch
 from ..sources import files as R
 from ..sources import roster as O
+from ..sources.json_split import array_elements
 from .registry import Tables, query, text
 
 ROWS_PER_FILE = 2000
@@ -113,6 +114,20 @@ def roster_quarantine(t: Tables) -> DataFrame:
     return _roster(t).quarantine.select("object")
 
 
+@query("""SELECT c_name AS "DisplayName", CASE WHEN c_acctbal >= 0 THEN 'u' || c_custkey WHEN c_nationkey < 10 THEN '' END
+  AS "ExternalDirectoryObjectId", c_mktsegment || '@sample.com' AS "PrimarySmtpAddress" FROM customer""")
+def roster_split_arrays(t: Tables) -> DataFrame:
+    """The same roster files, each array cut among tasks."""
+    size = "spark.sql.files.maxPartitionBytes"
+    before = t.spark.conf.get(size)
+    t.spark.conf.set(size, "4096")
+    try:
+        elements = array_elements(t.spark, _roster_files(t), "allmailboxes*.txt")
+    finally:
+        t.spark.conf.set(size, before)
+    return O.roster_rows_from_elements(elements).select("DisplayName", "ExternalDirectoryObjectId", "PrimarySmtpAddress")
+
+
 @query("""SELECT 'u' || c_custkey AS "ExternalDirectoryObjectId", c_name AS "DisplayName" FROM customer""")
 def roster_from_lines(t: Tables) -> DataFrame:
     """One object per line: files of any size, which Spark can split."""

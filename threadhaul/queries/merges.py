@@ -9,7 +9,11 @@ from ..operators import merge
 from ..operators.concat import string_concat_agg as concat_rows
 from ..operators.dedupe import dedupe_first_wins as first_wins
 from ..operators.dedupe import dedupe_last_wins as last_wins
-from .derived import roster
+from ..plans.messages import normalize_messages
+from ..runtime import scratch
+from ..settings import ExportSettings
+from ..tables import ChatStore
+from .derived import MESSAGE_SQL, SHOWN_SQL, payloads, roster, shown
 from .registry import Tables, query
 
 _LAST_ORDER = """SELECT *, row_number() OVER (PARTITION BY o_custkey
@@ -63,6 +67,23 @@ def merge_insert_only(t: Tables):
     return target.unionByName(new)
 
 
+@query(f"""SELECT {SHOWN_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY mailbox, chat_id, id_key
+  ORDER BY CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 50 = 7 THEN 1 ELSE 2 END, event_id) AS place FROM ({MESSAGE_SQL})) WHERE place = 1""")
+def merge_touched_buckets(t: Tables):
+    """Messages merged in three batches, each asking the membership filter: a third of them, a few, and all."""
+    place = scratch(t.spark, "database")
+    store = ChatStore(
+        t.spark, ExportSettings(database=place.rsplit("/", 1)[1].replace("-", "_"), database_location=place, buckets=32)
+    )
+    store.ensure_tables()
+    messages = normalize_messages(payloads(t), "event_id").withColumns(
+        {"slice": F.lit(0), "chain_pos": F.lit(0), "position": F.col("event_id")}
+    )
+    for batch in ("event_id % 3 = 0", "event_id % 50 = 7", "true"):
+        store.merge_messages(messages.where(batch))
+    return shown(store.read(S.MESSAGE_TABLE))
+
+
 _RANKED = """SELECT event_id, user_id, event_type, ts, value, row_number() OVER (
   PARTITION BY user_id, event_type ORDER BY {order}) AS place FROM events"""
 _KEPT = "SELECT event_id, user_id, event_type, ts, value FROM ({ranked}) WHERE place = 1"
@@ -125,3 +146,11 @@ def dml_delete_by_key(t: Tables):
 FROM orders GROUP BY o_custkey""")
 def string_concat_agg(t: Tables):
     return concat_rows(t.orders, ["o_custkey"], "o_orderpriority")
+
+
+@query("""SELECT user_id, string_agg(v, ';' ORDER BY v) AS joined FROM (SELECT user_id, event_type ||
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN ':' WHEN 2 THEN ' ' WHEN 3 THEN ';' ELSE 'z' END AS v FROM events) GROUP BY user_id""")
+def string_concat_prefixes(t: Tables):
+    """Values of which one begins with another, below and above the separator, are joined in their own order."""
+    ends = F.get(F.array(*map(F.lit, ("", ":", " ", ";", "z"))), (F.col("event_id") % 5).cast("int"))
+    return concat_rows(t.events.select("user_id", F.concat("event_type", ends).alias("v")), ["user_id"], "v")

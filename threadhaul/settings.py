@@ -28,7 +28,7 @@ class ExportSettings:
     """What to export and where to keep it.
 
     `roster_lines` reads roster files with one object per line instead of one
-    array; use it for large rosters, which Spark can then split.
+    array. Arrays in files above `roster_split_bytes` are split among tasks.
     `window_slices` cuts the window of each user for fetching. `groups` is the number of parts the
     worklist is worked off in: each part is stored and its users marked done before the next begins.
 
@@ -41,6 +41,7 @@ class ExportSettings:
     end: str = ""
     roster_pattern: str = S.ROSTER_PATTERN
     roster_lines: bool = False
+    roster_split_bytes: int = 64 << 20
     window_slices: int = 1
     groups: int = 1
     model: str = S.MODELS[0]

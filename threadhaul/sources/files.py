@@ -96,3 +96,27 @@ def scan_wildcard_lines(spark: SparkSession, root: str, pattern: str) -> DataFra
             "value",
         )
     )
+
+
+def largest_match(spark: SparkSession, root: str, pattern: str) -> int:
+    """Size of the largest matching file, from their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    matching = files.where(wildcard_match(_relative_name(F.col("path"), _root_path(spark, root)), pattern))
+    return matching.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+
+
+def block_pieces(spark: SparkSession, root: str, pattern: str, end: str = "}") -> DataFrame:
+    """`(file_path, block_start, value)`: what stands between two `end` characters, in order within each block.
+
+    Large files are split, whether they have lines or not.
+    """
+    if not pattern:
+        raise ValueError("the file name pattern is missing")
+    require_files(spark, root)
+    path = _decoded(F.col("_metadata.file_path"))
+    name = _relative_name(path, _root_path(spark, root))
+    return (
+        spark.read.text(root, lineSep=end, recursiveFileLookup=True)
+        .where(wildcard_match(name, pattern))
+        .select(path.alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
+    )

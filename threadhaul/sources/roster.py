@@ -70,6 +70,25 @@ def roster_rows(files: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+def roster_rows_from_elements(elements: DataFrame, strict: bool = True) -> DataFrame:
+    """The same rows from the elements of split arrays (`json_split.array_elements`).
+
+    An element that is no object is an error in strict mode, otherwise a row of nulls (quarantine).
+    """
+    element = F.from_json("element", "map<string,string>", {"allowComments": "true"})
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("null roster object in "), "file_path")).cast("map<string,string>")
+        element = F.when(element.isNotNull(), element).otherwise(problem)
+    parsed = elements.select("file_path", "block_start", "position", element.alias("element"))
+    return parsed.select(
+        "file_path",
+        "block_start",
+        "position",
+        *_fields(F.col("element")),
+        F.to_json("element", {"ignoreNullFields": "false"}).alias(RAW),
+    )
+
+
 def roster_rows_from_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """The same rows from files with one object per line, which Spark can split.
 

@@ -100,7 +100,7 @@ class PageStreamExport:
         )
         rows = messages_that_count(staged, outcomes)
         bad = stored(refused(rows), f"{self.state}/refused/{part}")
-        store.append_messages(store.messages_to_insert(rows.where("problem IS NULL")))
+        store.merge_messages(rows.where("problem IS NULL"))
         blamed = bad.unionByName(self._earlier(spark, "refused", bad.schema, batch, touched)).select("mailbox").distinct()
         store.commit_progress(completed_users(outcomes).join(blamed, "mailbox", "left_anti"))
         store.drop_folder(scratch_path)

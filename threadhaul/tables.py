@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas as S
+from .operators.dedupe import dedupe_first_wins
+from .operators.membership import BLOCKS, KEYS_PER_BLOCK, Membership, known_keys
 from .operators.merge import dml_delete_by_key, dml_update_by_key, merge_insert_only, merge_upsert
 from .operators.worklist import progress_commit
 from .plans.messages import MESSAGE_ORDER
+from .runtime import scratch, stored
 from .settings import ExportSettings
 from .sources.roster import ROSTER_ORDER
 
@@ -28,6 +31,7 @@ TABLES = {
 }
 
 _VERSION, _PREVIOUS = "schema_version", "previous_location"
+_MEMBERSHIP, _BLOCKS = "membership_location", "membership_blocks"
 
 
 class SchemaVersionError(RuntimeError):
@@ -79,6 +83,40 @@ class ChatStore:
             if self.exists(table):
                 continue
             self._create(table, schema, self._new_location(table), self._clustering(table))
+            if table == S.MESSAGE_TABLE:
+                self._new_membership(BLOCKS).create()
+
+    def _new_membership(self, blocks: int) -> Membership:
+        """A membership filter of the messages in a folder of its own, which the table is then asked by."""
+        place = f"{self._database_location()}/membership-{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"ALTER TABLE {self.name(S.MESSAGE_TABLE)} SET TBLPROPERTIES ('{_MEMBERSHIP}' = '{place}', '{_BLOCKS}' = '{blocks}')"
+        )
+        return Membership(self.spark, place, tuple(S.MESSAGE_KEY), self._buckets(), blocks)
+
+    def membership(self) -> Membership | None:
+        """The filter of the keys that the message table may hold; tables of earlier days have none."""
+        place = self._property(S.MESSAGE_TABLE, _MEMBERSHIP)
+        if place is None:
+            return None
+        blocks = int(self._property(S.MESSAGE_TABLE, _BLOCKS))
+        return Membership(self.spark, place, tuple(S.MESSAGE_KEY), self._buckets(), blocks)
+
+    def rebuild_membership(self) -> None:
+        """Learn the keys of the whole table anew, with as many blocks as they need. No writer may be at work."""
+        keys, old = self.read(S.MESSAGE_TABLE).select(*S.MESSAGE_KEY), self._property(S.MESSAGE_TABLE, _MEMBERSHIP)
+        wanted, blocks = keys.count() // (self._buckets() * KEYS_PER_BLOCK), BLOCKS
+        while blocks < wanted:
+            blocks *= 2
+        place = f"{self._database_location()}/membership-{uuid.uuid4().hex}"
+        fresh = Membership(self.spark, place, tuple(S.MESSAGE_KEY), self._buckets(), blocks)
+        fresh.create()
+        fresh.add(fresh.placed(keys))
+        self.spark.sql(
+            f"ALTER TABLE {self.name(S.MESSAGE_TABLE)} SET TBLPROPERTIES ('{_MEMBERSHIP}' = '{place}', '{_BLOCKS}' = '{blocks}')"
+        )
+        if old:
+            self.drop_folder(old)
 
     def _clustering(self, table: str) -> str:
         """The buckets of a table: those that it has, or else those of the settings."""
@@ -97,7 +135,7 @@ class ChatStore:
         for table in TABLES:
             if not self.exists(table):
                 continue
-            folders = [self.location(table), self._property(table, _PREVIOUS)]
+            folders = [self.location(table), self._property(table, _PREVIOUS), self._property(table, _MEMBERSHIP)]
             self.spark.sql(f"DROP TABLE {self.name(table)}")
             for folder in folders:
                 if folder:
@@ -187,6 +225,8 @@ class ChatStore:
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows as they are."""
+        if table == S.MESSAGE_TABLE:
+            self._learn(rows)
         rows.select(*TABLES[table].fieldNames()).write.insertInto(self.name(table))
 
     def update(self, table: str, changes: DataFrame, keys: list[str], order: list[str]) -> None:
@@ -205,6 +245,8 @@ class ChatStore:
             buckets = self._buckets()
             rows = rows.repartition(buckets, F.pmod(F.hash(*S.MESSAGE_KEY), F.lit(buckets)))
         self._switch(table, rows)
+        if table == S.MESSAGE_TABLE:
+            self.rebuild_membership()
 
     def messages_to_insert(self, messages: DataFrame) -> DataFrame:
         """Messages (with `MESSAGE_ORDER` beside them) that the table does not have yet."""
@@ -216,9 +258,53 @@ class ChatStore:
             self.settings.key_collation,
         )
 
-    def append_messages(self, rows: DataFrame) -> None:
-        rows.select(*S.MESSAGE_COLUMNS).write.insertInto(self.name(S.MESSAGE_TABLE))
+    def append_messages(self, rows: DataFrame) -> int:
+        """Add messages; how many, as the tasks that wrote them counted."""
+        self._learn(rows)
+        return self._insert(rows)
+
+    def _learn(self, rows: DataFrame) -> None:
+        index = self.membership()
+        if index is not None:
+            index.add(index.placed(_keys(rows)))
+
+    def _insert(self, rows: DataFrame) -> int:
+        # Counted in the last stage, where a repeated task counts once.
+        counted = Observation()
+        rows = rows.select(*S.MESSAGE_COLUMNS).observe(counted, F.count(F.lit(1)).alias("rows"))
+        rows.write.insertInto(self.name(S.MESSAGE_TABLE))
+        return counted.get["rows"]
+
+    def merge_messages(self, messages: DataFrame) -> int:
+        """Insert those messages (with `MESSAGE_ORDER` beside them) that the table does not have; how many.
+
+        The keys of the batch are held against the membership filter; those that it may know are looked
+        up in the buckets they belong to, and nothing else of the table is read. The filter learns the
+        other keys before the table gets their rows, so that a run that ends in between leaves
+        keys that are looked up in vain, and never rows that nobody looks for.
+        """
+        index = self.membership()
+        if index is None or self.settings.key_collation is not None:
+            # Keys that are equal under a collation need not be of one bucket.
+            if index is not None:
+                index.add(index.placed(_keys(messages)))
+            return self._insert(self.messages_to_insert(messages))
+        work = scratch(self.spark, "merge")
+        keys = stored(index.placed(_keys(messages).distinct()), f"{work}/keys")
+        maybe = stored(index.may_hold(keys), f"{work}/maybe")
+        known = stored(known_keys(self.read(S.MESSAGE_TABLE), maybe, S.MESSAGE_KEY), f"{work}/known")
+        index.add(keys.join(known, S.MESSAGE_KEY, "left_anti"))
+        first = dedupe_first_wins(messages, S.MESSAGE_KEY, MESSAGE_ORDER)
+        inserted = self._insert(first.join(known, S.MESSAGE_KEY, "left_anti"))
+        self.drop_folder(work)
+        return inserted
 
     def commit_progress(self, users: DataFrame, key: str = "mailbox") -> None:
         new = progress_commit(self.read(S.PROGRESS_TABLE), users, key, self.settings.key_collation)
         new.write.insertInto(self.name(S.PROGRESS_TABLE))
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """The message keys of some rows, in the types of the table."""
+    kinds = {f.name: "string" if isinstance(f.dataType, T.VarcharType) else f.dataType for f in S.MESSAGE}
+    return rows.select(*(F.col(name).cast(kinds[name]).alias(name) for name in S.MESSAGE_KEY))
