@@ -1,5 +1,6 @@
 import dataclasses
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +13,15 @@ from threadhaul.plans.export import (
     paged_source_reader,
 )
 from threadhaul.settings import SettingsError
-from threadhaul.queries.page_service import FolderFetcher, write_page_folder
-from threadhaul.sources.paged import PageResponse, register_paged_source, slice_window
+from threadhaul.runtime import clear_scratch, scratch
+from threadhaul.sources.paged import (
+    PageResponse,
+    deal_by_size,
+    expected_sizes,
+    register_paged_source,
+    slice_window,
+    write_worklist,
+)
 from threadhaul.streaming.pages import PageStreamExport, page_stream
 from threadhaul.tables import SchemaVersionError
 
@@ -407,15 +415,35 @@ def test_stream_archives_finished_files(spark, store, settings, pages, tmp_path)
     assert archived and len(keys(store)) == 3
 
 
-@pytest.fixture
-def service(spark, pages, tmp_path):
-    path = str(tmp_path / "service")
-    write_page_folder(pages.frame(spark, scenario(pages)), path, 3)
-    return FolderFetcher(path, 3)
+def answering(rows):
+    """A service that has these pages, and applies the window of a request to their messages."""
+    import datetime
 
+    def instant(value):
+        at = value if isinstance(value, datetime.datetime) else datetime.datetime.fromisoformat(value)
+        return at if at.tzinfo else at.replace(tzinfo=datetime.timezone.utc)
 
-def test_export_through_the_paged_source(spark, store, settings, service, roster_folder):
-    source = register_paged_source(spark, service, "paged_for_export")
+    class Answering:
+        def fetch(self, request):
+            place = int(request.next_link.rsplit("#", 1)[1]) if request.next_link else 0
+            found = [row for row in rows if (row[0], row[1], row[3]) == (request.mailbox, place, request.model)]
+            if not found:
+                return PageResponse(0) if place else PageResponse(200, '{"value": []}')
+            _, _, status, _, link, body = found[0]
+            try:
+                page = json.loads(body)
+                low, high = instant(request.start), instant(request.end)
+                page["value"] = [x for x in page["value"] if low < instant(x["lastModifiedDateTime"]) < high]
+                body = json.dumps(page)
+            except (TypeError, KeyError, ValueError):
+                pass  # handed on as it is
+            return PageResponse(status, body, link)
+
+    return Answering()
+
+
+def test_export_through_the_paged_source(spark, store, settings, pages, roster_folder):
+    source = register_paged_source(spark, answering(scenario(pages)), "paged_for_export")
     reader = paged_source_reader(spark, source, settings, groups=2)
     report = ChatExport(spark, settings).run(roster_folder("u1", "u2", "u3", "u4", "u6", "u7"), reader)
     assert keys(store) == [key for key in WANT if key[0] != "u5"]
@@ -423,7 +451,7 @@ def test_export_through_the_paged_source(spark, store, settings, service, roster
     assert report.failed == 2
 
 
-def test_sliced_window(spark, store, settings, pages, tmp_path, roster_folder):
+def test_sliced_window(spark, store, settings, pages, roster_folder):
     """A mailbox fetched in slices gives the same messages, those on the bounds included."""
     m = pages.message
     bounds = ["2023-07-02T12:00:00Z", "2023-12-31T00:00:00Z", "2024-07-01T00:00:00Z"]
@@ -431,9 +459,7 @@ def test_sliced_window(spark, store, settings, pages, tmp_path, roster_folder):
     messages = [m(str(n), ts=ts) for n, ts in enumerate(times, 1)]
     rows = [pages.page("big", n, [one], more=n < 5) for n, one in enumerate(messages)]
     rows.append(pages.page("gone", 0, status=404))
-    path = str(tmp_path / "sliced")
-    write_page_folder(pages.frame(spark, rows), path, 2)
-    source = register_paged_source(spark, FolderFetcher(path, 2), "paged_in_slices")
+    source = register_paged_source(spark, answering(rows), "paged_in_slices")
     cut = dataclasses.replace(settings, window_slices=7)
     report = ChatExport(spark, cut).run(
         roster_folder("big", "gone"), paged_source_reader(spark, source, cut, groups=3)
@@ -442,6 +468,66 @@ def test_sliced_window(spark, store, settings, pages, tmp_path, roster_folder):
     assert report.pages == 7 * 6 + 7 and done(store) == ["big", "gone"]
 
 
+def test_chains_are_dealt_by_the_sizes_of_earlier_runs(spark, store, settings, pages, tmp_path, roster_folder):
+    """A mailbox with most of the messages is fetched by several tasks in the next run; all is stored once."""
+    from pathlib import Path
+
+    users = ["big", *(f"u{n}" for n in range(20))]
+    counts = {user: 300 if user == "big" else n % 4 for n, user in enumerate(users)}
+    rows = [
+        pages.page(user, 0, [pages.message(str(i), ts=f"2024-{1 + i % 12:02}-{1 + i % 28:02}T10:00:00Z") for i in range(1, n + 1)])
+        for user, n in counts.items()
+    ]
+    source = register_paged_source(spark, answering(rows), "paged_by_size")
+    first = ChatExport(spark, settings).run(roster_folder(*users), paged_source_reader(spark, source, settings, groups=4))
+    log = spark.read.parquet(first.folder + "/log")
+    sized = {r.mailbox: r.size for r in expected_sizes(spark.createDataFrame([(u,) for u in [*users, "new"]], "mailbox string"), log).collect()}
+    assert sized["big"] == 300 and sized["u2"] == 3 and sized["u3"] == 1 and sized["new"] == sum(counts.values()) / len(users)
+    chains = deal_by_size(spark.createDataFrame(list(sized.items()), "mailbox string, size double"), 4).collect()
+    loads = [sum(c.size for c in chains if c.task == task) for task in range(4)]
+    assert max(loads) <= 4 / 3 * sum(loads) / 4 and min(loads) > 0
+    assert {c.slices for c in chains if c.mailbox == "big"} == {math.ceil(300 * 12 / sum(sized.values()))}
+    assert sorted(c.slice for c in chains if c.mailbox == "big") == list(range(len([c for c in chains if c.mailbox == "big"])))
+
+    other = dataclasses.replace(settings, database=settings.database + "_b", database_location=str(tmp_path / "b"), reset=True)
+    again = ChatExport(spark, other)
+    report = again.run(roster_folder(*users), paged_source_reader(spark, source, other, groups=4, log=log))
+    assert keys(again.store) == keys(store) and done(again.store) == sorted(users)
+    assert report.inserted == first.inserted == sum(counts.values())
+    write_worklist(spark.createDataFrame(list(sized.items()), "mailbox string, size double"), str(tmp_path / "w"), 4)
+    assert len(list(Path(tmp_path / "w").glob("part-*.parquet"))) == 4
+
+
+def test_stream_state_follows_the_open_chains(spark, store, settings, pages, tmp_path):
+    """What is kept is of users still pending, in at most two versions."""
+    m = pages.message
+    load_roster(spark, settings, *(f"u{n}" for n in range(6)), "open", "bad")
+    export = PageStreamExport(spark, settings, str(tmp_path / "state"))
+    for n in range(6):
+        rows = [pages.page(f"u{n}", 0, [m("1")]), pages.page("open", n, [m(str(n))], more=True)]
+        rows += [pages.page("bad", 0, [m(None)], more=True)] if n == 0 else []
+        export.run(page_stream(spark, land(spark, pages, tmp_path, rows)))
+        kept = sorted(p.name for p in (tmp_path / "state" / "headers").iterdir())
+        assert len(kept) <= 2 and kept[-1] == f"batch={n}"
+        newest = spark.read.parquet(str(tmp_path / "state" / "headers" / f"batch={n}"))
+        assert {r.mailbox for r in newest.collect()} == {"open", "bad"} and newest.count() == n + 2
+    blamed = spark.read.parquet(str(tmp_path / "state" / "refused" / "batch=5"))
+    assert [r.mailbox for r in blamed.collect()] == ["bad"]
+    assert done(store) == [f"u{n}" for n in range(6)]
+    export.run(page_stream(spark, land(spark, pages, tmp_path, [pages.page("open", 6, [m("6")]), pages.page("bad", 1, [m("2")])])))
+    assert done(store) == sorted([*(f"u{n}" for n in range(6)), "open"])
+    assert not (tmp_path / "state" / "work").exists() or not list((tmp_path / "state" / "work").iterdir())
+
+
+def test_scratch_folders_can_be_removed(spark):
+    from pathlib import Path
+
+    path = scratch(spark, "short-lived")
+    spark.range(3).write.parquet(path)
+    assert Path(path).exists() and clear_scratch(spark) > 0
+    assert not Path(path).exists() and clear_scratch(spark) == 0
+
+
 def test_slices_cover_the_open_window():
     from datetime import datetime, timedelta
 
@@ -483,15 +569,15 @@ def test_run_log(spark, store, settings, pages, tmp_path, roster_folder):
     assert summary["bytes_written"] == report.bytes_written and summary["elapsed_ms"] > 0
 
 
-def test_paged_source_predicates(spark, service, tmp_path):
+def test_paged_source_predicates(spark, pages, tmp_path):
     from threadhaul.sources.paged import write_worklist
 
-    source = register_paged_source(spark, service, "paged_predicates")
+    source = register_paged_source(spark, answering(scenario(pages)), "paged_predicates")
     worklist = str(tmp_path / "worklist")
     write_worklist(spark.createDataFrame([("u1",), ("u2",), ("u3",)], "mailbox string"), worklist, 2)
-    pages = spark.read.format(source).option("worklist", worklist).load()
+    unbounded = spark.read.format(source).option("worklist", worklist).load()
     with pytest.raises(Exception, match="window"):
-        pages.collect()
+        unbounded.collect()
     bounded = spark.read.format(source).options(
         worklist=worklist, start="2023-01-01T00:00:00", end="2025-01-01T00:00:00"
     ).load()

@@ -26,7 +26,7 @@ from ..runtime import configure, scratch, stored
 from ..settings import ExportSettings
 from ..sources.files import largest_match, matching_bytes, scan_wildcard_files, scan_wildcard_lines
 from ..sources.json_split import array_elements
-from ..sources.paged import write_worklist
+from ..sources.paged import expected_sizes, write_worklist
 from ..sources.pages import explode_pages
 from ..sources.roster import roster_rows, roster_rows_from_elements, roster_rows_from_lines, split_roster
 from ..tables import ChatStore
@@ -217,6 +217,8 @@ class ChatExport:
             users=self._user_log(report.run_id, pages, outcomes),
         )
         failed = user_outcomes(outcomes).where(F.col("outcome") == FAILED).count()
+        # A second copy of every message: the table has them now.
+        store.drop_folder(f"{folder}/staged")
         return replace(
             report,
             pages=report.pages + read.pages,
@@ -278,11 +280,12 @@ def landed_pages_reader(pages: DataFrame) -> PageReader:
 
 
 def paged_source_reader(
-    spark: SparkSession, source: str, settings: ExportSettings, groups: int | None = None
+    spark: SparkSession, source: str, settings: ExportSettings, groups: int | None = None, log: DataFrame | None = None
 ) -> PageReader:
     """Pages fetched from a registered paged source.
 
-    The worklist is written in groups of users, one file and so one task each;
+    The worklist is written in groups of users, one file and so one task each, dealt by the sizes that the
+    `log` of earlier runs tells, if one is given;
     the responses are stored before anything is made of them, because a
     service must not be asked twice.
     """
@@ -291,7 +294,8 @@ def paged_source_reader(
         start, end = settings.window(spark)
         folder = scratch(spark, "fetch")
         wanted = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        write_worklist(worklist, f"{folder}/worklist", wanted, settings.window_slices)
+        sized = worklist if log is None else stored(expected_sizes(worklist, log), f"{folder}/sizes")
+        write_worklist(sized, f"{folder}/worklist", wanted, settings.window_slices)
         pages = (
             spark.read.format(source)
             .option("worklist", f"{folder}/worklist")

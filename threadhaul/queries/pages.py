@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..operators import chain
 from ..operators.metrics import messages_per_user as per_user
 from ..operators.ordinal import paginate as number_pages
-from ..plans.export import ChatExport, landed_pages_reader, paged_source_reader
-from ..runtime import scratch
+from ..plans.export import ChatExport, landed_pages_reader
+from ..runtime import scratch, stored
 from ..settings import ExportSettings
 from ..sources import pages as P
-from ..sources.paged import PageRequest, PageResponse, register_paged_source, write_worklist
+from ..sources.paged import deal_by_size
 from ..streaming.pages import PageStreamExport, page_stream
 from .derived import (
     MESSAGE_SQL,
@@ -31,7 +32,6 @@ from .derived import (
     shown,
     stored_pages,
 )
-from .page_service import FolderFetcher, write_page_folder
 from .registry import Tables, query, text
 
 WINDOW = ("2024-01-05T00:00:00", "2024-01-25T00:00:00")
@@ -106,19 +106,29 @@ def completed_users(t: Tables):
 @query(f"""SELECT mailbox, message_id AS id FROM ({MESSAGE_SQL})
 WHERE ts > TIMESTAMP '{WINDOW[0]}' AND ts < TIMESTAMP '{WINDOW[1]}'""")
 def paged_source(t: Tables):
-    """Pages fetched user by user from a service that answers from files; the
-    predicates on the window reach the requests."""
-    groups = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    service = scratch(t.spark, "service")
-    write_page_folder(landed_pages(t), service, groups)
-    worklist = scratch(t.spark, "worklist")
+    """The landed pages of the users on a worklist, their messages cut to the window."""
     users = t.events.select(F.concat(F.lit("u"), "user_id").alias("mailbox")).distinct()
-    write_worklist(users, worklist, groups)
-    source = register_paged_source(t.spark, FolderFetcher(service, groups))
-    pages = t.spark.read.format(source).option("worklist", worklist).load()
-    start, end = (F.lit(datetime.fromisoformat(bound)) for bound in WINDOW)
-    fetched = pages.where((F.col("window_start") == start) & (F.col("window_end") == end))
-    return P.explode_pages(fetched).select("mailbox", F.col("message.id").alias("id"))
+    pages = landed_pages_reader(t.spark.read.parquet(stored_pages(t)))(users)
+    window = tuple(datetime.fromisoformat(bound) for bound in WINDOW)
+    return P.explode_pages(pages, window=window).select("mailbox", F.col("message.id").alias("id"))
+
+
+_TASKS = 16
+
+
+@query(f"""SELECT mailbox, slices, CAST(slice AS INT) AS slice, size / slices AS size, true AS fits FROM (
+  SELECT mailbox, size, greatest(1, CAST(ceil(size * 3 * {_TASKS} / sum(size) OVER ()) AS INT)) AS slices FROM (
+    SELECT 'u' || user_id AS mailbox, CAST(count(*) AS DOUBLE) AS size FROM (
+      SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id FROM events) GROUP BY user_id)), LATERAL (SELECT unnest(range(slices)) AS slice)""")
+def chains_by_size(t: Tables):
+    """Chains dealt to tasks by the messages of an earlier run, a third of which one user has: no task is a third above the mean."""
+    user = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id"))
+    sizes = t.events.groupBy(F.concat(F.lit("u"), user).alias("mailbox")).agg(F.count("*").cast("double").alias("size"))
+    chains = stored(deal_by_size(sizes, _TASKS), scratch(t.spark, "chains"))
+    loads = chains.groupBy("task").agg(F.sum("size").alias("load"))
+    mean = chains.agg((F.sum("size") / _TASKS).alias("mean"))
+    fits = loads.select("task", (F.col("load") <= F.lit(4 / 3) * mean.scalar() + 1e-6).alias("fits"))
+    return chains.join(fits, "task").select("mailbox", "slices", "slice", "size", "fits")
 
 
 def _roster_folder(t: Tables) -> str:
@@ -209,18 +219,6 @@ def export_resume(t: Tables):
     )
 
 
-@dataclass(frozen=True)
-class _FailingFetcher:
-    """Raises for every seventh user; everyone else is answered."""
-
-    fetcher: FolderFetcher
-
-    def fetch(self, request: PageRequest) -> PageResponse:
-        if int(request.mailbox[1:]) % 7 == 3:
-            raise OSError("connection reset")
-        return self.fetcher.fetch(request)
-
-
 @query(f"""SELECT (SELECT count(*) FROM ({_PENDING_SQL}) WHERE place = 1 AND user_id % 7 <> 3
     AND NOT (user_id % 7 = 5 AND chat_id = '48:notes')) AS messages,
   (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 <> 3
@@ -229,20 +227,22 @@ class _FailingFetcher:
   (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 7 = 3
     AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id AND o_orderstatus = 'F')) AS failed""")
 def export_partial_failure(t: Tables):
-    """Some requests raise, some chats are named too long: all others are stored and done, group by group."""
+    """Some requests get no response, some chats are named too long: all others are stored and done, group by group."""
     export = _export(t)
     settings = replace(export.settings, groups=3)
-    groups = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    service = scratch(t.spark, "service")
     user = F.substring("mailbox", 2, 20).cast("bigint")
     long = F.replace(F.col("body"), F.lit("48:notes"), F.lit("48:" + "x" * 300))
-    pages = landed_pages(t).withColumn("body", F.when(user % 7 == 5, long).otherwise(F.col("body")))
-    write_page_folder(pages, service, groups)
+    lost = user % 7 == 3
+    pages = t.spark.read.parquet(stored_pages(t)).withColumns(
+        {
+            "status": F.when(lost, S.STATUS_NO_RESPONSE).otherwise(F.col("status")),
+            "body": F.when(lost, F.lit(None)).when(user % 7 == 5, long).otherwise(F.col("body")),
+        }
+    )
     export = ChatExport(t.spark, settings)
     export.store.upsert_roster(event_roster(t))
     done = export.store.read("GraphCallProcessed").agg(F.count("*")).first()[0]
-    source = register_paged_source(t.spark, _FailingFetcher(FolderFetcher(service, groups)), "failing_messages")
-    report = export.run(None, paged_source_reader(t.spark, source, settings))
+    report = export.run(None, landed_pages_reader(pages))
     finished = export.store.read("GraphCallProcessed").agg(F.count("*") - F.lit(done)).scalar()
     return export.store.read("UserMessage").agg(
         F.count("*").alias("messages"),

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "_threadhaul_shipped"
+_SHIPPED, _SCRATCH = "_threadhaul_shipped", "_threadhaul_scratch"
 
 _RUNTIME = {
     # Every timestamp is UTC.
@@ -82,7 +82,45 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = getattr(spark.sparkContext, _SCRATCH, None)
+    if made is None:
+        made = []
+        setattr(spark.sparkContext, _SCRATCH, made)
+    made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove every scratch folder that this session has made and not removed; how many it had.
+
+    Results that have not been written or collected yet read from such folders.
+    """
+    made = getattr(spark.sparkContext, _SCRATCH, [])
+    paths, made[:] = list(made), []
+    for path in paths:
+        drop_folder(spark, path)
+    return len(paths)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it; one that is not there is no error."""
+    files, folder = _file_system(spark, path)
+    files.delete(folder, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path whose writing has finished (Spark marks them)."""
+    files, folder = _file_system(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
+    return [n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -87,19 +88,55 @@ def walk_chain(
         page_no, next_link = page_no + 1, response.next_link
 
 
+def deal_by_size(chains: DataFrame, tasks: int, slices: int = 1) -> DataFrame:
+    """(mailbox, slice, slices, size, task): chains with an expected size, dealt so that no task gets a third above the mean.
+
+    A mailbox is cut into so many slices that none is above a third of the mean. The slices are laid
+    end to end, and each belongs to the task in whose equal share of the whole its middle lies. Sums run within
+    hashed buckets first, and over the totals of the buckets then, so that no task sees all chains.
+    """
+    total = chains.agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("size")).first()[0] or 1.0
+    mean = total / tasks
+    wanted = F.greatest(F.lit(slices), F.ceil(F.col("size") * 3 * tasks / total).cast("int"))
+    cut = chains.select("mailbox", "size", wanted.alias("slices"))
+    cut = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("size", F.col("size") / F.col("slices"))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("mailbox", "slice"), F.lit(tasks)).cast("int"))
+    # One row per bucket.
+    totals = cut.groupBy("bucket").agg(F.sum("size").alias("whole"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("bucket", F.coalesce(F.sum("whole").over(before), F.lit(0.0)).alias("start"))
+    within = F.sum("size").over(Window.partitionBy("bucket").orderBy("mailbox", "slice").rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.col("start") + F.col("within") - F.col("size") / 2
+    task = F.least(F.floor(middle / mean), F.lit(tasks - 1)).cast("int")
+    dealt = cut.withColumn("within", within).join(F.broadcast(starts), "bucket")
+    return dealt.select("mailbox", "slice", "slices", "size", F.greatest(task, F.lit(0)).alias("task"))
+
+
+def expected_sizes(worklist: DataFrame, log: DataFrame) -> DataFrame:
+    """`worklist` with the `size` of each mailbox: the messages that its latest logged run held, else the mean of those known."""
+    held = F.regexp_extract("note", r"^(\d+) messages", 1).cast("double")
+    known = log.where((F.col("event") == "user") & F.col("note").rlike(r"^\d+ messages")).groupBy("mailbox").agg(F.max_by(held, "ts").alias("held"))
+    usual = known.agg(F.coalesce(F.avg("held"), F.lit(1.0)).alias("usual"))
+    # A request is needed even for a mailbox that had nothing.
+    return worklist.join(known, "mailbox", "left").select("mailbox", F.greatest(F.coalesce("held", usual.scalar()), F.lit(1.0)).alias("size"))
+
+
 def write_worklist(worklist: DataFrame, path: str, groups: int, slices: int = 1) -> None:
     """Store the chains to fetch in `groups` files, each fetched by one task.
 
-    The grouping is on a hash of its own, so that a partitioning the worklist
-    may have already is not taken over with fewer, larger groups.
+    With a column `size` they are dealt by it; otherwise by a hash of their own, so that
+    a partitioning the worklist may have already is not taken over with fewer, larger groups.
     """
-    chains = worklist.select(
-        "mailbox",
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-        F.lit(slices).alias("slices"),
-    )
-    grouped = chains.repartition(groups, F.xxhash64("mailbox", "slice"))
-    grouped.sortWithinPartitions("mailbox", "slice").write.parquet(path)
+    if "size" in worklist.columns:
+        dealt = deal_by_size(worklist, groups, slices).repartitionById(groups, "task").drop("task", "size")
+    else:
+        chains = worklist.select(
+            "mailbox",
+            F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+            F.lit(slices).alias("slices"),
+        )
+        dealt = chains.repartition(groups, F.xxhash64("mailbox", "slice"))
+    dealt.sortWithinPartitions("mailbox", "slice").write.parquet(path)
 
 
 def slice_window(start: datetime, end: datetime, number: int, slices: int) -> tuple[datetime, datetime]:

@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from .. import schemas as S
 from ..operators.chain import completed_users
 from ..operators.worklist import resume_worklist
 from ..plans.export import headers, messages_that_count, refused, stage_pages, store_outcomes
-from ..runtime import configure, stored
+from ..runtime import configure, folders, stored
 from ..settings import ExportSettings
 from ..tables import ChatStore
 
@@ -58,11 +58,11 @@ class PageStreamExport:
     """Stores the messages of landed pages and marks their users done, like a batch run over the same pages.
 
     Only users of the roster who are not done yet take part; pages of others are passed over. State is
-    kept in files below `state`, one folder per batch that a replay writes again: the
-    headers of the pages seen (without any message), and the users with refused messages. They
-    tell later batches where the chain of a mailbox ends, whether it is whole, and who must stay pending.
-    Messages are merged by key, so a replayed batch adds nothing. The parsed rows of a batch are
-    removed when it is done.
+    kept in files below `state`: the headers of the pages seen (without any message) and the users with
+    refused messages. They tell later batches where the chain of a mailbox ends, whether it is whole, and
+    who must stay pending. Each batch writes the state of all users who are still pending after it, from that of the
+    batch before, which is then the only other one kept: what is stored and read follows the open chains, not history.
+    A replayed batch finds the state before it, and its messages are merged by key, so that it adds nothing.
     """
 
     spark: SparkSession
@@ -75,32 +75,44 @@ class PageStreamExport:
         query.awaitTermination()
         return query
 
-    def _earlier(self, spark: SparkSession, kind: str, schema, batch: int, users: DataFrame) -> DataFrame:
-        """What earlier batches have kept of these users."""
-        kept = spark.read.schema(StructType(schema.fields + [StructField("batch", LongType())]))
-        kept = kept.parquet(f"{self.state}/{kind}").where(F.col("batch") < batch).drop("batch")
-        return kept.join(users, "mailbox", "left_semi")
+    def _earlier(self, spark: SparkSession, kind: str, schema: StructType, batch: int, pending: DataFrame) -> DataFrame:
+        """What the batch before has left of these users."""
+        before = self._versions(spark, kind, batch)
+        if not before:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{self.state}/{kind}/batch={before[-1]}").join(pending, "mailbox", "left_semi")
+
+    def _versions(self, spark: SparkSession, kind: str, batch: int) -> list[int]:
+        """The batches before this one that have left a finished state."""
+        found = folders(spark, f"{self.state}/{kind}")
+        return sorted(n for n in (int(name.removeprefix("batch=")) for name in found if name.startswith("batch=")) if n < batch)
 
     def handle(self, pages: DataFrame, batch: int) -> None:
         spark, store = pages.sparkSession, ChatStore(pages.sparkSession, self.settings)
-        part = f"batch={batch}"
+        work = f"{self.state}/work/batch={batch}"
         pending = resume_worklist(
             store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE), collation=self.settings.key_collation
         ).select(
             F.col(S.ROSTER_KEY[0]).alias("mailbox")
         )
-        scratch_path = f"{self.state}/staged/{part}"
-        wanted = pages.join(pending, "mailbox", "left_semi")
-        staged = stage_pages(wanted, self.settings.model, scratch_path, self.settings.window(spark))
-        seen = stored(headers(staged).drop("page"), f"{self.state}/headers/{part}")
-        touched = seen.select("mailbox").distinct()
-        outcomes = store_outcomes(
-            seen.unionByName(self._earlier(spark, "headers", seen.schema, batch, touched)),
-            f"{self.state}/outcomes/{part}",
+        pending = stored(pending, f"{work}/pending")
+        staged = stage_pages(
+            pages.join(pending, "mailbox", "left_semi"), self.settings.model, f"{work}/staged", self.settings.window(spark)
         )
+        seen = stored(headers(staged).drop("page"), f"{work}/headers")
+        known = stored(
+            seen.unionByName(self._earlier(spark, "headers", seen.schema, batch, pending)).distinct(), f"{work}/known"
+        )
+        touched = seen.select("mailbox").distinct()
+        outcomes = store_outcomes(known.join(touched, "mailbox", "left_semi"), f"{work}/outcomes")
         rows = messages_that_count(staged, outcomes)
-        bad = stored(refused(rows), f"{self.state}/refused/{part}")
+        bad = stored(refused(rows).select("mailbox").distinct(), f"{work}/refused")
         store.merge_messages(rows.where("problem IS NULL"))
-        blamed = bad.unionByName(self._earlier(spark, "refused", bad.schema, batch, touched)).select("mailbox").distinct()
-        store.commit_progress(completed_users(outcomes).join(blamed, "mailbox", "left_anti"))
-        store.drop_folder(scratch_path)
+        blamed = bad.unionByName(self._earlier(spark, "refused", bad.schema, batch, pending)).distinct()
+        done = stored(completed_users(outcomes).join(blamed, "mailbox", "left_anti"), f"{work}/done")
+        store.commit_progress(done)
+        for kind, rows in (("refused", blamed), ("headers", known)):
+            rows.join(done, "mailbox", "left_anti").write.mode("overwrite").parquet(f"{self.state}/{kind}/batch={batch}")
+            for stale in self._versions(spark, kind, batch)[:-1]:
+                store.drop_folder(f"{self.state}/{kind}/batch={stale}")
+        store.drop_folder(work)

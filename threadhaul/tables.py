@@ -20,7 +20,7 @@ from .operators.membership import BLOCKS, KEYS_PER_BLOCK, Membership, known_keys
 from .operators.merge import dml_delete_by_key, dml_update_by_key, merge_insert_only, merge_upsert
 from .operators.worklist import progress_commit
 from .plans.messages import MESSAGE_ORDER
-from .runtime import scratch, stored
+from .runtime import drop_folder, scratch, stored
 from .settings import ExportSettings
 from .sources.roster import ROSTER_ORDER
 
@@ -154,9 +154,7 @@ class ChatStore:
         return next((row["value"] for row in rows if row["key"] == key), None)
 
     def drop_folder(self, path: str) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(folder, True)
+        drop_folder(self.spark, path)
 
     # --- schema version
 
