@@ -8,6 +8,7 @@ from ..functions import series_name
 from ..operators import metrics as M
 from ..operators.moving import warm_start_moving_avg as moving_avg
 from ..operators.ordinal import rolling_series
+from ..operators.sampling import sampled_rates
 from ..runtime import scratch
 from .registry import Tables, plain, query
 
@@ -48,6 +49,24 @@ def warm_start_moving_avg(t: Tables):
     )
 
 
+@query("""WITH RECURSIVE c AS (SELECT event_type, min(ts) AS closed_at, CAST(NULL AS TIMESTAMP) AS begun FROM events GROUP BY event_type
+  UNION ALL SELECT event_type, next, closed_at FROM (SELECT c.event_type, c.closed_at, (SELECT min(ts) FROM events e
+    WHERE e.event_type = c.event_type AND e.ts >= c.closed_at + INTERVAL 1 HOUR) AS next FROM c) WHERE next IS NOT NULL),
+f AS (SELECT event_type, min(ts) AS first FROM events GROUP BY event_type),
+r AS (SELECT c.event_type, c.closed_at, count(*) AS items, (epoch_us(c.closed_at) - epoch_us(c.begun)) / 1000.0 AS elapsed_ms
+  FROM c JOIN f USING (event_type) JOIN events e ON e.event_type = c.event_type AND e.ts <= c.closed_at
+    AND (e.ts > c.begun OR c.begun = first) WHERE c.begun IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, items / elapsed_ms * 1000.0 AS per_second FROM r)
+SELECT *, (sum(per_second) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
+  + greatest(10 - row_number() OVER w, 0) * first_value(per_second) OVER w) / 10.0 AS moving_avg
+FROM s WINDOW w AS (PARTITION BY event_type ORDER BY closed_at)""")
+def sampled_rate(t: Tables):
+    """Rates over intervals that events close, at least an hour after the last close, and the mean of the last ten."""
+    rates = sampled_rates(t.events, "ts", ["event_type"], least_ms=3_600_000, chunk=24)
+    averaged = moving_avg(rates, ["event_type"], ["closed_at"], "per_second")
+    return averaged.withColumn("closed_at", plain(F.col("closed_at")))
+
+
 @query("""SELECT user_id, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS elapsed_ms
 FROM events GROUP BY user_id""")
 def elapsed_per_user(t: Tables):
