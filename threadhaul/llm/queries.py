@@ -93,6 +93,23 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+# All offsets at which a document and an item share words: with the k-th match at place a, 3k - 2a is the score up to there.
+ORACLES["op5_decontaminate"] = r"""
+WITH w AS (SELECT *, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM (SELECT doc_id AS id, text, true AS doc FROM documents
+    UNION SELECT item_id, text, false FROM benchmark)),
+u AS (SELECT id, doc, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, i.n, d.place - i.place AS shift, i.place AS at_item FROM u d JOIN u i
+    ON d.word = i.word AND d.doc AND NOT i.doc),
+g AS (SELECT *, CASE WHEN n < 5 THEN n ELSE least(10, 0.7 * n) END AS needed, count(*) OVER diagonal AS matches,
+    3 * row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY at_item) - 2 * at_item AS p FROM m
+    WINDOW diagonal AS (PARTITION BY doc_id, item_id, shift)),
+s AS (SELECT doc_id, item_id, n, needed, p + 1 - min(p) OVER (PARTITION BY doc_id, item_id, shift ORDER BY at_item
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS score FROM g WHERE matches >= needed)
+SELECT doc_id, item_id, max(score)::INT AS score, max(n)::INT AS words, true AS contaminated FROM s WHERE score >= needed GROUP BY doc_id, item_id
+"""
+
+
 @query
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
