@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import public_tokenizers
 
@@ -84,6 +85,7 @@ def piece_counts(text: str | None) -> tuple[int, int]:
     return len((text or "").encode()), len(model.encode(text or ""))
 
 
+@lru_cache(maxsize=1)
 def byte_tokenizer():
     from tokenizers import Tokenizer
 
@@ -133,3 +135,41 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, bool]:
     n, repeated = len(words), len(covered)
     symbols = sum(c in "#*$%&|<>" for c in text)
     return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), repeated, n < 20 or 100 * repeated > 30 * n
+
+
+def _item_words(text: str | None) -> list[str]:
+    kept = re.sub(r"[^\w\x20\x09-\x0D]+|_", "", (text or "").lower())
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", kept) if w]
+
+
+def holds_an_item(text: str | None, items: list[str | None]) -> bool:
+    """Whether the best segment along some offset is good enough; with the k-th match at place a, 3k - 2a is its score up to there."""
+    where = defaultdict(list)
+    for place, word in enumerate(_item_words(text)):
+        where[word].append(place)
+    for item in items:
+        words = _item_words(item)
+        needed = len(words) if len(words) < 5 else min(10, 0.7 * len(words))
+        offsets = defaultdict(list)
+        for place, word in enumerate(words):
+            for own in where.get(word, ()):
+                offsets[own - place].append(place)
+        for places in offsets.values():
+            sums = [3 * k - 2 * a for k, a in enumerate(places)]
+            low, best = sums[0], 0
+            for value in sums:
+                low = min(low, value)
+                best = max(best, value - low + 1)
+            if best >= needed:
+                return True
+    return False
+
+
+def marked(text: str, spans: list[tuple[int, int, str, int]]) -> str:
+    """`text` with its spans, in order, replaced by marks; those that overlap by one."""
+    out, at = [], 0
+    for start, _, _, end in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
