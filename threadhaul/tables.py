@@ -2,13 +2,15 @@
 
 Tables are plain Parquet in the session's catalog. An export only ever appends
 messages and progress. Whatever changes rows (roster upserts, updates, deletes,
-compaction) writes a new folder and points the table at it, so readers see the old or
-the new version whole.
+compaction) writes a new folder and commits it to the table's log of versions, so readers see the old or
+the new version whole. Appends are committed there too, so that a rewriting that has not seen them starts again.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from .plans.messages import MESSAGE_ORDER
 from .runtime import drop_folder, scratch, stored
 from .settings import ExportSettings
 from .sources.roster import ROSTER_ORDER
+from .versions import Version, VersionLog, WriteConflict
 
 TABLES = {
     S.ROSTER_TABLE: S.ROSTER,
@@ -30,10 +33,14 @@ TABLES = {
     S.MESSAGE_TABLE: S.MESSAGE,
 }
 
-_VERSION, _PREVIOUS = "schema_version", "previous_location"
+_VERSION = "schema_version"
 _MEMBERSHIP, _BLOCKS = "membership_location", "membership_blocks"
 
 
+# How often a change is made again because of other writers.
+_TRIES = 5
+
+
 class SchemaVersionError(RuntimeError):
     """The stored tables do not have the version this code works with."""
 
@@ -135,7 +142,9 @@ class ChatStore:
         for table in TABLES:
             if not self.exists(table):
                 continue
-            folders = [self.location(table), self._property(table, _PREVIOUS), self._property(table, _MEMBERSHIP)]
+            log = self._log(table)
+            latest = log.latest()
+            folders = [self.location(table), latest and latest.location, latest and latest.previous, self._property(table, _MEMBERSHIP), log.folder]
             self.spark.sql(f"DROP TABLE {self.name(table)}")
             for folder in folders:
                 if folder:
@@ -188,61 +197,100 @@ class ChatStore:
 
     # --- contents
 
+    def _log(self, table: str) -> VersionLog:
+        return VersionLog(self.spark, f"{self._database_location()}/versions-{table}")
+
+    def _settled(self, table: str) -> Version:
+        """The newest version, the catalog being brought in line with it."""
+        log, here = self._log(table), self.location(table)
+        latest = log.latest()
+        if latest is None:
+            log.commit(Version(0, here))
+            latest = log.latest()
+        # Folder names are unique, however their paths are spelled.
+        if _folder_name(here) != _folder_name(latest.location):
+            self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{latest.location}'")
+        return latest
+
     def read(self, table: str) -> DataFrame:
-        """The table as it is now: another session or writer may have added files since the last listing."""
+        """The table as it is now: another session or writer may have changed it since the last listing."""
+        self._settled(table)
         self.spark.catalog.refreshTable(self.name(table))
         return self.spark.table(self.name(table))
 
     def upsert_roster(self, rows: DataFrame) -> None:
         """Upsert roster rows (with `ROSTER_ORDER` beside them) and switch to the new version."""
-        table = S.ROSTER_TABLE
-        self._switch(
-            table,
-            merge_upsert(self.read(table), rows, S.ROSTER_KEY, ROSTER_ORDER, self.settings.key_collation),
-        )
+        collation = self.settings.key_collation
+        self._switch(S.ROSTER_TABLE, lambda old: merge_upsert(old, rows, S.ROSTER_KEY, ROSTER_ORDER, collation))
 
-    def _switch(self, table: str, rows: DataFrame) -> None:
-        """Write a new version of a table in a folder of its own, and point the table at it.
+    def _switch(self, table: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Write what `make` makes of a table in a folder of its own, and commit it as the next version.
 
+        If another writer has changed the table meanwhile, it is made anew from what is there then.
         The version before stays for readers that have begun with it; the one before that goes.
         """
-        old, stale = self.location(table), self._property(table, _PREVIOUS)
-        new = self._new_location(table)
-        staging = f"{table}__{uuid.uuid4().hex}"
-        self._create(staging, TABLES[table], new, self._clustering(table))
-        rows.select(*TABLES[table].fieldNames()).write.insertInto(self.name(staging))
-        self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{new}'")
-        self.spark.sql(
-            f"ALTER TABLE {self.name(table)} SET TBLPROPERTIES ('{_PREVIOUS}' = '{old}')"
-        )
-        # External, so the data stay; a reader may still be on the previous version.
-        self.spark.sql(f"DROP TABLE {self.name(staging)}")
-        self.spark.catalog.refreshTable(self.name(table))
-        if stale:
-            self.drop_folder(stale)
+        for _ in range(_TRIES):
+            old = self._settled(table)
+            rows = make(self.read(table))
+            new = self._new_location(table)
+            staging = f"{table}__{uuid.uuid4().hex}"
+            self._create(staging, TABLES[table], new, self._clustering(table))
+            try:
+                rows.select(*TABLES[table].fieldNames()).write.insertInto(self.name(staging))
+            finally:
+                # External, so the data stay.
+                self.spark.sql(f"DROP TABLE {self.name(staging)}")
+            if self._log(table).commit(Version(old.number + 1, new, old.location)):
+                self.read(table)
+                if old.previous:
+                    self.drop_folder(old.previous)
+                return
+            self.drop_folder(new)
+        raise WriteConflict(f"{table} is changed by others all the time")
+
+    def _appended(self, table: str, write: Callable[[], Any], again: bool = True) -> Any:
+        """Do `write`, which adds files to a table, and commit that.
+
+        If the table has moved to another folder meanwhile, the files may be in the one that it has left: `write` is done
+        again, or refused where it would add rows twice.
+        """
+        log = self._log(table)
+        for _ in range(_TRIES):
+            before = self._settled(table)
+            result = write()
+            while _folder_name((latest := log.latest()).location) == _folder_name(before.location):
+                if log.commit(Version(latest.number + 1, latest.location, latest.previous)):
+                    return result
+            if not again:
+                break
+        raise WriteConflict(f"{table} has been rewritten while rows were added")
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows as they are."""
         if table == S.MESSAGE_TABLE:
             self._learn(rows)
-        rows.select(*TABLES[table].fieldNames()).write.insertInto(self.name(table))
+        rows = rows.select(*TABLES[table].fieldNames())
+        self._appended(table, lambda: rows.write.insertInto(self.name(table)), again=False)
 
     def update(self, table: str, changes: DataFrame, keys: list[str], order: list[str]) -> None:
         """Replace the rows of known keys (the last change by `order` counts)."""
-        self._switch(table, dml_update_by_key(self.read(table), changes, keys, order))
+        self._switch(table, lambda old: dml_update_by_key(old, changes, keys, order))
 
     def delete(self, table: str, doomed: DataFrame, keys: list[str]) -> None:
         """Remove the rows of the given keys."""
-        self._switch(table, dml_delete_by_key(self.read(table), doomed, keys))
+        self._switch(table, lambda old: dml_delete_by_key(old, doomed, keys))
 
     def compact(self, table: str) -> None:
         """Rewrite a table with one file per bucket, after many small additions."""
-        rows = self.read(table)
-        if table == S.MESSAGE_TABLE:
+
+        def packed(rows: DataFrame) -> DataFrame:
+            if table != S.MESSAGE_TABLE:
+                return rows
             # By bucket number: a partitioning by the keys themselves would be taken for granted and left out.
             buckets = self._buckets()
-            rows = rows.repartition(buckets, F.pmod(F.hash(*S.MESSAGE_KEY), F.lit(buckets)))
-        self._switch(table, rows)
+            return rows.repartition(buckets, F.pmod(F.hash(*S.MESSAGE_KEY), F.lit(buckets)))
+
+        self._switch(table, packed)
         if table == S.MESSAGE_TABLE:
             self.rebuild_membership()
 
@@ -259,7 +307,7 @@ class ChatStore:
     def append_messages(self, rows: DataFrame) -> int:
         """Add messages; how many, as the tasks that wrote them counted."""
         self._learn(rows)
-        return self._insert(rows)
+        return self._appended(S.MESSAGE_TABLE, lambda: self._insert(rows), again=False)
 
     def _learn(self, rows: DataFrame) -> None:
         index = self.membership()
@@ -281,6 +329,9 @@ class ChatStore:
         other keys before the table gets their rows, so that a run that ends in between leaves
         keys that are looked up in vain, and never rows that nobody looks for.
         """
+        return self._appended(S.MESSAGE_TABLE, lambda: self._merge(messages))
+
+    def _merge(self, messages: DataFrame) -> int:
         index = self.membership()
         if index is None or self.settings.key_collation is not None:
             # Keys that are equal under a collation need not be of one bucket.
@@ -298,8 +349,15 @@ class ChatStore:
         return inserted
 
     def commit_progress(self, users: DataFrame, key: str = "mailbox") -> None:
-        new = progress_commit(self.read(S.PROGRESS_TABLE), users, key, self.settings.key_collation)
-        new.write.insertInto(self.name(S.PROGRESS_TABLE))
+        def write() -> None:
+            new = progress_commit(self.read(S.PROGRESS_TABLE), users, key, self.settings.key_collation)
+            new.write.insertInto(self.name(S.PROGRESS_TABLE))
+
+        self._appended(S.PROGRESS_TABLE, write)
+
+
+def _folder_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
 
 
 def _keys(rows: DataFrame) -> DataFrame:
