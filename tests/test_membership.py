@@ -88,7 +88,7 @@ def test_a_batch_of_one_bucket_reads_one_bucket(spark, bucketed, tmp_path):
 
 
 def test_strange_keys_are_settled_exactly(spark, bucketed, tmp_path):
-    """With one block for all keys, every key looks known: what is stored is the same."""
+    """With one block a bucket, some sixteen keys fill it and one strange key in six looks known: what is stored is the same."""
     rows = [(f"u{n % 3}", "c", n, "x") for n in range(500)]
     bucketed.merge_messages(messages(spark, rows[:250]))
     name, place = bucketed.name(S.MESSAGE_TABLE), str(tmp_path / "crowded")
@@ -96,7 +96,7 @@ def test_strange_keys_are_settled_exactly(spark, bucketed, tmp_path):
     crowded.create()
     crowded.add(crowded.placed(bucketed.read(S.MESSAGE_TABLE).select(*KEYS)))
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('membership_location' = '{place}', 'membership_blocks' = '1')")
-    assert bucketed.membership().may_hold(crowded.placed(messages(spark, rows[250:]).select("mailbox", "chatId", F.col("idKey").cast("long").alias("idKey")))).count() > 200
+    assert bucketed.membership().may_hold(crowded.placed(messages(spark, rows[250:]).select("mailbox", "chatId", F.col("idKey").cast("long").alias("idKey")))).count() > 20
     assert bucketed.merge_messages(messages(spark, rows)) == 250
     assert stored(bucketed) == sorted(rows)
 
