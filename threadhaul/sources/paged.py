@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     In,
@@ -63,29 +64,46 @@ class PageFetcher(Protocol):
     def fetch(self, request: PageRequest) -> PageResponse: ...
 
 
-def walk_chain(
-    fetcher: PageFetcher, mailbox: str, start: datetime, end: datetime, model: str, page_size: int
-) -> Iterator[tuple[int, str, PageResponse]]:
-    """`(page_no, model, response)` of one user until the chain ends.
+@dataclass(frozen=True)
+class ChainPosition:
+    """The request that a chain goes on with."""
+
+    page_no: int
+    model: str
+    next_link: str | None = None
+
+
+def walk_from(
+    fetcher: PageFetcher, mailbox: str, start: datetime, end: datetime, model: str, page_size: int, position: ChainPosition
+) -> Iterator[tuple[int, str, PageResponse, ChainPosition | None]]:
+    """`(page_no, model, response, next position)` from a position on until the chain ends; None ends it.
 
     The page is asked for again, once per user, with the other model when the
     service wants payment. The reader hands every response on; the chain
     operators judge them. A request that raises ends its chain, and no other, with a response of
-    its own status, so that the user stays pending.
+    its own status, so that the user stays pending. `model` is the one that the chain began with.
     """
-    page_no, first_model, next_link = 0, model, None
-    while True:
+    while position is not None:
+        page_no, asked, next_link = position.page_no, position.model, position.next_link
         try:
-            response = fetcher.fetch(PageRequest(mailbox, start, end, model, page_size, next_link))
+            response = fetcher.fetch(PageRequest(mailbox, start, end, asked, page_size, next_link))
         except Exception as error:  # whatever a fetcher raises concerns this chain only
             response = PageResponse(S.STATUS_NO_RESPONSE, f"{type(error).__name__}: {error}")
-        yield page_no, model, response
-        if response.status == S.STATUS_SWITCH_MODEL and model == first_model:
-            model = next(other for other in S.MODELS if other != first_model)
-            continue
-        if response.status != S.STATUS_OK or response.next_link is None:
-            return
-        page_no, next_link = page_no + 1, response.next_link
+        if response.status == S.STATUS_SWITCH_MODEL and asked == model:
+            position = ChainPosition(page_no, next(other for other in S.MODELS if other != model), next_link)
+        elif response.status != S.STATUS_OK or response.next_link is None:
+            position = None
+        else:
+            position = ChainPosition(page_no + 1, asked, response.next_link)
+        yield page_no, asked, response, position
+
+
+def walk_chain(
+    fetcher: PageFetcher, mailbox: str, start: datetime, end: datetime, model: str, page_size: int
+) -> Iterator[tuple[int, str, PageResponse]]:
+    """`(page_no, model, response)` of one user from the first page until the chain ends."""
+    for page_no, asked, response, _ in walk_from(fetcher, mailbox, start, end, model, page_size, ChainPosition(0, model)):
+        yield page_no, asked, response
 
 
 def deal_by_size(chains: DataFrame, tasks: int, slices: int = 1) -> DataFrame:
@@ -237,8 +255,9 @@ def register_paged_source(
 ) -> str:
     """Register the source for one fetcher and return its format name.
 
-    Options: `worklist` (a folder written by `write_worklist`), `start`, `end`, `model`, `pagesize`. The
-    window may instead come from predicates on `window_start` and `window_end`.
+    Options: `worklist` (a folder written by `write_worklist`), `start`, `end`, `model`, `pagesize`. A batch read may
+    take the window from predicates on `window_start` and `window_end` instead. As a stream (`readStream`) it also needs
+    `state`, a shared folder of this query alone, and may be given `pagesperround` (see `paged_stream`).
     """
 
     class PagedMessages(DataSource):
@@ -250,28 +269,37 @@ def register_paged_source(
             return PAGE_ROWS
 
         def reader(self, schema) -> DataSourceReader:
-            from pyarrow import fs
-
-            options = self.options
-            filesystem, root = fs.FileSystem.from_uri(_as_uri(options["worklist"]))
-            listing = filesystem.get_file_info(fs.FileSelector(root, recursive=True))
-            plan = _Plan(
-                worklist=options["worklist"],
-                model=options.get("model", S.MODELS[0]),
-                page_size=int(options.get("pagesize", S.DEFAULT_PAGE_SIZE)),
-                files=sorted(one.path for one in listing if one.path.endswith(".parquet")),
-            )
-            if "start" in options:
-                plan.start = _instant(options["start"])
-            if "end" in options:
-                plan.end = _instant(options["end"])
-            return _PageReader(fetcher, plan)
+            return _PageReader(fetcher, _plan_of(self.options))
+
+        def streamReader(self, schema) -> DataSourceStreamReader:
+            from .paged_stream import PageStreamReader
+
+            state, pages = self.options["state"], int(self.options.get("pagesperround", 16))
+            return PageStreamReader(fetcher, _plan_of(self.options), state, pages)
 
     ship_package(spark)
     spark.dataSource.register(PagedMessages)
     return name
 
 
+def _plan_of(options) -> _Plan:
+    from pyarrow import fs
+
+    filesystem, root = fs.FileSystem.from_uri(_as_uri(options["worklist"]))
+    listing = filesystem.get_file_info(fs.FileSelector(root, recursive=True))
+    plan = _Plan(
+        worklist=options["worklist"],
+        model=options.get("model", S.MODELS[0]),
+        page_size=int(options.get("pagesize", S.DEFAULT_PAGE_SIZE)),
+        files=sorted(one.path for one in listing if one.path.endswith(".parquet")),
+    )
+    if "start" in options:
+        plan.start = _instant(options["start"])
+    if "end" in options:
+        plan.end = _instant(options["end"])
+    return plan
+
+
 def _as_uri(path: str) -> str:
     if "://" in path:
         return path

@@ -53,6 +53,18 @@ def for_each_batch(
     )
 
 
+def for_each_round(
+    stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]
+) -> StreamingQuery:
+    """Like `for_each_batch`, for a source where each batch says whether there is more: ends when nothing new comes."""
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 @dataclass(frozen=True)
 class PageStreamExport:
     """Stores the messages of landed pages and marks their users done, like a batch run over the same pages.
@@ -75,6 +87,11 @@ class PageStreamExport:
         query.awaitTermination()
         return query
 
+    def run_rounds(self, stream: DataFrame) -> StreamingQuery:
+        """Fetch by a paged source (`readStream`), round by round, until all chains have ended; a restart goes on."""
+        configure(self.spark)
+        return for_each_round(stream, f"{self.state}/checkpoint", self.handle)
+
     def _earlier(self, spark: SparkSession, kind: str, schema: StructType, batch: int, pending: DataFrame) -> DataFrame:
         """What the batch before has left of these users."""
         before = self._versions(spark, kind, batch)
