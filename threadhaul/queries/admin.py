@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators.statistics import BINS, ColumnStatistics
 from ..runtime import scratch
 from ..settings import ExportSettings
 from ..tables import ChatStore
@@ -86,3 +90,74 @@ def analyze_table(t: Tables):
     return detail.where("col_name = 'Statistics'").select(
         F.lit(S.ROSTER_TABLE).alias("name"), known.alias("rows")
     )
+
+
+_SKETCHED = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderdate": "CAST(epoch_us(o_orderdate) AS BIGINT)"}
+
+
+def _order_statistics(t: Tables) -> tuple[ColumnStatistics, list[int]]:
+    """Statistics of orders that are added in two halves, and how many files were read for each."""
+    folder, read = scratch(t.spark, "orders"), []
+    kept = ColumnStatistics(t.spark, scratch(t.spark, "statistics"), {name: F.col(name) for name in [*_SKETCHED, "o_orderstatus"]})
+    for half in (0, 1):
+        t.orders.where(F.col("o_orderkey") % 2 == half).coalesce(1).write.mode("append").parquet(folder)
+        read.append(len(kept.update(t.spark.read.schema(t.orders.schema).parquet(folder))))
+    return kept, read
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, count(*) AS rows, count(*) - count({name}) AS nulls, min({number}) AS low, max({number}) AS high,
+  {longest} AS longest, true AS distinct_close, true AS borders_close, 2 AS files_read
+FROM orders"""
+        for name, number, longest in [*((n, sql, 8) for n, sql in _SKETCHED.items()), ("o_orderstatus", "CAST(NULL AS BIGINT)", 1)]
+    )
+)
+def column_statistics(t: Tables):
+    """Sketched statistics of files added one after another, against exact counts: distinct keys within 5 percent, bin borders within
+    2 percent of the rows, and each file read once."""
+    kept, read = _order_statistics(t)
+    merged = kept.merged()
+    exact, shares = [], []
+    for name in [*_SKETCHED, "o_orderstatus"]:
+        exact.append(t.orders.agg(F.lit(name).alias("name"), F.countDistinct(name).alias("true_distinct")))
+    for name in _SKETCHED:
+        borders = merged.where(F.col("name") == name).select("borders").scalar()
+        number = F.unix_micros(F.col(name).cast("timestamp")) if name == "o_orderdate" else F.col(name)
+        valued = t.orders.select(number.alias("value"), borders.alias("borders"))
+        # How many borders a row has below it, and below or at it: at most two groups per border.
+        places = valued.groupBy(
+            F.size(F.filter("borders", lambda one: one < F.col("value"))).alias("above"),
+            F.size(F.filter("borders", lambda one: one <= F.col("value"))).alias("reached"),
+        ).agg(F.count(F.lit(1)).alias("n"))
+        places = places.agg(F.collect_list(F.struct("above", "reached", "n")).alias("places"), F.sum("n").alias("all"))
+
+        def share(of: str, number: Column) -> Column:
+            chosen = F.filter("places", lambda place: place[of] <= number)
+            return F.aggregate(chosen, F.lit(0).cast("long"), lambda sum_, place: sum_ + place["n"]) / F.col("all")
+
+        def off(number: Column) -> Column:
+            """How far a border is from its rank; it may lie anywhere among the rows of its value."""
+            return F.greatest(share("reached", number) - number / BINS, number / BINS - share("above", number), F.lit(0.0))
+
+        worst = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(BINS)), off))
+        shares.append(places.select(F.lit(name).alias("name"), (worst < 0.02).alias("borders_close")))
+
+    found = merged.join(reduce(DataFrame.unionByName, exact), "name").join(reduce(DataFrame.unionByName, shares), "name", "left")
+    close = F.abs(F.col("distinct") - F.col("true_distinct")) <= 0.05 * F.col("true_distinct")
+    return found.select(
+        "name", "rows", "nulls", "low", "high", "longest", close.alias("distinct_close"),
+        F.coalesce("borders_close", F.lit(True)).alias("borders_close"), F.lit(sum(read)).alias("files_read"),
+    )
+
+
+@query("""SELECT count(*) AS pending, true AS estimate_close FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def pending_estimate(t: Tables):
+    """The size of the worklist from statistics alone, within 5 percent of the roster of the true one."""
+    store = _store(t)
+    estimate = store.pending_estimate()
+    rows, done = store.read(S.ROSTER_TABLE), store.read(S.PROGRESS_TABLE)
+    pending = rows.join(done, F.col(S.ROSTER_KEY[0]) == F.col("value"), "left_anti").agg(F.count("*").alias("pending"))
+    close = F.abs(F.col("pending") - F.lit(estimate)) <= 0.05 * rows.agg(F.count("*")).scalar()
+    return pending.select("pending", close.alias("estimate_close"))

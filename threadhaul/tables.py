@@ -20,6 +20,7 @@ from . import schemas as S
 from .operators.dedupe import dedupe_first_wins
 from .operators.membership import BLOCKS, KEYS_PER_BLOCK, Membership, known_keys
 from .operators.merge import dml_delete_by_key, dml_update_by_key, merge_insert_only, merge_upsert
+from .operators.statistics import ColumnStatistics, estimated_anti_join
 from .operators.worklist import progress_commit
 from .plans.messages import MESSAGE_ORDER
 from .runtime import drop_folder, scratch, stored
@@ -36,6 +37,11 @@ TABLES = {
 _VERSION = "schema_version"
 _MEMBERSHIP, _BLOCKS = "membership_location", "membership_blocks"
 
+# Columns that statistics are kept of.
+_COUNTED = {
+    S.ROSTER_TABLE: S.ROSTER_KEY,
+    S.MESSAGE_TABLE: [*S.MESSAGE_KEY, "createdDateTime", "lastModifiedDateTime", "folderDate"],
+}
 
 # How often a change is made again because of other writers.
 _TRIES = 5
@@ -145,6 +151,7 @@ class ChatStore:
             log = self._log(table)
             latest = log.latest()
             folders = [self.location(table), latest and latest.location, latest and latest.previous, self._property(table, _MEMBERSHIP), log.folder]
+            folders.append(self.column_statistics(table).place)
             self.spark.sql(f"DROP TABLE {self.name(table)}")
             for folder in folders:
                 if folder:
@@ -154,6 +161,24 @@ class ChatStore:
         """Refresh the statistics the optimizer uses."""
         self.spark.sql(f"ANALYZE TABLE {self.name(table)} COMPUTE STATISTICS")
 
+    def column_statistics(self, table: str) -> ColumnStatistics:
+        """Statistics of the keys and times of a table, as of their last `update`."""
+        columns = {name: F.col(name) for name in _COUNTED.get(table, ())}
+        if table == S.PROGRESS_TABLE:
+            columns = {S.PROGRESS_TYPE_USER: F.when(F.col("type") == S.PROGRESS_TYPE_USER, F.col("value"))}
+        return ColumnStatistics(self.spark, f"{self._database_location()}/statistics-{table}", columns)
+
+    def refresh_statistics(self, table: str) -> int:
+        """Bring the column statistics up to date; how many files had to be read for it. One writer at a time."""
+        return len(self.column_statistics(table).update(self.read(table)))
+
+    def pending_estimate(self) -> int:
+        """About how many mailboxes are still to be exported (ids compared byte by byte), from statistics and added files alone."""
+        for table in (S.ROSTER_TABLE, S.PROGRESS_TABLE):
+            self.refresh_statistics(table)
+        known, done = (self.column_statistics(table).merged() for table in (S.ROSTER_TABLE, S.PROGRESS_TABLE))
+        return estimated_anti_join(known, S.ROSTER_KEY[0], done, S.PROGRESS_TYPE_USER).first()["missing"]
+
     def location(self, table: str) -> str:
         detail = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(table)}")
         return detail.where("col_name = 'Location'").first()["data_type"]
