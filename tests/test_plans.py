@@ -1,5 +1,6 @@
 """Plans are what they should be: pruned, pushed down, pre-aggregated, and free of Python."""
 
+import json
 import re
 
 import pytest
@@ -85,3 +86,21 @@ def test_no_python_and_no_pairing_of_everything(spark, name):
     # Where an interval closes depends on all closes before: SQL functions have no form for that.
     in_arrow = "" if name == "sampled_rate" else "|MapInArrow"
     assert not re.search(rf"CartesianProduct|NestedLoop|EvalPython|InPandas|PythonUDF{in_arrow}", text)
+
+
+def test_attachment_contents_are_parsed_once(spark, pages):
+    """For the raw JSON and for the count of unusable links together."""
+    from threadhaul.plans.messages import checked_messages
+    from threadhaul.sources.pages import explode_pages
+
+    snippet = {"contentType": "application/vnd.microsoft.card.codesnippet", "contentUrl": "stored"}
+    contents = ['{"codeSnippetUrl":"u"}', '{"codeSnippetUrl":1}', "[1]", "no json", "", None]
+    attached = [{**snippet, "id": str(n), "content": content} for n, content in enumerate(contents)]
+    rows = [pages.page("u", 0, [pages.message("1", attachments=[*attached, {"contentUrl": "plain"}]), pages.message("2")])]
+    checked = checked_messages(explode_pages(pages.frame(spark, rows)))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1 or plan.count("parse_json") == 1, plan
+    found = {r["message_id"]: (json.loads(r["rawJson"]), r["bad_urls"]) for r in checked.collect()}
+    message, bad = found["1"]
+    assert [a["contentUrl"] for a in message["attachments"]] == ["u", None, "stored", None, "stored", "stored", "plain"]
+    assert bad == 2 and found["2"][1] == 0 and found["2"][0]["attachments"] is None

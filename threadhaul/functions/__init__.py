@@ -1,6 +1,6 @@
 """Column functions of the export; all are built from JVM-side expressions."""
 
-from .attachments import attachment_key, attachment_url, attachment_url_problem, reaction_key
+from .attachments import attachment_key, attachment_links, attachment_url, attachment_url_problem, reaction_key
 from .clock import folder_date, parse_bound, specify_utc, ts_to_unix_ms, unix_ms_to_ts
 from .payload import raw_json, sender
 from .senders import sender_columns
@@ -18,6 +18,7 @@ from .text import (
 
 __all__ = [
     "attachment_key",
+    "attachment_links",
     "attachment_url",
     "attachment_url_problem",
     "conversation_type",

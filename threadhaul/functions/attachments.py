@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,37 @@ def _is_snippet(attachment: Column) -> Column:
     )
 
 
-def _snippet_url(content: Column) -> tuple[Column, Column, Column]:
-    """(parsed content, whether it is an object, its URL field as a variant)."""
-    parsed = F.try_parse_json(content)
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    url = F.try_variant_get(parsed, f"$.{S.CODE_SNIPPET_URL_FIELD}", "variant")
-    return parsed, is_object, url
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, the value being computed once, also inside of other lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def attachment_link(attachment: Column) -> Column:
+    """(`url`, `bad`): what `attachment_url` and `attachment_url_problem` say, the content being parsed once."""
+    snippet = F.coalesce(_is_snippet(attachment), F.lit(False))
+
+    def judged(parsed: Column, url: Column) -> Column:
+        is_object, kind = F.schema_of_variant(parsed).startswith("OBJECT"), F.schema_of_variant(url)
+        text = F.when(kind == "STRING", F.try_variant_get(url, "$", "string"))
+        link = (
+            F.when(~snippet, attachment["contentUrl"])
+            .when(parsed.isNull(), F.lit(None).cast("string"))
+            .when(is_object, text)
+            .otherwise(attachment["contentUrl"])
+        )
+        usable = F.coalesce(kind.isin("STRING", "VOID"), F.lit(False))
+        return F.struct(link.alias("url"), (snippet & (parsed.isNull() | (is_object & ~usable))).alias("bad"))
+
+    def found(parsed: Column) -> Column:
+        url = F.try_variant_get(parsed, f"$.{S.CODE_SNIPPET_URL_FIELD}", "variant")
+        return _once(url, lambda url: judged(parsed, url))
+
+    return _once(F.when(snippet, F.try_parse_json(attachment["content"])), found)
+
+
+def attachment_links(attachments: Column) -> Column:
+    """The link of each attachment of a message."""
+    return F.transform(attachments, attachment_link)
 
 
 def attachment_url(attachment: Column) -> Column:
@@ -30,24 +57,12 @@ def attachment_url(attachment: Column) -> Column:
     not an object leaves the stored URL; content that is no JSON, or an object
     without a text URL, gives NULL (see `attachment_url_problem`).
     """
-    parsed, is_object, url = _snippet_url(attachment["content"])
-    text = F.when(F.schema_of_variant(url) == "STRING", F.try_variant_get(url, "$", "string"))
-    return (
-        F.when(~F.coalesce(_is_snippet(attachment), F.lit(False)), attachment["contentUrl"])
-        .when(parsed.isNull(), F.lit(None).cast("string"))
-        .when(is_object, text)
-        .otherwise(attachment["contentUrl"])
-    )
+    return attachment_link(attachment)["url"]
 
 
 def attachment_url_problem(attachment: Column) -> Column:
     """Whether a code snippet's content gives no usable URL (counted as a quality issue)."""
-    parsed, is_object, url = _snippet_url(attachment["content"])
-    kind = F.schema_of_variant(url)
-    usable = F.coalesce(kind.isin("STRING", "VOID"), F.lit(False))
-    return F.coalesce(_is_snippet(attachment), F.lit(False)) & (
-        parsed.isNull() | (is_object & ~usable)
-    )
+    return attachment_link(attachment)["bad"]
 
 
 def attachment_key(attachment: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .attachments import attachment_url
+from .attachments import attachment_links
 
 _TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -75,12 +75,13 @@ def sender(payload: Column) -> Column:
     return _typed(payload["from"], S.SENDER)
 
 
-def raw_json(payload: Column) -> Column:
+def raw_json(payload: Column, links: Column | None = None) -> Column:
     """The message written back as JSON: the known fields only, nulls included.
 
     Objects the format always carries are filled in when the source left the
-    key out, and stay null when the source said null.
+    key out, and stay null when the source said null. `links` are the `attachment_links`, where they are known already.
     """
+    links = attachment_links(payload["attachments"]) if links is None else links
     plain = [
         "id",
         "replyToId",
@@ -102,8 +103,10 @@ def raw_json(payload: Column) -> Column:
         _event_detail(payload["eventDetail"]).alias("eventDetail"),
         _typed(payload["from"], S.SENDER, _empty(S.SENDER)).alias("from"),
         payload["body"].alias("body"),
-        _each(
-            payload["attachments"], lambda a: a.withField("contentUrl", attachment_url(a))
+        F.zip_with(
+            payload["attachments"],
+            links,
+            lambda a, link: F.when(a.isNotNull(), a.withField("contentUrl", link["url"])),
         ).alias("attachments"),
         _each(payload["reactions"], _reaction).alias("reactions"),
         _each(

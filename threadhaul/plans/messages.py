@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import VarcharType
 
 from .. import schemas as S
 from ..functions import (
-    attachment_url_problem,
+    attachment_links,
     folder_date,
     id_key,
     raw_json,
@@ -21,8 +21,8 @@ from ..operators.filters import length_problem, message_problem
 MESSAGE_ORDER = ["slice", "chain_pos", "position"]
 
 
-def message_columns() -> dict:
-    """The twelve stored columns, from `mailbox` and the parsed `message`."""
+def message_columns(links: Column | None = None) -> dict:
+    """The twelve stored columns, from `mailbox` and the parsed `message` (`links` as in `raw_json`)."""
     message = F.col("message")
     modified = message["lastModifiedDateTime"]
     return {
@@ -31,15 +31,15 @@ def message_columns() -> dict:
         "idKey": id_key(message["id"]),
         "createdDateTime": message["createdDateTime"],
         "lastModifiedDateTime": modified,
-        "rawJson": raw_json(message),
+        "rawJson": raw_json(message, links),
         "folderDate": folder_date(modified),
         **sender_columns(sender(message)),
     }
 
 
-def normalize_messages(exploded: DataFrame, *keep: str) -> DataFrame:
+def normalize_messages(exploded: DataFrame, *keep: str, links: Column | None = None) -> DataFrame:
     """The stored columns of each message, and the columns to keep beside them."""
-    columns = {name: column.alias(name) for name, column in message_columns().items()}
+    columns = {name: column.alias(name) for name, column in message_columns(links).items()}
     return exploded.select(*[columns[name] for name in S.MESSAGE_COLUMNS], *keep)
 
 
@@ -48,7 +48,9 @@ def checked_messages(exploded: DataFrame, *keep: str) -> DataFrame:
     message = F.col("message")
     lengths = {f.name: f.dataType.length for f in S.MESSAGE.fields if isinstance(f.dataType, VarcharType)}
     missing = message_problem(F.col("mailbox"), message["chatId"], message["id"])
-    bad_urls = F.size(F.filter(message["attachments"], attachment_url_problem))
+    # A column of its own, as it is used twice: each content is parsed once.
+    exploded = exploded.withColumn("links", attachment_links(message["attachments"]))
+    bad_urls = F.size(F.filter("links", lambda link: link["bad"]))
     return normalize_messages(
         exploded.withColumns(
             {
@@ -61,4 +63,5 @@ def checked_messages(exploded: DataFrame, *keep: str) -> DataFrame:
         "problem",
         "bad_urls",
         *keep,
+        links=F.col("links"),
     )
