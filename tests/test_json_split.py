@@ -107,6 +107,20 @@ def test_split_files_equal_whole_files(spark, tmp_path, small_blocks):
     assert elements.where("file_path LIKE '%1.json'").select("block_start").distinct().count() > 30
 
 
+def test_small_blocks_share_tasks(spark, tmp_path, small_blocks):
+    """Hundreds of blocks are no hundreds of tasks, and the session's settings stay as they were."""
+    many = [{"DisplayName": f"n{i}", "ExternalDirectoryObjectId": str(i)} for i in range(1000)]
+    for number in range(3):
+        (tmp_path / f"a{number}.json").write_text(json.dumps(many))
+    elements = J.array_elements(spark, str(tmp_path), "*")
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+    assert elements.select("file_path", "block_start").distinct().count() > 1000
+    # One file of parts per task.
+    assert len(elements.inputFiles()) <= 2 * J._TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    found = [tuple(r) for r in roster_rows_from_elements(elements).groupBy("ExternalDirectoryObjectId").count().collect()]
+    assert sorted(found) == sorted((str(i), 3) for i in range(1000))
+
+
 @pytest.mark.parametrize("text", ["{}", "5", '"x"', "[1", "[{}", '[{"a":1}\n', "[] []", "[]]", "x []", "[] x", '["a', "/* [] */", " \n "])
 def test_files_that_are_no_array(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)

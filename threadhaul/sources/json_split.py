@@ -1,4 +1,4 @@
-"""Elements of JSON arrays in files of any size, each block of a file read by a task of its own.
+"""Elements of JSON arrays in files of any size, whose blocks are read one by one, in any task.
 
 A block may begin anywhere: within a string, behind a backslash, in a comment, at any depth. Its
 effect on what comes behind it is a small table, from each state at its start to the state and the
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import scratch, stored
-from .files import block_pieces
+from ..runtime import scratch, ship_package, stored
+from .files import block_pieces, matching_bytes
 
 # States of the reader outside and inside of strings and comments.
 PLAIN, STRING, ESCAPE, SLASH, LINE, BLOCK, STAR = STATES = range(7)
@@ -34,6 +34,9 @@ _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\r\n]*", re.S)
 # What an unfinished comment began with, for text that begins within it.
 _BEGUN = {LINE: "//", BLOCK: "/*", STAR: "/* *"}
 
+# Tasks that blocks are dealt to: so many for each core, and more where one would get more than so many bytes.
+_TASKS_PER_CORE, _BYTES_PER_TASK = 4, 128 << 20
+
 
 def walk(text: str, state: int, marks: list[tuple[int, str]] | None = None) -> tuple[int, int]:
     """The state and the change of depth at the end of `text`; brackets and commas outside strings go to `marks`."""
@@ -180,15 +183,20 @@ def array_elements(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
     `block_start` and `position` give the order in a file. A file that is no array is an error.
     """
+    ship_package(spark)
     pieces = block_pieces(spark, root, pattern)
-    # The same blocks for both passes, whatever the executors do meanwhile.
-    fixed = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(fixed, None)
-    spark.conf.set(fixed, before or str(spark.sparkContext.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(_TASKS_PER_CORE * cores, matching_bytes(spark, root, pattern) // _BYTES_PER_TASK)
+    # The same blocks for both passes, whatever the executors do meanwhile. Small ones share a task.
+    fixed = {"spark.sql.files.minPartitionNum": cores, "spark.sql.files.maxPartitionNum": tasks}
+    before = {key: spark.conf.get(key, None) for key in fixed}
+    for key, number in fixed.items():
+        spark.conf.set(key, before[key] or str(number))
     try:
         return _elements(spark, pieces)
     finally:
-        spark.conf.set(fixed, before) if before else spark.conf.unset(fixed)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def _elements(spark: SparkSession, pieces: DataFrame) -> DataFrame:
