@@ -94,6 +94,20 @@ def test_ordinal_spreads_a_hot_group_in_one_shuffle(spark):
         assert paged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_ordinal_of_small_groups_is_a_plain_window(spark):
+    """No bound is looked up for groups that need none; those of a large group beside them stay."""
+    small = spark.range(9000).selectExpr("id % 500 AS k", "id AS n")
+    numbered = with_ordinal(small, ["k"], ["n"], parts=8, part_rows=10)
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "__part" not in text and text.count("Exchange hashpartitioning(k") == text.count("Exchange") == 1
+    assert tuples(numbered) == sorted(((i % 500, i, i // 500 + 1) for i in range(9000)), key=repr)
+    mixed = small.unionByName(spark.range(9000).selectExpr("250L AS k", "id + 9000 AS n"))
+    numbered = with_ordinal(mixed, ["k"], ["n"], parts=8, part_rows=10)
+    assert "__part" in numbered._jdf.queryExecution().executedPlan().toString()
+    got = [(r.n, r.ordinal) for r in numbered.where("k = 250").collect()]
+    assert sorted(got) == [(n, place) for place, n in enumerate([*range(250, 9000, 500), *range(9000, 18000)], 1)]
+
+
 def test_paginate(skewed):
     rows, df = skewed
     got = {(r["k"], r["n"]): (r["page_no"], r["position"]) for r in paginate(df, "k", ["n"], 7).collect()}

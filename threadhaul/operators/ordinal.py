@@ -2,7 +2,8 @@
 
 A plain row-number window sends each group to one task. Here explicit bounds, taken
 from a bounded sample of the keys, cut the rows into parts by group and order, and the
-rows of each part and group are numbered by themselves. A group that reaches over a
+rows of each part and group are numbered by themselves. Only bounds within large groups are kept:
+the rows of small ones are dealt by group as in a plain window. A group that reaches over a
 bound is the group *of* that bound, so that the numbers missing are known from two
 counts a part: the rows of the group of its lower bound, and those of its upper one.
 They are counted in a pass over the keys alone, and come back as constants.
@@ -10,6 +11,7 @@ They are counted in a pass over the keys alone, and come back as constants.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -74,9 +76,11 @@ def _cuts(keys: DataFrame, groups: int, parts: int, part_rows: int) -> _Cuts:
     if parts > 1:
         share = min(1.0, SAMPLE_PER_PART * parts / rows)
         sample = keys.sample(share, seed=1).orderBy(*keys.columns).collect()
+        sizes = Counter(repr(row[:groups]) for row in sample)
         for i in range(1, parts):
             bound = sample[i * len(sample) // parts] if sample else None
-            if bound is not None and bound not in bounds[-1:]:
+            # A group of less than half a part needs no bound.
+            if bound is not None and bound not in bounds[-1:] and 2 * parts * sizes[repr(bound[:groups])] >= len(sample):
                 bounds.append(bound)
     return _Cuts(tuple(keys.dtypes), groups, bounds)
 
@@ -99,7 +103,7 @@ def with_ordinal(
     parts = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = _cuts(keys, len(group), parts, part_rows)
     if not cuts.bounds:
-        # So few rows that one task may hold them all.
+        # So few rows, or groups so small, that one task may hold any of them.
         alone = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
         return df.withColumn(name, F.row_number().over(alone.orderBy(*order)).cast("long"))
     part = "__part"
