@@ -353,6 +353,20 @@ def test_stream_equals_batch(spark, store, settings, pages, tmp_path, roster_fol
     assert stored(store) == before and done(store) == ["u1", "u2", "u3"]
 
 
+def test_stream_deals_the_pages_of_a_file_to_all_tasks(spark, store, settings, pages, tmp_path, monkeypatch):
+    from threadhaul.streaming import pages as module
+
+    store.upsert_roster(spark.createDataFrame([("u1", "f", 0, 0)], "ExternalDirectoryObjectId string, file_path string, block_start int, position int")
+        .selectExpr("CAST(NULL AS STRING) AS DisplayName", "ExternalDirectoryObjectId", "CAST(NULL AS STRING) AS PrimarySmtpAddress", "file_path", "block_start", "position"))
+    landing, plans = str(tmp_path / "landing"), []
+    pages.frame(spark, [pages.page("u1", 0, [pages.message("1")])]).coalesce(1).write.parquet(landing)
+    stage = module.stage_pages
+    monkeypatch.setattr(module, "stage_pages", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, *a))
+    PageStreamExport(spark, settings, str(tmp_path / "state")).run(page_stream(spark, landing))
+    assert len(plans) == 1 and "REPARTITION_BY_COL" in plans[0]
+    assert store.read("UserMessage").count() == 1
+
+
 def test_stream_keeps_chain_ends_across_batches(spark, store, settings, pages, tmp_path):
     m = pages.message
     load_roster(spark, settings, "u")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from threadhaul.operators import chain
 from threadhaul.sources.files import (
     EmptySourceError,
+    Listing,
+    list_matching,
     matching_bytes,
     read_binary,
     read_whole_text,
@@ -191,6 +193,19 @@ def test_model_b_first(spark, pages):
     assert row.first()[0] == chain.SWITCH
 
 
+def test_one_listing_tells_sizes_and_guards(spark, folder, monkeypatch):
+    listing = list_matching(spark, folder, "AllMailBoxes*.json")
+    assert listing == Listing(files=3, largest=3, bytes=5)
+    assert list_matching(spark, folder, "nothing*") == Listing(files=3, largest=0, bytes=0)
+    with pytest.raises(EmptySourceError):
+        scan_wildcard_files(spark, folder, "*", Listing(0, 0, 0))
+    loads = []
+    load = type(spark.read).load
+    monkeypatch.setattr(type(spark.read), "load", lambda self, *a, **k: loads.append(a) or load(self, *a, **k))
+    assert scan_wildcard_files(spark, folder, "AllMailBoxes*.json", listing).count() == 2
+    assert not loads
+
+
 def test_root_is_cut_as_a_prefix(spark, tmp_path, monkeypatch):
     """The root's name again below it, and other spellings of the root."""
     root = tmp_path / "data"

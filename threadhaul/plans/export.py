@@ -24,7 +24,7 @@ from ..operators.metrics import RUN_LOG, append_run_log, id_collisions, run_summ
 from ..operators.worklist import resume_worklist
 from ..runtime import configure, scratch, stored
 from ..settings import ExportSettings
-from ..sources.files import largest_match, matching_bytes, scan_wildcard_files, scan_wildcard_lines
+from ..sources.files import list_matching, scan_wildcard_files, scan_wildcard_lines
 from ..sources.json_split import array_elements
 from ..sources.paged import expected_sizes, write_worklist
 from ..sources.pages import explode_pages
@@ -146,18 +146,18 @@ class ChatExport:
 
     def load_roster(self, root: str, folder: str, run_id: str) -> None:
         pattern, strict = self.settings.roster_pattern, self.settings.strict
+        files = list_matching(self.spark, root, pattern)
         if self.settings.roster_lines:
-            rows = roster_rows_from_lines(scan_wildcard_lines(self.spark, root, pattern), strict=strict)
-        elif largest_match(self.spark, root, pattern) > self.settings.roster_split_bytes:
-            rows = roster_rows_from_elements(array_elements(self.spark, root, pattern), strict=strict)
+            rows = roster_rows_from_lines(scan_wildcard_lines(self.spark, root, pattern, files), strict=strict)
+        elif files.largest > self.settings.roster_split_bytes:
+            rows = roster_rows_from_elements(array_elements(self.spark, root, pattern, files), strict=strict)
         else:
-            rows = roster_rows(scan_wildcard_files(self.spark, root, pattern), strict=strict)
+            rows = roster_rows(scan_wildcard_files(self.spark, root, pattern, files), strict=strict)
         # Roster texts are parsed once.
         roster = split_roster(stored(rows, f"{folder}/roster"))
         self.store.upsert_roster(roster.mailboxes)
         roster.quarantine.write.mode("overwrite").json(f"{folder}/quarantine")
-        size = matching_bytes(self.spark, root, pattern)
-        self._log(run_id, f"{folder}/log", ("roster", roster.mailboxes.count(), size, 0, ""))
+        self._log(run_id, f"{folder}/log", ("roster", roster.mailboxes.count(), files.bytes, 0, ""))
 
     # --- messages
 

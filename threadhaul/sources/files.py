@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +45,43 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), "length", "content")
 
 
-def require_files(spark: SparkSession, root: str) -> None:
+@dataclass(frozen=True)
+class Listing:
+    """The files of a root folder by number and size, and those that match; from one listing, nothing being read."""
+
+    files: int
+    largest: int
+    bytes: int
+
+
+def list_matching(spark: SparkSession, root: str, pattern: str) -> Listing:
+    """One listing for all that is asked of it: folders of many files take long to list."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    matching = F.when(wildcard_match(_relative_name(F.col("path"), _root_path(spark, root)), pattern), F.col("length"))
+    found = files.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.max(matching), F.lit(0)).alias("largest"),
+        F.coalesce(F.sum(matching), F.lit(0)).alias("bytes"),
+    )
+    return Listing(**found.first().asDict())
+
+
+def matching_bytes(spark: SparkSession, root: str, pattern: str) -> int:
+    """Total size of the matching files, from their listing alone."""
+    return list_matching(spark, root, pattern).bytes
+
+
+def require_files(spark: SparkSession, root: str, listing: Listing | None = None) -> None:
     """Refuse a root folder without any file; only names are listed, nothing is read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if listing.select("path").isEmpty():
+    if listing is not None:
+        empty = not listing.files
+    else:
+        empty = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path").isEmpty()
+    if empty:
         raise EmptySourceError(f"no files below {root}")
 
 
-def scan_wildcard_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def scan_wildcard_files(spark: SparkSession, root: str, pattern: str, listing: Listing | None = None) -> DataFrame:
     """`(name, size, file_path, value)` of the files whose name below `root` matches.
 
     The predicate is on file metadata, so files that do not match are left out
@@ -58,7 +89,7 @@ def scan_wildcard_files(spark: SparkSession, root: str, pattern: str) -> DataFra
     """
     if not pattern:
         raise ValueError("the file name pattern is missing")
-    require_files(spark, root)
+    require_files(spark, root, listing)
     path = _decoded(F.col("_metadata.file_path"))
     name = _relative_name(path, _root_path(spark, root))
     return (
@@ -73,18 +104,11 @@ def scan_wildcard_files(spark: SparkSession, root: str, pattern: str) -> DataFra
     )
 
 
-def matching_bytes(spark: SparkSession, root: str, pattern: str) -> int:
-    """Total size of the matching files, from their listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    matching = files.where(wildcard_match(_relative_name(F.col("path"), _root_path(spark, root)), pattern))
-    return matching.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
-def scan_wildcard_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def scan_wildcard_lines(spark: SparkSession, root: str, pattern: str, listing: Listing | None = None) -> DataFrame:
     """Like `scan_wildcard_files`, one row per line, so that large files are split."""
     if not pattern:
         raise ValueError("the file name pattern is missing")
-    require_files(spark, root)
+    require_files(spark, root, listing)
     path = _decoded(F.col("_metadata.file_path"))
     name = _relative_name(path, _root_path(spark, root))
     return (
@@ -98,21 +122,14 @@ def scan_wildcard_lines(spark: SparkSession, root: str, pattern: str) -> DataFra
     )
 
 
-def largest_match(spark: SparkSession, root: str, pattern: str) -> int:
-    """Size of the largest matching file, from their listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    matching = files.where(wildcard_match(_relative_name(F.col("path"), _root_path(spark, root)), pattern))
-    return matching.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
-
-
-def block_pieces(spark: SparkSession, root: str, pattern: str, end: str = "}") -> DataFrame:
+def block_pieces(spark: SparkSession, root: str, pattern: str, end: str = "}", listing: Listing | None = None) -> DataFrame:
     """`(file_path, block_start, value)`: what stands between two `end` characters, in order within each block.
 
     Large files are split, whether they have lines or not.
     """
     if not pattern:
         raise ValueError("the file name pattern is missing")
-    require_files(spark, root)
+    require_files(spark, root, listing)
     path = _decoded(F.col("_metadata.file_path"))
     name = _relative_name(path, _root_path(spark, root))
     return (

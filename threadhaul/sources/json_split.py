@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import scratch, ship_package, stored
-from .files import block_pieces, matching_bytes
+from .files import Listing, block_pieces, list_matching
 
 # States of the reader outside and inside of strings and comments.
 PLAIN, STRING, ESCAPE, SLASH, LINE, BLOCK, STAR = STATES = range(7)
@@ -178,15 +178,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Itera
         yield name, start, (text for _, text in found)
 
 
-def array_elements(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def array_elements(spark: SparkSession, root: str, pattern: str, listing: Listing | None = None) -> DataFrame:
     """(file_path, block_start, position, element) of the arrays in the matching files, as texts.
 
     `block_start` and `position` give the order in a file. A file that is no array is an error.
     """
     ship_package(spark)
-    pieces = block_pieces(spark, root, pattern)
+    listing = listing or list_matching(spark, root, pattern)
+    pieces = block_pieces(spark, root, pattern, listing=listing)
     cores = spark.sparkContext.defaultParallelism
-    tasks = max(_TASKS_PER_CORE * cores, matching_bytes(spark, root, pattern) // _BYTES_PER_TASK)
+    tasks = max(_TASKS_PER_CORE * cores, listing.bytes // _BYTES_PER_TASK)
     # The same blocks for both passes, whatever the executors do meanwhile. Small ones share a task.
     fixed = {"spark.sql.files.minPartitionNum": cores, "spark.sql.files.maxPartitionNum": tasks}
     before = {key: spark.conf.get(key, None) for key in fixed}

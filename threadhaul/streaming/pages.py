@@ -113,9 +113,9 @@ class PageStreamExport:
             F.col(S.ROSTER_KEY[0]).alias("mailbox")
         )
         pending = stored(pending, f"{work}/pending")
-        staged = stage_pages(
-            pages.join(pending, "mailbox", "left_semi"), self.settings.model, f"{work}/staged", self.settings.window(spark)
-        )
+        # A batch is few files, which few tasks would parse: its pages are dealt to all.
+        wanted = pages.join(pending, "mailbox", "left_semi").repartition("mailbox", "page_no")
+        staged = stage_pages(wanted, self.settings.model, f"{work}/staged", self.settings.window(spark))
         seen = stored(headers(staged).drop("page"), f"{work}/headers")
         known = stored(
             seen.unionByName(self._earlier(spark, "headers", seen.schema, batch, pending)).distinct(), f"{work}/known"
