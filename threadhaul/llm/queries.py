@@ -125,7 +125,7 @@ def op6_token_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, written to seekable files and read back."""
     place = scratch(spark, "token-archive")
     files = token_archive.write(table(spark, folder, "documents"), place, vocabulary_path(BYTE_BPE), END_ID)
-    return token_archive.read(files, place).drop("ids")
+    return token_archive.read(files, place, with_ids=False)
 
 
 @query

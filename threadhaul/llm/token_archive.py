@@ -16,10 +16,13 @@ Repeated rows have frames of their own.
 
 from __future__ import annotations
 
+import codecs
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_stream import PATTERN
+from .bpe_stream import PATTERN, byte_letters
 from .common import keep, texts
 from .shared_files import new_file, open_file
 
@@ -38,9 +41,14 @@ _SEEK_TABLE = 0x184D2A5E
 _SEEKABLE = 0x8F92EAB1
 _CHECKSUMS = 0x80
 LEVEL = 3
-# Pre-tokens whose ids a worker remembers, and the longest one it does so for.
+# Words whose ids a worker remembers in each of two generations, and the longest one it does so for.
 MEMO_ENTRIES = 1 << 18
 MEMO_CHARS = 48
+# New words cut into pre-tokens at once.
+CHUNK = 8_192
+# A space between two other characters that are no white space: no pre-token goes on across it.
+BORDER = re.compile(r"(?<=\S) (?=\S)")
+ODD = re.compile(r"\s(?: |(?<= )\s)")  # a space next to other white space
 MANIFEST = "file string, first_id long, documents long, tokens long"
 
 
@@ -55,17 +63,46 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts as bytes, by the library; distinct pre-tokens of a batch are encoded once."""
+    """Ids of texts as bytes, by the library; words are remembered, and so are the pre-tokens of new words.
+
+    A byte-level pre-token has a space at its beginning only, so that a single space between two
+    words is always a border, and the ids of a word with the space before it are the same in any
+    text. The tokens that begin with a space tell where the next word of a joined text begins.
+    What is not between such borders (the first word, words next to further white space) is
+    encoded on its own, and so are whole texts where the vocabulary is of another kind.
+
+    `known` has words without their space; a key with a space in front is that string without it.
+    """
 
     def __init__(self, path: str):
         self.library = _tokenizer(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        added = sorted((x.content for x in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        size = self.library.get_vocab_size()
+        self.type = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.by_words = self._by_words()
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.pattern = regex.compile(PATTERN)
-        self.memo: dict[str, bytes] = {}
+        self.letters = "".join(sorted(byte_letters(), key=byte_letters().get))
+        self.tokenize = self.library.model.tokenize
+        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _by_words(self) -> bool:
+        from tokenizers import models, pre_tokenizers
+
+        cut, model = self.library.pre_tokenizer, self.library.model
+        return (
+            isinstance(cut, pre_tokenizers.ByteLevel)
+            and cut.use_regex
+            and not cut.add_prefix_space
+            and isinstance(model, models.BPE)
+            and not model.dropout
+            and self.library.normalizer is None
+            and not any(" " in x for x in self.added)
+        )
 
     def _bytes(self, given: list[str]) -> list[bytes]:
         return [
@@ -73,23 +110,86 @@ class Encoder:
             for x in self.library.encode_batch_fast(given, add_special_tokens=False)
         ]
 
+    def _word_bytes(self, words: list[str]) -> Iterable[bytes]:
+        """Of each word, the bytes of its ids behind a space; the library's model gets each new pre-token."""
+        tokens = self.pattern.findall(" " + " ".join(words))
+        if len(self.pieces) > MEMO_ENTRIES:
+            self.pieces.clear()
+        new = list(set(tokens).difference(self.pieces))
+        ids: list[int] = []
+        ends = [0]
+        for token in new:
+            shown, _ = codecs.charmap_decode(token.encode(), "strict", self.letters)
+            ids += [x.id for x in self.tokenize(shown)]
+            ends.append(len(ids))
+        self.pieces.update(zip(new, self._slices(np.array(ids, dtype=self.type), np.array(ends))))
+        data = b"".join(map(self.pieces.__getitem__, tokens))
+        for token in new:
+            if len(token) > MEMO_CHARS:
+                del self.pieces[token]
+        ids = np.frombuffer(data, dtype=self.type)
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(words):
+            raise ValueError(f"{len(words)} words have {len(at)} tokens with a space")
+        return self._slices(ids, np.append(at, len(ids)))
+
+    @staticmethod
+    def _slices(ids: np.ndarray, borders: np.ndarray) -> Iterable[bytes]:
+        data, at = ids.tobytes(), (borders * ids.itemsize).tolist()
+        return map(data.__getitem__, map(slice, at, at[1:]))
+
+    def _cut(self, text: str, words: dict[str, None], alone: dict[str, None]) -> list[str]:
+        """Keys of the text's parts; those not known are added to `words` or, with a space in front, `alone`."""
+        if not self.by_words or any(x in text for x in self.added):
+            parts = [" " + text]
+            alone[parts[0]] = None
+            return parts
+        parts = text.split(" ")
+        first = " " + parts[0]
+        new = set(filterfalse(self.known.__contains__, parts)).difference(words)
+        if new and ODD.search(f" {' '.join(new)} "):
+            parts = BORDER.split(text)
+            first = " " + parts[0]
+            parts = [f"  {x}" if " " in x or x[-1].isspace() else x for x in parts[1:]]
+            for part in filterfalse(self.known.__contains__, parts):
+                (alone if part[0] == " " else words)[part] = None
+            parts.insert(0, first)
+        else:
+            words.update(dict.fromkeys(new))
+            parts[0] = first
+        if first not in self.known:
+            alone[first] = None
+        return parts
+
     def encode(self, batch: list[str]) -> Iterator[bytes]:
-        memo = self.memo
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in batch:
-            # Texts with added tokens, and very long runs, go to the library whole.
-            tokens = None if self.added and self.added.search(text) else self.pattern.findall(text)
-            if tokens and max(map(len, tokens)) > MEMO_CHARS:
-                tokens = None
-            cut.append(tokens)
-            new.update(dict.fromkeys([t for t in tokens or () if t not in memo]))
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = dict.fromkeys(t for tokens in cut for t in tokens or ())
-        memo.update(zip(new, self._bytes(list(new))))
-        for text, tokens in zip(batch, cut):
-            yield self._bytes([text])[0] if tokens is None else b"".join([memo[t] for t in tokens])
+        if len(self.known) > MEMO_ENTRIES:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        words: dict[str, None] = {}
+        alone: dict[str, None] = {}
+        cut = [self._cut(text, words, alone) for text in batch]
+        for new in (words, alone):
+            for key in new.keys() & older.keys():  # short ones only
+                known[key] = older[key]
+                del new[key]
+        given = list(words)
+        try:
+            for at in range(0, len(given), CHUNK):
+                part = given[at : at + CHUNK]
+                known.update(zip(part, self._word_bytes(part)))
+            known.update(zip(alone, self._bytes([key[1:] for key in alone])))
+            for parts in cut:
+                yield b"".join(map(known.__getitem__, parts))
+        finally:  # a reader may stop at the last text
+            for key in (*words, *alone):
+                if len(key) > MEMO_CHARS:
+                    known.pop(key, None)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, with what it remembers."""
+    return Encoder(path)
 
 
 def _skippable(magic: int, content: bytes) -> bytes:
@@ -172,7 +272,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         with new_file(folder, ".ids.zst") as (out, name):
             for batch in batches:
                 if writer is None:
-                    encoder = Encoder(path)
+                    encoder = _encoder(path)
                     writer, end = Writer(out, encoder.type.itemsize), np.array([end_id], encoder.type).tobytes()
                 ids = batch.column("doc_id").to_pylist()
                 for doc_id, data in zip(ids, encoder.encode(batch.column("text").to_pylist())):
@@ -195,11 +295,12 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
     return keep(dealt.mapInArrow(run, MANIFEST), "token-files")
 
 
-def read(files: DataFrame, folder: str, wanted: Iterable[int] | None = None) -> DataFrame:
+def read(files: DataFrame, folder: str, wanted: Iterable[int] | None = None, with_ids: bool = True) -> DataFrame:
     """Documents (doc_id, start, n_tokens, ids_crc32, ids) of the listed files; only `wanted` ones if given.
 
     `start` is the number of ids before the document in all files. The list of files
-    (a row for each) passes through the driver to add up their sizes.
+    (a row for each) passes through the driver to add up their sizes. Every document is
+    read and checked; without `with_ids` its ids are not handed on.
     """
     spark = files.sparkSession
     rows = sorted(files.collect(), key=lambda r: (r.first_id, r.file))
@@ -220,16 +321,16 @@ def read(files: DataFrame, folder: str, wanted: Iterable[int] | None = None) ->
                         part = chosen[at : at + 256]
                         found = [reader.read(i) for i in part]
                         listed = [int(reader.ids[i, 0]) for i in part]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([None if x == _NO_ID else x for x in listed], pa.int64()),
-                                pa.array([int(starts[i]) for i in part], pa.int64()),
-                                pa.array([len(x) for x in found], pa.int64()),
-                                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
-                                pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())),
-                            ],
-                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                        )
+                        columns = {
+                            "doc_id": pa.array([None if x == _NO_ID else x for x in listed], pa.int64()),
+                            "start": pa.array([int(starts[i]) for i in part], pa.int64()),
+                            "n_tokens": pa.array([len(x) for x in found], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                        }
+                        if with_ids:
+                            columns["ids"] = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_pydict(columns)
 
     listed = spark.createDataFrame(offsets, "file string, start long").repartition(max(1, len(offsets)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return listed.mapInArrow(run, schema + ", ids array<int>" if with_ids else schema)
